@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramlake.session import materialise
+
 CHUNK_ROWS = 1_000_000
 BUCKETS = 128
 
@@ -135,7 +137,8 @@ def order_statistics(
     cuts = counted.agg(
         F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("cuts")
     ).scalar()
-    d = counted.withColumn("__b", F.size(F.filter(cuts, lambda x: x < F.col("__v"))))
+    d = counted.withColumn("__cuts", cuts)
+    d = d.withColumn("__b", F.size(F.filter("__cuts", lambda x: x < F.col("__v")))).drop("__cuts")
     w = Window.partitionBy(*keys)
     hist = d.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bc"))
     hist = hist.select(
@@ -172,11 +175,13 @@ def distributed_rank(
     is one of the cut points; its rows are cut further by ranges of ``tie``.
     """
     keys = list(keys)
-    cuts = F.array_distinct(
-        df.agg(
-            F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("cuts")
-        ).scalar()
-    )
+    df = materialise(df, "rank")  # feeds three branches that must see the same scores
+    # One subquery run per query: both branches below reuse its single result.
+    cuts = df.agg(
+        F.array_distinct(
+            F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 10 * buckets)
+        ).alias("cuts")
+    ).scalar()
     at_cut = F.array_contains(F.col("__cuts"), F.col(score))
     d = (
         df.withColumn("__cuts", cuts)
