@@ -27,6 +27,7 @@ def contains_pairs(
     needle: str,
     doc_id: str,
     text: str,
+    keep_text: bool = False,
 ) -> DataFrame:
     """(scope, needle_id, doc_id) where the document text contains the needle, ignoring case.
 
@@ -35,7 +36,7 @@ def contains_pairs(
     needle word is expanded to the vocabulary words containing it (found through shared character
     grams, on distinct words only), the needle is anchored on the word with the fewest documents
     behind it, and only documents with one of those words are checked.
-    Needles need at least one word character.
+    Needles need at least one word character. ``keep_text`` adds the lower-cased text as ``__text``.
     """
     scope = list(scope)
     posting = docs.select(*scope, doc_id, F.explode(F.array_distinct(words(F.col(text)))).alias("__tok"))
@@ -83,5 +84,5 @@ def contains_pairs(
         pairs.join(needles.select(*scope, needle_id, F.lower(needle).alias("__needle")), [*scope, needle_id])
         .join(docs.select(*scope, doc_id, F.lower(text).alias("__text")), [*scope, doc_id])
         .where(F.contains("__text", "__needle"))
-        .select(*scope, needle_id, doc_id)
+        .select(*scope, needle_id, doc_id, *(["__text"] if keep_text else []))
     )

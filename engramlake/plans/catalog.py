@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from engramlake.plans import entities_changes, grading_scoring  # noqa: F401
+from engramlake.plans import entities_changes, grading_scoring, memory, questions  # noqa: F401
 from engramlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
