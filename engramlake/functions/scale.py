@@ -218,18 +218,27 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, o
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= F.lit(k))
 
 
-def hashed_rank(df: DataFrame, keys: Sequence[str], ident: str, out: str = "rank") -> DataFrame:
-    """Add a 1-based position within the key in pseudo-random but repeatable order.
+def pieced_rank(
+    df: DataFrame, keys: Sequence[str], pieces: Sequence[str], order: Sequence[str], out: str = "rank"
+) -> DataFrame:
+    """Add the 1-based position within the key in (pieces, order) order.
 
-    The order is (first two hex digits of the id's md5, id), so each key falls into 256 pieces that
-    are numbered apart and shifted by the sizes of the pieces before.
+    Each piece is numbered apart and shifted by the sizes of the key's pieces before it.
     """
-    keys = list(keys)
-    d = df.withColumn("__piece", F.substring(F.md5(F.col(ident).cast("string")), 1, 2))
-    hist = d.groupBy(*keys, "__piece").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.select(*keys, "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    local = d.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, "__piece").orderBy(ident)))
-    return local.join(hist, [*keys, "__piece"]).select(
+    keys, pieces = list(keys), list(pieces)
+    hist = df.groupBy(*keys, *pieces).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.select(*keys, *pieces, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    local = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, *pieces).orderBy(*order)))
+    return local.join(hist, [*keys, *pieces]).select(
         *df.columns, (F.col("__off") + F.col("__rn")).cast("bigint").alias(out)
     )
+
+
+def hashed_rank(df: DataFrame, keys: Sequence[str], ident: str, out: str = "rank") -> DataFrame:
+    """Position within the key in pseudo-random but repeatable order.
+
+    The order is (first two hex digits of the id's md5, id): 256 pieces per key.
+    """
+    d = df.withColumn("__piece", F.substring(F.md5(F.col(ident).cast("string")), 1, 2))
+    return pieced_rank(d, keys, ["__piece"], [ident], out).drop("__piece")

@@ -1,6 +1,13 @@
 """Importing this module registers every query."""
 
-from engramlake.plans import entities_changes, grading_scoring, memory, questions  # noqa: F401
+from engramlake.plans import (  # noqa: F401
+    conversations_rewards,
+    entities_changes,
+    event_streams,
+    grading_scoring,
+    memory,
+    questions,
+)
 from engramlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
