@@ -18,6 +18,13 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def normal_topic(topic: Column) -> Column:
+    """Lower case, letters, digits, underscore and hyphen only; nothing left means ``general``."""
+    t = F.trim(F.coalesce(topic, F.lit("")))
+    cleaned = F.regexp_replace(F.lower(t), "[^a-z0-9_-]+", "")
+    return F.when(t == "core", t).when(cleaned == "", "general").otherwise(cleaned)
+
+
 def contains_pairs(
     needles: DataFrame,
     docs: DataFrame,

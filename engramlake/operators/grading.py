@@ -120,7 +120,7 @@ def single_turn_score(df: DataFrame, reward: str = "reward", answer: str = "answ
     )
 
 
-def judge_pending(graded: DataFrame, judge, keys: list[str]) -> DataFrame:
+def judge_pending(graded: DataFrame, judge) -> DataFrame:
     """Send only the rule failures through a user-supplied judge and merge its verdicts.
 
     ``judge`` is a vectorised UDF column function (question, truth, answer, competency) returning

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import answers as A
 from engramlake.functions.scale import distributed_rank, running_sum, top_k
-from engramlake.functions.text import contains_pairs, words
+from engramlake.functions.text import contains_pairs, normal_topic, words
 from engramlake.operators.entity import format_value
 
 # Okapi parameters, fusion weights and constant, decay per write, limits.
@@ -337,7 +337,7 @@ def _clean(value: object) -> str:
 
 def _apply(entries: list[tuple[str, str]], row) -> bool:
     """Apply one operation to the entry list; true if it changed something."""
-    topic, content, old = _clean(row.topic) or "general", _clean(row.content), _clean(row.old_text)
+    topic, content, old = row.topic, _clean(row.content), _clean(row.old_text)
     if row.action == "add":
         if not content or (topic, content) in entries:
             return False
@@ -364,7 +364,7 @@ def replay_memory(ops: DataFrame, budget: int, *, free_replace: bool = False) ->
     old_text, ok.
     """
     acts = ops.where(F.col("ok") & F.col("action").isin("add", "replace", "remove")).select(
-        "agent_id", "seq", "action", "topic", "content", "old_text"
+        "agent_id", "seq", "action", normal_topic(F.col("topic")).alias("topic"), "content", "old_text"
     )
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,6 +7,7 @@ from engramlake.plans import (  # noqa: F401
     grading_scoring,
     memory,
     questions,
+    sources_domains,
 )
 from engramlake.plans.registry import ORACLES, QUERIES
 
