@@ -8,6 +8,7 @@ from engramlake.plans import (  # noqa: F401
     memory,
     questions,
     sources_domains,
+    streams,
 )
 from engramlake.plans.registry import ORACLES, QUERIES
 

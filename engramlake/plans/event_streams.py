@@ -120,7 +120,7 @@ def _(t: Tables) -> DataFrame:
     )
     answers = verdicts.join(o, "question_id")
     deadlines = o.select("step").distinct().withColumn(
-        "deadline", F.expr("timestamp '1998-06-01' + make_interval(0, 0, 0, cast(step as int))")
+        "deadline", F.expr("timestamp_ntz '1998-06-01' + make_interval(0, 0, 0, cast(step as int))")
     )
     d = K.answers_before_deadline(o.drop("ts"), answers, deadlines, ["step", "question_id"], ["step"])
     return d.groupBy("step", "reason").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("n_correct"))
