@@ -32,6 +32,11 @@ EPISODE_LINE = (
 STEP_LINE = r"Step\s+(\d+):\s+loss=(-?[\d.]+)\s+mean_r=([\d.]+)"
 
 
+def plain_name(name: Column) -> Column:
+    """A file name as on disk: the metadata column percent-encodes it."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def file_key(name: Column) -> Column:
     """File name without folder, the .json ending and the trajectory mark."""
     return F.regexp_replace(F.element_at(F.split(name, "/"), -1), rf"({TRAJECTORY_MARK})?\.jsonl?$", "")
@@ -46,7 +51,7 @@ def read_eval_results(spark: SparkSession, path: str, *, multi_line: bool = True
     raw = (
         spark.read.schema(RESULT_SCHEMA).option("multiLine", multi_line).option("mode", "DROPMALFORMED")
         .option("pathGlobFilter", glob).option("recursiveFileLookup", True).json(path)
-        .select("*", F.col("_metadata.file_name").alias("file_name"))
+        .select("*", plain_name(F.col("_metadata.file_name")).alias("file_name"))
     )
     d = raw.where(
         ~F.contains("file_name", F.lit("trajectory")) & F.col("task_name").isNotNull() & (F.coalesce("error", F.lit("")) == "")
@@ -67,7 +72,7 @@ def read_trajectories(spark: SparkSession, path: str, schema: str = TRAJECTORY_S
     return (
         spark.read.schema(schema).option("multiLine", multi_line).option("mode", "DROPMALFORMED")
         .option("pathGlobFilter", glob).option("recursiveFileLookup", True).json(path)
-        .select("*", file_key(F.col("_metadata.file_name")).alias("file_key"))
+        .select("*", file_key(plain_name(F.col("_metadata.file_name"))).alias("file_key"))
     )
 
 
@@ -185,8 +190,8 @@ def snapshot_entries(files: DataFrame, keys: Sequence[str], text: str = "value",
 def read_memory_snapshot(spark: SparkSession, path: str, *, delimited: bool = True, glob: str = "*.md") -> DataFrame:
     """Memory files to (topic, position, content); the topic is the file's stem. Files are small by their budget."""
     files = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
-        .select("value", F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("__stem"), F.col("_metadata.file_path").alias("file_path"))
+        spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
+        .select("value", F.regexp_extract(plain_name(F.col("_metadata.file_name")), r"^(.*?)(\.[^.]*)?$", 1).alias("__stem"), F.col("_metadata.file_path").alias("file_path"))
     )
     return snapshot_entries(files.withColumn("topic", normal_topic(F.col("__stem"))), ["file_path", "topic"], delimited=delimited)
 
