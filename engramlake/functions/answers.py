@@ -29,31 +29,38 @@ PAREN_TAIL = r"\s*\([^)]*\)\s*$"
 NAME_VALUE = r"^(.+?)\s*\(([^)]+)\)\s*$"
 
 
-def _stripped(text: Column) -> Column:
-    return F.trim(F.translate(text, ",$", ""))
+def number_text(text: Column) -> Column:
+    """First number with its suffix, after dropping thousands commas and dollar signs; empty if none."""
+    return F.regexp_extract(F.trim(F.translate(text, ",$", "")), NUMBER, 0)
 
 
-def first_number(text: Column) -> Column:
-    """First signed number after dropping thousands commas and dollar signs; null if none."""
-    return F.regexp_extract(_stripped(text), NUMBER, 1).try_cast("double")
+def number_value(found: Column) -> Column:
+    return F.translate(found, "KkMm \t\n\r\f", "").try_cast("double")
 
 
-def number_suffix(text: Column) -> Column:
-    """K or M right behind the first number, else an empty string."""
-    return F.upper(F.regexp_extract(_stripped(text), NUMBER, 2))
+def number_suffix(found: Column) -> Column:
+    """K or M right behind the number, else an empty string."""
+    last = F.upper(F.right(found, F.lit(1)))
+    return F.when(last.isin("K", "M"), last).otherwise("")
 
 
-def suffix_factor(text: Column) -> Column:
-    s = number_suffix(text)
+def suffix_factor(found: Column) -> Column:
+    s = number_suffix(found)
     return F.when(s == "K", 1000.0).when(s == "M", 1000000.0).otherwise(1.0)
 
 
-def numeric_match(answer: Column, truth: Column) -> Column:
-    """Whole truths need the same whole number; truths with a dot allow 2 % either way."""
+def number_goal(truth: Column) -> Column:
+    """A truth as a number: directly, or the first number of a formatted one."""
     bare = F.trim(truth)
-    goal = F.when(bare.rlike(PLAIN_NUMBER), bare.try_cast("double")).otherwise(first_number(truth))
+    return F.when(bare.rlike(PLAIN_NUMBER), bare.try_cast("double")).otherwise(number_value(number_text(truth)))
+
+
+def numbers_agree(plain: Column, scaled: Column, goal: Column, truth: Column) -> Column:
+    """Whole truths need the same whole number; truths with a dot allow 2 % either way.
+
+    The number counts with its K/M multiplied in or taken as a label.
+    """
     whole = ~F.contains(truth, F.lit("."))
-    plain = first_number(answer)
 
     def close(value: Column) -> Column:
         return (
@@ -62,7 +69,13 @@ def numeric_match(answer: Column, truth: Column) -> Column:
             .otherwise(F.abs(value - goal) / F.abs(goal) <= FLOAT_TOLERANCE)
         )
 
-    return F.coalesce(close(plain * suffix_factor(answer)) | close(plain), F.lit(False))
+    return F.coalesce(close(scaled) | close(plain), F.lit(False))
+
+
+def numeric_match(answer: Column, truth: Column) -> Column:
+    found = number_text(answer)
+    plain = number_value(found)
+    return numbers_agree(plain, plain * suffix_factor(found), number_goal(truth), truth)
 
 
 def bare_name(name: Column) -> Column:
@@ -74,19 +87,22 @@ def name_tokens(name: Column) -> Column:
     return F.regexp_extract_all(F.lower(name), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def entity_match(answer: Column, truth: Column) -> Column:
+def names_agree(said: Column, goal: Column, said_tokens: Column, goal_tokens: Column) -> Column:
     """At least 67 % of the truth's tokens occur, and the answer is at least half as long."""
-    goal, said = bare_name(truth), bare_name(answer)
-    tokens, have = name_tokens(goal), name_tokens(said)
-    hits = F.size(F.filter(tokens, lambda t: F.array_contains(have, t)))
+    hits = F.size(F.filter(goal_tokens, lambda t: F.array_contains(said_tokens, t)))
     return F.coalesce(
-        F.when(F.size(tokens) == 0, F.lower(said) == F.lower(goal))
+        F.when(F.size(goal_tokens) == 0, F.lower(said) == F.lower(goal))
         .when(F.length(said) < F.length(goal) * LENGTH_SHARE, F.lit(False))
-        .otherwise(hits / F.size(tokens) >= TOKEN_SHARE),
+        .otherwise(hits / F.size(goal_tokens) >= TOKEN_SHARE),
         F.lit(False),
     )
 
 
+def entity_match(answer: Column, truth: Column) -> Column:
+    goal, said = bare_name(truth), bare_name(answer)
+    return names_agree(said, goal, name_tokens(said), name_tokens(goal))
+
+
 def name_value_match(answer: Column, truth: Column) -> Column:
     """``Name (value)`` needs both parts; a truth without a value needs the name."""
     goal = F.trim(truth)
@@ -104,18 +120,3 @@ def abstention_match(answer: Column) -> Column:
     for phrase in REFUSAL_PHRASES:
         refused = refused | F.contains(low, F.lit(phrase))
     return F.coalesce(refused & ~low.rlike(r"\d"), F.lit(False))
-
-
-def rule_match(answer: Column, truth: Column, competency: Column) -> Column:
-    """Exact match ignoring case, else the rule of the competency."""
-    said, goal = F.trim(answer), F.trim(truth)
-    return F.coalesce(
-        F.when(F.lower(said) == F.lower(goal), F.lit(True))
-        .when(competency.isin(NUMERIC_TYPES), numeric_match(said, truth))
-        .when(competency.isin(NAME_VALUE_TYPES), name_value_match(said, goal))
-        .when(competency.isin(ENTITY_TYPES), entity_match(said, goal))
-        .when(competency == "temporal_trend", F.contains(F.lower(said), F.lower(goal)))
-        .when(competency == "abstention", abstention_match(said))
-        .otherwise(False),
-        F.lit(False),
-    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Letters, digits and underscore of any script; the same pattern runs on RE2 engines.
 WORD = r"[\p{L}\p{N}_]+"
 
-GRAM = 4
+GRAM = 6
 
 
 def words(text: Column) -> Column:
@@ -18,6 +18,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def exploded(df: DataFrame, keep: Sequence[str | Column], items: Column, out: str) -> DataFrame:
+    """One row per array element.
+
+    An inner explode makes the optimizer add a ``size(items) > 0`` filter, which it pushes below the
+    projection and so evaluates costly arrays again; the outer form with a filter behind it does not.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(out)).where(F.col(out).isNotNull())
+
+
 def normal_topic(topic: Column) -> Column:
     """Lower case, letters, digits, underscore and hyphen only; nothing left means ``general``."""
     t = F.trim(F.coalesce(topic, F.lit("")))
@@ -39,17 +48,21 @@ def contains_pairs(
     """(scope, needle_id, doc_id) where the document text contains the needle, ignoring case.
 
     Exact, also where the needle sits inside longer words, and without comparing all pairs:
-    a text containing the needle has a word that contains any given word of the needle. So each
-    needle word is expanded to the vocabulary words containing it (found through shared character
-    grams, on distinct words only), the needle is anchored on the word with the fewest documents
-    behind it, and only documents with one of those words are checked.
+    a text containing the needle has a word that contains any given word of the needle. So each needle
+    is anchored on its rarest word, the anchor is expanded to the vocabulary words containing it (found
+    through its rarest character gram, on distinct words only), and only documents with one of those
+    words are checked.
     Needles need at least one word character. ``keep_text`` adds the lower-cased text as ``__text``.
     """
     scope = list(scope)
-    posting = docs.select(*scope, doc_id, F.explode(F.array_distinct(words(F.col(text)))).alias("__tok"))
+    posting = exploded(docs, [*scope, doc_id], F.array_distinct(words(F.col(text))), "__tok")
     vocab = posting.groupBy(*scope, "__tok").agg(F.count(F.lit(1)).alias("__df"))
-    asked = needles.select(*scope, needle_id, F.explode(F.array_distinct(words(F.col(needle)))).alias("__ntok"))
-    asked_words = asked.select(*scope, "__ntok").distinct()
+    asked = exploded(needles, [*scope, needle_id], F.array_distinct(words(F.col(needle))), "__tok")
+    # Anchor: the needle's word in the fewest documents (none at all is best), the longer one on ties.
+    rarity = F.struct(F.coalesce("__df", F.lit(0)), -F.length("__tok"), F.col("__tok"))
+    anchor = asked.join(vocab, [*scope, "__tok"], "left").groupBy(*scope, needle_id).agg(
+        F.min_by("__tok", rarity).alias("__anchor")
+    )
 
     def grams(tok: str, n: Column) -> Column:
         last = F.length(tok) - n + 1
@@ -57,32 +70,29 @@ def contains_pairs(
             last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col(tok), i, n)))
         ).otherwise(F.array().cast("array<string>"))
 
-    sizes = [F.lit(n) for n in range(1, GRAM + 1)]
-    vocab_gram = vocab.select(*scope, "__tok", F.explode(F.concat(*[grams("__tok", n) for n in sizes])).alias("__gram"))
-    gram_df = vocab_gram.groupBy(*scope, "__gram").agg(F.count(F.lit(1)).alias("__gdf"))
-    own = asked_words.select(
-        *scope, "__ntok",
-        F.explode(grams("__ntok", F.least(F.lit(GRAM), F.length("__ntok")))).alias("__gram"),
+    # Gram sizes that can occur: words shorter than GRAM are looked up whole.
+    sizes = anchor.agg(F.collect_set(F.least(F.lit(GRAM), F.length("__anchor"))).alias("sizes")).scalar()
+    sized = vocab.select(*scope, "__tok", sizes.alias("__sizes"))
+    of_size = [
+        F.when(F.array_contains("__sizes", n), grams("__tok", F.lit(n))).otherwise(F.array().cast("array<string>"))
+        for n in range(1, GRAM + 1)
+    ]
+    own = exploded(
+        anchor.select(*scope, "__anchor").distinct(), [*scope, "__anchor"],
+        grams("__anchor", F.least(F.lit(GRAM), F.length("__anchor"))), "__gram",
     )
+    vocab_gram = exploded(sized, [*scope, "__tok"], F.concat(*of_size), "__gram")
+    gram_df = vocab_gram.groupBy(*scope, "__gram").agg(F.count(F.lit(1)).alias("__gdf"))
     block = (
         own.join(gram_df, [*scope, "__gram"])
-        .groupBy(*scope, "__ntok")
+        .groupBy(*scope, "__anchor")
         .agg(F.min_by("__gram", F.struct("__gdf", "__gram")).alias("__gram"))
     )
-    wider = (
-        block.join(vocab_gram, [*scope, "__gram"])
-        .where(F.contains("__tok", "__ntok"))
-        .select(*scope, "__ntok", "__tok")
-        .join(vocab, [*scope, "__tok"])
-    )
-    cost = wider.groupBy(*scope, "__ntok").agg(F.sum("__df").alias("__cost"))
-    anchor = (
-        asked.join(cost, [*scope, "__ntok"])
-        .groupBy(*scope, needle_id)
-        .agg(F.min_by("__ntok", F.struct("__cost", "__ntok")).alias("__ntok"))
+    wider = block.join(vocab_gram, [*scope, "__gram"]).where(F.contains("__tok", "__anchor")).select(
+        *scope, "__anchor", "__tok"
     )
     pairs = (
-        anchor.join(wider.select(*scope, "__ntok", "__tok"), [*scope, "__ntok"])
+        anchor.join(wider, [*scope, "__anchor"])
         .join(posting, [*scope, "__tok"])
         .select(*scope, needle_id, doc_id)
         .distinct()

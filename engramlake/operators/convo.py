@@ -91,29 +91,36 @@ def clean_messages(messages: DataFrame, text: str = "text") -> DataFrame:
     return messages.withColumn(text, strip_markup(F.col(text)))
 
 
-def _parse_call(raw: Column) -> Column:
-    """Parse a call, closing up to two missing braces; null for unknown tools."""
-    v = F.coalesce(
-        F.try_parse_json(raw), F.try_parse_json(F.concat(raw, F.lit("}"))), F.try_parse_json(F.concat(raw, F.lit("}}")))
-    )
-    name = F.try_variant_get(v, "$.name", "string")
-    args = F.coalesce(F.to_json(F.try_variant_get(v, "$.arguments", "variant")), F.lit("{}"))
-    return F.when(name.isin(KNOWN_TOOLS), F.struct(name.alias("tool"), args.alias("arguments")))
-
+def _parsed(raws: Column) -> Column:
+    """Calls among JSON texts, closing up to two missing braces; unknown tools drop out.
 
-def tool_calls_in(text: Column) -> Column:
-    """Array of (tool, arguments): tagged calls, else fenced ones, else bare JSON."""
-    tier = lambda pattern, group: F.array_compact(
-        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), _parse_call)
-    )
-    tagged, fenced, bare = tier(TAGGED, 1), tier(FENCED, 1), tier(BARE, 0)
-    return F.when(F.size(tagged) > 0, tagged).when(F.size(fenced) > 0, fenced).otherwise(bare)
+    Two steps, so that a text is parsed once however many of its fields are read.
+    """
+    docs = F.transform(raws, lambda r: F.coalesce(
+        F.try_parse_json(r), F.try_parse_json(F.concat(r, F.lit("}"))), F.try_parse_json(F.concat(r, F.lit("}}")))
+    ))
+    calls = F.transform(docs, lambda v: F.struct(
+        F.try_variant_get(v, "$.name", "string").alias("tool"),
+        F.coalesce(F.to_json(F.try_variant_get(v, "$.arguments", "variant")), F.lit("{}")).alias("arguments"),
+    ))
+    return F.filter(calls, lambda c: F.coalesce(c["tool"].isin(KNOWN_TOOLS), F.lit(False)))
 
 
 def extract_tool_calls(messages: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    return messages.select(*keys, F.posexplode(tool_calls_in(F.col(text))).alias("call_idx", "c")).select(
-        *keys, "call_idx", "c.tool", "c.arguments"
-    )
+    """(tool, arguments) rows: tagged calls of a message, else fenced ones, else bare JSON.
+
+    Each tier is a column of its own, so it is parsed once and only where the tiers before came out empty.
+    """
+
+    def tier(pattern: str, group: int) -> Column:
+        return _parsed(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+
+    d = messages.withColumn("__c", tier(TAGGED, 1))
+    d = d.withColumn("__c", F.when(F.size("__c") > 0, F.col("__c")).otherwise(tier(FENCED, 1)))
+    d = d.withColumn("__c", F.when(F.size("__c") > 0, F.col("__c")).otherwise(tier(BARE, 0)))
+    # the outer form keeps the optimizer from evaluating the array again for a size filter
+    d = d.select(*keys, F.posexplode_outer("__c").alias("call_idx", "c")).where(F.col("call_idx").isNotNull())
+    return d.select(*keys, "call_idx", "c.tool", "c.arguments")
 
 
 def merge_same_role(messages: DataFrame, conv: str, turn: str, separator: str = SEPARATOR, chunk_rows: int = 1_000_000) -> DataFrame:

@@ -12,11 +12,12 @@ VERDICT = r"(?i)(VERDICT_CORRECT|VERDICT_INCORRECT)"
 
 def extract_numbers(df: DataFrame, text: str = "answer") -> DataFrame:
     """Add parsed number, K/M suffix and the number with the suffix applied."""
-    return df.select(
-        "*",
-        A.first_number(F.col(text)).alias("number"),
-        A.number_suffix(F.col(text)).alias("suffix"),
-        (A.first_number(F.col(text)) * A.suffix_factor(F.col(text))).alias("scaled"),
+    found = F.col("__found")
+    return df.withColumn("__found", A.number_text(F.col(text))).select(
+        *df.columns,
+        A.number_value(found).alias("number"),
+        A.number_suffix(found).alias("suffix"),
+        (A.number_value(found) * A.suffix_factor(found)).alias("scaled"),
     )
 
 
@@ -52,19 +53,56 @@ def grade_abstention(df: DataFrame, answer: str = "answer") -> DataFrame:
 
 
 def grade_answers(df: DataFrame) -> DataFrame:
-    """Add ``correct`` and ``reason`` to rows of (answer, truth, competency)."""
-    answer, competency = F.col("answer"), F.col("competency")
-    abstention = competency == "abstention"
-    empty = F.coalesce(F.trim(answer) == "", F.lit(True))
-    ok = A.rule_match(F.coalesce(answer, F.lit("")), F.col("truth"), competency)
-    graded = df.withColumn("correct", F.when(empty & ~abstention, F.lit(False)).otherwise(ok))
-    return graded.withColumn(
-        "reason",
-        F.when(abstention, "rule:abstention")
-        .when(empty, "rule:empty_answer")
-        .when(F.col("correct"), "rule:pass")
-        .otherwise("rule:fail"),
+    """Add ``correct`` and ``reason`` to rows of (answer, truth, competency).
+
+    Exact match ignoring case, else the rule of the competency. Every competency asks for a name, a number
+    or both, so the rules share one name check and one number check. Their inputs are columns of their
+    own: each regular expression runs at most once per row, and only where its result is needed.
+    """
+    comp = F.col("competency")
+    abstention = comp == "abstention"
+    said, goal, open_row = F.col("__said"), F.col("__goal"), F.col("__open")
+    pair = F.col("__pair")
+    d = df.withColumn("__said", F.trim(F.coalesce("answer", F.lit("")))).withColumn("__goal", F.trim("truth"))
+    exact = F.coalesce(F.lower(said) == F.lower(goal), F.lit(False))
+    d = d.withColumn("__exact", exact).withColumn("__open", ~F.col("__exact") & (said != "") & ~abstention)
+    d = d.withColumn("__pair", F.coalesce(open_row & comp.isin(A.NAME_VALUE_TYPES) & goal.rlike(A.NAME_VALUE), F.lit(False)))
+    d = d.withColumns({
+        "__name": F.when(pair, F.trim(F.regexp_extract(goal, A.NAME_VALUE, 1)))
+        .when(open_row & comp.isin(A.NAME_VALUE_TYPES + A.ENTITY_TYPES), goal),
+        "__value": F.when(pair, F.trim(F.regexp_extract(goal, A.NAME_VALUE, 2)))
+        .when(open_row & comp.isin(A.NUMERIC_TYPES), F.col("truth")),
+    })
+    name, value = F.col("__name"), F.col("__value")
+    d = d.withColumns({
+        "__found": F.when(value.isNotNull(), A.number_text(said)),
+        "__want": F.when(value.isNotNull(), A.number_goal(value)),
+        "__n1": F.when(name.isNotNull(), A.bare_name(said)),
+        "__n2": F.when(name.isNotNull(), A.bare_name(name)),
+    })
+    d = d.withColumns({
+        "__plain": A.number_value(F.col("__found")),
+        "__t1": A.name_tokens(F.col("__n1")),
+        "__t2": A.name_tokens(F.col("__n2")),
+    })
+    plain = F.col("__plain")
+    number_ok = A.numbers_agree(plain, plain * A.suffix_factor(F.col("__found")), F.col("__want"), value)
+    name_ok = A.names_agree(F.col("__n1"), F.col("__n2"), F.col("__t1"), F.col("__t2"))
+    ruled = (
+        F.when(F.col("__exact"), True)
+        .when(abstention, A.abstention_match(said))
+        .when(name.isNotNull() & value.isNotNull(), name_ok & number_ok)
+        .when(name.isNotNull(), name_ok)
+        .when(value.isNotNull(), number_ok)
+        .when(comp == "temporal_trend", F.contains(F.lower(said), F.lower(goal)))
+        .otherwise(False)
+    )
+    empty = said == ""
+    d = d.withColumn("correct", F.when(empty & ~abstention, F.lit(False)).otherwise(F.coalesce(ruled, F.lit(False))))
+    reason = (
+        F.when(abstention, "rule:abstention").when(empty, "rule:empty_answer").when(F.col("correct"), "rule:pass").otherwise("rule:fail")
     )
+    return d.select(*df.columns, "correct", reason.alias("reason"))
 
 
 def grading_audit(graded: DataFrame, by: list[str]) -> DataFrame:

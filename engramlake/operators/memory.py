@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import answers as A
 from engramlake.functions.scale import distributed_rank, running_sum, top_k
-from engramlake.functions.text import contains_pairs, normal_topic, words
+from engramlake.functions.text import contains_pairs, exploded, normal_topic, words
 from engramlake.operators.entity import format_value
 
 # Okapi parameters, fusion weights and constant, decay per write, limits.
@@ -113,13 +113,13 @@ def bm25_scores(queries: DataFrame, entries: DataFrame, scope: Sequence[str] = (
     of the scope asks for are counted, so the big word table never reaches a shuffle.
     """
     scope = list(scope)
-    asked = queries.select(*scope, "query_id", F.explode(words(F.col("text"))).alias("tok")).groupBy(
+    asked = exploded(queries, [*scope, "query_id"], words(F.col("text")), "tok").groupBy(
         *scope, "query_id", "tok"
     ).agg(F.count(F.lit(1)).alias("qtf"))
     doc = entries.select(*scope, "entry_id", words(F.col("content")).alias("__w"))
     stats = doc.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("__w")).alias("avgdl"))
     tf = (
-        doc.select(*scope, "entry_id", F.size("__w").alias("dl"), F.explode("__w").alias("tok"))
+        exploded(doc, [*scope, "entry_id", F.size("__w").alias("dl")], F.col("__w"), "tok")
         .join(asked.select(*scope, "tok").distinct(), [*scope, "tok"], "left_semi")
         .groupBy(*scope, "entry_id", "dl", "tok").agg(F.count(F.lit(1)).alias("tf"))
     )

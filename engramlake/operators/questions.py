@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.functions.scale import hashed_rank, order_statistics, top_k
-from engramlake.functions.text import contains_pairs
+from engramlake.functions.text import contains_pairs, exploded
 from engramlake.operators.entity import NUMERIC
+from engramlake.session import materialise
 
 WORLD = "world_id"
 
@@ -269,7 +270,7 @@ def text_phrases(texts: DataFrame, scope: Sequence[str], entity: str, text: str)
     )
     singles = F.filter("__w", lambda w: F.length(w) > 4)
     phrases = F.array_distinct(F.concat(F.array_compact(pairs), singles))
-    return d.select(*scope, entity, F.explode(phrases).alias("phrase"))
+    return exploded(d, [*scope, entity], phrases, "phrase")
 
 
 def q_text_match(texts: DataFrame, scope: Sequence[str], entity: str, text: str, tries: int = 10) -> DataFrame:
@@ -285,6 +286,7 @@ def q_text_match(texts: DataFrame, scope: Sequence[str], entity: str, text: str,
         F.col(entity) == F.col("__max")
     ).drop("__max")
     tried = top_k(single, [*scope, entity], [F.length("phrase").desc(), F.col("phrase")], tries, "__rn").drop("__rn")
+    tried = materialise(tried, "phrases")  # at most ``tries`` short rows per entity, read by several branches
     long_texts = texts.where(F.length(text) > 20).select(*scope, F.col(entity).alias("__holder"), text)
     hits = contains_pairs(
         tried.select(*scope, "phrase", F.col("phrase").alias("__needle_text")), long_texts,

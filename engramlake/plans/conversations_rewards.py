@@ -11,6 +11,7 @@ from engramlake.operators import rewards as J
 from engramlake.plans.fixtures import SQL, Tables, number_in
 from engramlake.plans.grading_scoring import graded, scored_runs
 from engramlake.plans.registry import query
+from engramlake.session import spread
 
 # Every user is a conversation, every event of the user one logged trajectory event.
 SQL["traj"] = """
@@ -92,7 +93,8 @@ def _(t: Tables) -> DataFrame:
             F.lit("<function_call>"), broken, F.lit('</function_call> and <tool_call>{"name": "memory_get"}</tool_call>'), call("Write")
         ))
     )
-    return I.extract_tool_calls(t.raw("events").select("event_id", text.alias("text")), ["event_id"])
+    e = spread(t.raw("events").select("event_id", "event_type", "props"))
+    return I.extract_tool_calls(e.select("event_id", text.alias("text")), ["event_id"])
 
 
 @query("merge_same_role", """

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.functions.scale import lagged
+from engramlake.session import spread
 
 EDGE_FANOUT = 8
 
@@ -198,16 +199,16 @@ class Tables:
 
     @cached_property
     def memory_entry(self) -> DataFrame:
-        return self.raw("documents").select(
+        return spread(self.raw("documents").select(
             F.col("source").alias("agent_id"), F.col("doc_id").alias("entry_id"), F.col("doc_id").alias("seq"),
             F.col("lang").alias("topic"), F.col("text").alias("content"),
-        )
+        ))
 
     @cached_property
     def answer(self) -> DataFrame:
-        li = self.raw("lineitem").select(
+        li = spread(self.raw("lineitem").select(
             "l_suppkey", "l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"
-        )
+        ))
         p = self.raw("part").select("p_partkey", "p_name", "p_size")
         n, size, name = F.col("l_linenumber"), F.col("p_size").cast("string"), F.col("p_name")
         shape = F.col("l_quantity").cast("int") % 4

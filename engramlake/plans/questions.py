@@ -11,6 +11,7 @@ from engramlake.plans import catalogue
 from engramlake.plans.entities_changes import current
 from engramlake.plans.fixtures import SQL, Tables
 from engramlake.plans.registry import query
+from engramlake.session import spread
 
 NUMS = ["acctbal", "order_count", "total_spend"]
 PAIRS = [(a, b) for a in NUMS for b in NUMS if a != b]
@@ -228,7 +229,7 @@ tried AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY world_id, doc
 SELECT t.world_id, t.phrase, t.doc_id AS answer FROM tried t JOIN w ON w.world_id = t.world_id AND contains(w.low, t.phrase)
 GROUP BY t.world_id, t.phrase, t.doc_id HAVING COUNT(*) = 1 AND MIN(w.doc_id) = t.doc_id""")
 def _(t: Tables) -> DataFrame:
-    texts = t.raw("documents").select(F.col("source").alias("world_id"), "doc_id", "text")
+    texts = spread(t.raw("documents").select(F.col("source").alias("world_id"), "doc_id", "text"))
     return C.q_text_match(texts, ["world_id"], "doc_id", "text")
 
 
