@@ -41,10 +41,6 @@ def _rate(hit: Column, total: Column) -> Column:
     return F.coalesce(F.try_divide(hit.cast("double"), total.cast("double")), F.lit(0.0))
 
 
-def _hits(cond: Column) -> Column:
-    return F.count_if(cond & F.col("correct"))
-
-
 def group_accuracy(graded: DataFrame, by: Sequence[str]) -> DataFrame:
     """correct, total, rate per group: by run and competency, by run and purpose, ..."""
     return graded.groupBy(*by).agg(
@@ -57,26 +53,35 @@ def axis_scores(graded: DataFrame, runs: DataFrame, keys: Sequence[str]) -> Data
 
     ``runs`` carries the keys with n_entities, stored_count and write_budget.
     """
+    return axes_from_counts(group_accuracy(graded, [*keys, "competency"]), runs, keys)
+
+
+def axes_from_counts(counts: DataFrame, runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Axes from (keys, competency, n_correct, n_total): grading is shared with every other use of the counts."""
     comp = F.col("competency")
-    reasoning = comp.isin(REASONING)
-    sums = graded.groupBy(*keys).agg(
-        _hits(comp == "retrieval").alias("__rc"), F.count_if(comp == "retrieval").alias("__rt"),
-        _hits(comp == "update").alias("__uc"), F.count_if(comp == "update").alias("__ut"),
-        _hits(reasoning).alias("__qc"), F.count_if(reasoning).alias("__qt"),
-        _hits(comp == "abstention").alias("__ac"), F.count_if(comp == "abstention").alias("__at"),
-        _hits(comp != "abstention").alias("__correct"),
+
+    def rate(cond: Column) -> Column:
+        part = lambda c: F.sum(F.when(cond, F.col(c)))
+        return _rate(part("n_correct"), part("n_total"))
+
+    sums = counts.groupBy(*keys).agg(
+        rate(comp == "retrieval").alias("breadth"),
+        rate(comp == "update").alias("maintenance_ungated"),
+        rate(comp.isin(REASONING)).alias("reasoning"),
+        rate(comp == "abstention").alias("abstention_diagnostic"),
+        F.coalesce(F.sum(F.when(comp != "abstention", F.col("n_correct"))), F.lit(0)).alias("__correct"),
     )
     d = sums.join(runs.select(*keys, "n_entities", "stored_count", "write_budget"), list(keys))
     coverage = _rate(F.col("stored_count"), F.col("n_entities"))
     return d.select(
         *keys,
-        _rate(F.col("__rc"), F.col("__rt")).alias("breadth"),
-        (_rate(F.col("__uc"), F.col("__ut")) * F.least(coverage / COVERAGE_GATE, F.lit(1.0))).alias("maintenance"),
-        _rate(F.col("__qc"), F.col("__qt")).alias("reasoning"),
+        "breadth",
+        (F.col("maintenance_ungated") * F.least(coverage / COVERAGE_GATE, F.lit(1.0))).alias("maintenance"),
+        "reasoning",
         F.when(F.col("write_budget") > 0, F.least(F.col("__correct") / F.col("write_budget"), F.lit(1.0)))
         .otherwise(0.0).alias("efficiency"),
-        _rate(F.col("__ac"), F.col("__at")).alias("abstention_diagnostic"),
-        _rate(F.col("__uc"), F.col("__ut")).alias("maintenance_ungated"),
+        "abstention_diagnostic",
+        "maintenance_ungated",
     )
 
 

@@ -153,9 +153,9 @@ RUN = ["run_id", "model", "template"]
 
 
 def axes(t: Tables) -> DataFrame:
-    g = graded(t)
-    runs = g.select(*RUN).distinct().join(run_info(t), "run_id")
-    return H.axis_scores(g, runs, RUN)
+    counts = run_competency(t)
+    runs = counts.select(*RUN).distinct().join(run_info(t), "run_id")
+    return H.axes_from_counts(counts, runs, RUN)
 
 
 def scored_runs(t: Tables) -> DataFrame:
@@ -328,9 +328,9 @@ JOIN (SELECT model, COALESCE(AVG(CASE WHEN competency = 'retrieval' THEN rate EN
              AVG(CASE WHEN competency NOT IN ('retrieval', 'update', 'abstention') THEN rate END) AS reasoning_mean
       FROM run_competency GROUP BY model) r ON r.model = b.model""")
 def leaderboard(t: Tables) -> DataFrame:
-    g = graded(t)
-    runs = scored_runs(t).join(g.groupBy(*RUN).agg(F.avg(F.col("correct").cast("int")).alias("score")), RUN)
-    d = H.leaderboard(runs, run_competency(t))
+    counts = run_competency(t)
+    score = counts.groupBy(*RUN).agg((F.sum("n_correct") / F.sum("n_total")).alias("score"))
+    d = H.leaderboard(scored_runs(t).join(score, RUN), counts)
     return rounded(d, ["avg_score", "avg_composite", "retrieval", "update", "abstention", "reasoning_mean"])
 
 

@@ -3,7 +3,8 @@ import json
 import pytest
 
 from engramlake.operators import convo as I
-from engramlake.operators.domains import Attribute, Domain, domain, register_domain
+from engramlake.operators.domains import DOMAIN_RULES, Attribute, Domain, domain, domain_rules, register_domain
+from engramlake.operators.entity import constraint_violations
 from engramlake.sources import readers as A
 
 TRAJECTORY = [
@@ -132,3 +133,14 @@ def test_domains(spark):
         Domain("bad", [Attribute("a", "int")], [("a", "b", "x")])
     with pytest.raises(ValueError):
         Attribute("a", "decimal")
+
+
+def test_domain_rules(spark):
+    for name, rules in DOMAIN_RULES.items():
+        attrs = sorted({a for _, needed, _ in rules for a in needed})
+        empty = spark.createDataFrame([], ", ".join(f"{a} {'string' if a == 'status' else 'double'}" for a in attrs))
+        assert constraint_violations(empty, domain_rules(name, attrs), []).count() == 0
+    h = spark.createDataFrame([(10.0, 20.0, 4.0), (30.0, 20.0, 100.0), (None, 20.0, 10.0)], "icu_beds double, beds double, staff_count double")
+    got = constraint_violations(h, domain_rules("hospital", h.columns), [])
+    assert {r.rule: r.n_violations for r in got.collect()} == {"icu_within_beds": 1, "staff_per_bed": 1}
+    assert domain_rules("hospital", ["beds"]) == {}
