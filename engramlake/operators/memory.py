@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -134,14 +133,19 @@ def bm25_scores(queries: DataFrame, entries: DataFrame, scope: Sequence[str] = (
     return tf.join(terms, [*scope, "tok"]).groupBy(*scope, "query_id", "entry_id").agg(F.sum(part).alias("score"))
 
 
-def dot(a: Column, b: Column, dims: int) -> Column:
-    """Dot product; short vectors become one generated expression, long ones a fold."""
-    if dims <= CODEGEN_DIMS:
-        parts = [a[i].cast("double") * b[i].cast("double") for i in range(dims)]
-        return reduce(lambda x, y: x + y, parts)
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v
-    )
+def dot(a: str, b: str, dims: int) -> Column:
+    """Dot product of two array columns; short vectors become one generated expression, long ones a fold.
+
+    The products are summed pairwise, which keeps the expression tree shallow.
+    """
+    if dims > CODEGEN_DIMS:
+        return F.aggregate(
+            F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v
+        )
+    parts = [f"double({a}[{i}]) * double({b}[{i}])" for i in range(dims)]
+    while len(parts) > 1:
+        parts = [f"({' + '.join(parts[i:i + 2])})" for i in range(0, len(parts), 2)]
+    return F.expr(parts[0])
 
 
 def vector_scores(queries: DataFrame, entries: DataFrame, dims: int, scope: Sequence[str] = ("agent_id",)) -> DataFrame:
@@ -151,9 +155,9 @@ def vector_scores(queries: DataFrame, entries: DataFrame, dims: int, scope: Sequ
     ``entries``: scope, entry_id, embedding.
     """
     scope = list(scope)
-    q = queries.select(*scope, "query_id", "qvec", F.sqrt(dot(F.col("qvec"), F.col("qvec"), dims)).alias("__qn"))
-    e = entries.select(*scope, "entry_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"), dims)).alias("__en"))
-    sim = F.try_divide(dot(F.col("qvec"), F.col("embedding"), dims), F.col("__qn") * F.col("__en"))
+    q = queries.select(*scope, "query_id", "qvec", F.sqrt(dot("qvec", "qvec", dims)).alias("__qn"))
+    e = entries.select(*scope, "entry_id", "embedding", F.sqrt(dot("embedding", "embedding", dims)).alias("__en"))
+    sim = F.try_divide(dot("qvec", "embedding", dims), F.col("__qn") * F.col("__en"))
     return e.join(q, scope).select(*scope, "query_id", "entry_id", F.coalesce(sim, F.lit(0.0)).alias("score"))
 
 

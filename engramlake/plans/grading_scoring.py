@@ -330,7 +330,9 @@ JOIN (SELECT model, COALESCE(AVG(CASE WHEN competency = 'retrieval' THEN rate EN
 def leaderboard(t: Tables) -> DataFrame:
     counts = run_competency(t)
     score = counts.groupBy(*RUN).agg((F.sum("n_correct") / F.sum("n_total")).alias("score"))
-    d = H.leaderboard(scored_runs(t).join(score, RUN), counts)
+    # the joins below ask for non-null keys; asking here too lets every branch share one grading
+    keyed = counts.where(F.col("run_id").isNotNull() & F.col("model").isNotNull() & F.col("template").isNotNull())
+    d = H.leaderboard(scored_runs(t).join(score, RUN), keyed)
     return rounded(d, ["avg_score", "avg_composite", "retrieval", "update", "abstention", "reasoning_mean"])
 
 

@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from engramlake.operators import memory as M
 
@@ -135,7 +134,7 @@ def test_hybrid_search_against_numpy(spark):
 
 def test_long_vectors_take_the_fold(spark):
     d = spark.createDataFrame([([1.0] * 200, [2.0] * 200)], "a array<double>, b array<double>")
-    assert d.select(M.dot(F.col("a"), F.col("b"), 200)).first()[0] == 400.0
+    assert d.select(M.dot("a", "b", 200)).first()[0] == 400.0
 
 
 def test_upsert_and_edit(spark):
