@@ -29,11 +29,14 @@ def local_session(cores: str | int = "*", app: str = "engramlake", **conf: str)
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the cluster's shared checkpoint folder.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset
-    (tests, notebooks on one machine) a temporary folder stands in.
+    The cluster names the folder in ``spark.checkpoint.dir``. Only a local session without that
+    setting (tests, notebooks) falls back to a temporary folder; elsewhere it is an error, because
+    executors could not see it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="engramlake-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
