@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import simhash
+from engramlake.llm import simhash, suffixes
 from engramlake.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,3 +26,13 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffixes.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "contamination.n_words", "contamination.n_hit", F.size("contamination.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "contamination.items"), 256).alias("items_sha256"), suffixes.is_contaminated().alias("contaminated"),
+    )
