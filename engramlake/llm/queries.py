@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import simhash, suffixes
+from engramlake.llm import simhash, suffixes, superkmers
 from engramlake.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +36,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         "doc_id", "contamination.n_words", "contamination.n_hit", F.size("contamination.items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "contamination.items"), 256).alias("items_sha256"), suffixes.is_contaminated().alias("contaminated"),
     )
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return superkmers.remove_repeats(docs, texts=False).withColumnRenamed("id", "doc_id")
