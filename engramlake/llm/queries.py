@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import simhash, suffixes, superkmers
+from engramlake.llm import simhash, suffixes, superkmers, toxicity
 from engramlake.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return superkmers.remove_repeats(docs, texts=False).withColumnRenamed("id", "doc_id")
+
+
+def held_out(id_col: str = "doc_id") -> Column:
+    """Rows whose labels are never learnt from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    found = toxicity.score(docs, model)
+    score = F.col("toxicity.score")
+    return found.select(
+        "doc_id", held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"),
+        F.size("toxicity.segments").cast("long").alias("n_segments"),
+    )
