@@ -64,13 +64,13 @@ def near_fingerprints(
     """u, v: links that join distinct fingerprints (column fp) at ``reach`` or fewer differing bits.
 
     Pairs in reach are joined directly or by a chain, so components are exact, and a cluster of m
-    fingerprints gives about m links. The tree is built on the driver from at most ``sample``
-    fingerprints (the smallest by hash); ``leaf_points`` is the size a shard aims at. A shard that
+    fingerprints gives about m links. The tree is built on the driver from about ``sample``
+    fingerprints (those of low hash); ``leaf_points`` is the size a shard aims at. A shard that
     turns out larger (a cluster that no vantage point cuts) is dealt in a triangle of block pairs.
     """
     spark = distinct.sparkSession
     total = distinct.count()
-    chosen = distinct.select("fp", F.xxhash64("fp").alias("h")).orderBy("h", "fp").limit(sample).select("fp")
+    chosen = distinct.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int(min(1.0, sample / max(1, total)) * (1 << 40)))
     points = np.fromiter((r.fp for r in chosen.collect()), np.int64).view(np.uint64)
     tree = vptree.build(points, total, leaf_points, reach)
 
@@ -137,9 +137,8 @@ def near_duplicates(
     roots = components(near_fingerprints(distinct, reach, sample, leaf_points))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left")
     rooted = written(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    joined = rooted.where("fp <> root").select("root").distinct()
-    groups = rooted.join(joined, "root", "left_semi").groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(groups, "root", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = rooted.join(groups, "root").select("fp", "component")
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
