@@ -186,8 +186,10 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buc
     """id, th, ranges: for each text (``docs``: id, th, text) with repeated windows, the word ranges they cover."""
     rows = written(_positions(docs, window, gram), "minimisers")
     twice = rows.groupBy("minimiser").agg(F.count("*").alias("c")).where("c > 1").select("minimiser")
-    starts = rows.join(twice, "minimiser", "left_semi").groupBy("id", "th").agg(F.collect_set("start").alias("starts"))
-    starts = written(starts, "starts").withColumnsRenamed({"id": "id2", "th": "th2"})
+    # a join that ends in a table can be dealt anew where one minimiser is very common
+    twice = written(rows.join(twice, "minimiser", "left_semi").select("id", "th", "start"), "repeated")
+    starts = written(twice.groupBy("id", "th").agg(F.collect_set("start").alias("starts")), "starts")
+    starts = starts.withColumnsRenamed({"id": "id2", "th": "th2"})
     texts = docs.join(starts, docs.id.eqNullSafe(starts.id2) & docs.th.eqNullSafe(starts.th2)).select("id", "th", "text", "starts")
     strings = written(_strings(texts, window, gram).withColumn("h", F.unhex(F.md5("packed"))), "super-k-mers")
     distinct = strings.groupBy("packed").agg(F.count("*").alias("n"), F.first("minimiser").alias("minimiser"), F.first("h").alias("h"))
@@ -198,7 +200,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buc
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     light = light.repartition(parts, "minimiser").sortWithinPartitions("minimiser")
     found = _counted(light, window).union(_exploded(distinct.join(heavy, "minimiser", "left_semi"), window))
-    hit = strings.select("id", "th", "start", "h").join(found, "h")
+    found = written(found, "found")
+    hit = written(strings.select("id", "th", "start", "h").join(found, "h").drop("h"), "hit")
     spans = F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last") + window).alias("last"))
     return written(hit.groupBy("id", "th").agg(F.collect_set(spans).alias("ranges")), "ranges")
 
