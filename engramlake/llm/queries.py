@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import neighbours, simhash, suffixes, superkmers, toxicity, urls
+from engramlake.llm import mixing, neighbours, oracles, sharding, simhash, suffixes, superkmers, toxicity, urls
 from engramlake.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,42 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
+#: Configuration of the mixture: weights by path from the root; 1 where none stands here.
+TREE = ("domain", "lang", "source")
+WEIGHTS = {
+    ("web",): 4.0, ("books",): 3.0, ("code",): 2.0, ("forums",): 1.0, ("other",): 1.0,
+    ("web", "en"): 2.0, ("books", "en"): 2.0, ("code", "en"): 2.0, ("forums", "en"): 2.0,
+}
+
+
+def domain_of(source: Column) -> Column:
+    """The domain of a source, by its number."""
+    n = F.regexp_extract(source, "^src([0-9]{1,6})$", 1)
+    n = F.when(n != "", n.cast("int"))
+    return F.when(n < 5, "web").when(n < 10, "books").when(n < 15, "code").when(n >= 15, "forums").otherwise("other")
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    return mixing.mixed(docs.withColumn("domain", domain_of(F.col("source"))), TREE, WEIGHTS)
+
+
+@query
+def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixture(docs).select("doc_id", *TREE, mixing.token_count(F.col("text")).alias("n_tokens"), F.col("__epoch").alias("epoch"))
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = sharding.shards(docs)
+    return found.select(
+        "doc_id", sharding.shard_name(F.col("__depth"), F.col("__prefix")).alias("shard"), F.col("__depth").alias("depth"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+    )
+
+
+ORACLES["op3_mixing_sources"] = oracles.mixing_sql(WEIGHTS, TREE)
+ORACLES["op6_sharding"] = oracles.sharding_sql()
