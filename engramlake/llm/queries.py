@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import mixing, neighbours, oracles, sharding, simhash, suffixes, superkmers, toxicity, urls
+from engramlake.llm import mixing, neighbours, oracles, quotes, sharding, simhash, suffixes, superkmers, toxicity, urls
 from engramlake.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op3_mixing_sources"] = oracles.mixing_sql(WEIGHTS, TREE)
 ORACLES["op6_sharding"] = oracles.sharding_sql()
+
+
+@query
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.threads(table(spark, sf_dir, "conversations"))
+    return found.select(
+        F.col("conv").alias("conv_id"), "turn", F.md5("own").alias("text_md5"), "n_quotes", "n_linked", "reply_to", "thread", "depth"
+    )
