@@ -186,7 +186,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buc
     """id, th, ranges: for each text (``docs``: id, th, text) with repeated windows, the word ranges they cover."""
     rows = written(_positions(docs, window, gram), "minimisers")
     twice = rows.groupBy("minimiser").agg(F.count("*").alias("c")).where("c > 1").select("minimiser")
-    # a join that ends in a table can be dealt anew where one minimiser is very common
+    # a join of two tables that ends in a table can be dealt anew where one minimiser is very common
+    twice = written(twice, "minimisers-met-again")
     twice = written(rows.join(twice, "minimiser", "left_semi").select("id", "th", "start"), "repeated")
     starts = written(twice.groupBy("id", "th").agg(F.collect_set("start").alias("starts")), "starts")
     starts = starts.withColumnsRenamed({"id": "id2", "th": "th2"})
