@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import mixing, neighbours, oracles, quotes, sharding, simhash, suffixes, superkmers, toxicity, urls
+from engramlake.llm import mixing, neighbours, oracles, pii, quotes, sharding, simhash, suffixes, superkmers, toxicity, urls
 from engramlake.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,13 @@ def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("conv").alias("conv_id"), "turn", F.md5("own").alias("text_md5"), "n_quotes", "n_linked", "reply_to", "thread", "depth"
     )
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), redact=False)
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        F.col("id").alias("doc_id"), *[count(k) for k in pii.KINDS],
+        F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"),
+    )
