@@ -88,8 +88,9 @@ def domain_of(source: Column) -> Column:
     return F.when(n < 5, "web").when(n < 10, "books").when(n < 15, "code").when(n >= 15, "forums").otherwise("other")
 
 
-def mixture(docs: DataFrame) -> DataFrame:
-    return mixing.mixed(docs.withColumn("domain", domain_of(F.col("source"))), TREE, WEIGHTS)
+def mixture(docs: DataFrame, domain: str = "domain") -> DataFrame:
+    """``docs`` mixed, with the column ``domain`` and ``__epoch``."""
+    return mixing.mixed(docs.withColumn(domain, domain_of(F.col("source"))), (domain, *TREE[1:]), WEIGHTS)
 
 
 @query
