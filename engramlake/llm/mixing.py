@@ -44,14 +44,15 @@ def _weight(level: int, tree: Sequence[str], weights: Mapping[tuple[str, ...], f
 def _shared(nodes: DataFrame, parents: Sequence[str], name: str) -> DataFrame:
     """Children (cap, weight, budget of the parent) with their share: equal fill by weight up to cap."""
     family = Window.partitionBy(*parents)
-    order = family.orderBy(F.col("cap") / F.col("weight"), F.col(name).asc_nulls_first())
+    fills = F.when(F.col("weight") > 0, F.try_divide("cap", "weight")).otherwise(float("inf"))
+    order = family.orderBy(fills, F.col(name).asc_nulls_first())
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     left = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     full = (F.col("budget") - F.col("before")) * F.col("weight") >= F.col("cap") * F.col("left")
     nodes = nodes.withColumns({"before": before, "left": left}).withColumn("full", full & (F.col("weight") > 0))
     spent = F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(family)
     open_weight = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(family)
-    share = (F.col("budget") - spent) * F.col("weight") / open_weight
+    share = F.try_divide((F.col("budget") - spent) * F.col("weight"), open_weight)
     share = F.when(F.col("full"), F.col("cap")).when(open_weight > 0, share).otherwise(0.0)
     return nodes.withColumn("share", share).drop("before", "left", "full")
 
