@@ -18,6 +18,12 @@ REFUSAL_PHRASES = [
     "no such", "unknown", "n/a", "i don't have", "i dont have", "could not find", "couldn't find",
     "no matching", "does not exist", "doesn't exist",
 ]
+# White space that a strip removes.
+WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+# Thresholds and patterns of the matching rules.
 FLOAT_TOLERANCE = 0.02
 TOKEN_SHARE = 0.67
 LENGTH_SHARE = 0.5
@@ -29,9 +35,14 @@ PAREN_TAIL = r"\s*\([^)]*\)\s*$"
 NAME_VALUE = r"^(.+?)\s*\(([^)]+)\)\s*$"
 
 
+def strip(text: Column | str) -> Column:
+    """Without white space at both ends: newlines, tabs and the Unicode spaces as well as blanks."""
+    return F.trim(F.col(text) if isinstance(text, str) else text, F.lit(WHITESPACE))
+
+
 def number_text(text: Column) -> Column:
     """First number with its suffix, after dropping thousands commas and dollar signs; empty if none."""
-    return F.regexp_extract(F.trim(F.translate(text, ",$", "")), NUMBER, 0)
+    return F.regexp_extract(strip(F.translate(text, ",$", "")), NUMBER, 0)
 
 
 def number_value(found: Column) -> Column:
@@ -51,7 +62,7 @@ def suffix_factor(found: Column) -> Column:
 
 def number_goal(truth: Column) -> Column:
     """A truth as a number: directly, or the first number of a formatted one."""
-    bare = F.trim(truth)
+    bare = strip(truth)
     return F.when(bare.rlike(PLAIN_NUMBER), bare.try_cast("double")).otherwise(number_value(number_text(truth)))
 
 
@@ -80,7 +91,7 @@ def numeric_match(answer: Column, truth: Column) -> Column:
 
 def bare_name(name: Column) -> Column:
     """Name without a title in front and a parenthesis behind."""
-    return F.trim(F.regexp_replace(F.regexp_replace(name, PAREN_TAIL, ""), TITLE, ""))
+    return strip(F.regexp_replace(F.regexp_replace(name, PAREN_TAIL, ""), TITLE, ""))
 
 
 def name_tokens(name: Column) -> Column:
@@ -105,11 +116,11 @@ def entity_match(answer: Column, truth: Column) -> Column:
 
 def name_value_match(answer: Column, truth: Column) -> Column:
     """``Name (value)`` needs both parts; a truth without a value needs the name."""
-    goal = F.trim(truth)
+    goal = strip(truth)
     name = F.regexp_extract(goal, NAME_VALUE, 1)
     value = F.regexp_extract(goal, NAME_VALUE, 2)
     return F.when(
-        goal.rlike(NAME_VALUE), entity_match(answer, F.trim(name)) & numeric_match(answer, F.trim(value))
+        goal.rlike(NAME_VALUE), entity_match(answer, strip(name)) & numeric_match(answer, strip(value))
     ).otherwise(entity_match(answer, goal))
 
 
@@ -119,4 +130,4 @@ def abstention_match(answer: Column) -> Column:
     refused = F.lit(False)
     for phrase in REFUSAL_PHRASES:
         refused = refused | F.contains(low, F.lit(phrase))
-    return F.coalesce(refused & ~low.rlike(r"\d"), F.lit(False))
+    return F.coalesce(refused & ~low.rlike(r"\p{Nd}"), F.lit(False))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.functions.answers import strip
+
 # Letters, digits and underscore of any script; the same pattern runs on RE2 engines.
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -29,7 +31,7 @@ def exploded(df: DataFrame, keep: Sequence[str | Column], items: Column, out: st
 
 def normal_topic(topic: Column) -> Column:
     """Lower case, letters, digits, underscore and hyphen only; nothing left means ``general``."""
-    t = F.trim(F.coalesce(topic, F.lit("")))
+    t = strip(F.coalesce(topic, F.lit("")))
     cleaned = F.regexp_replace(F.lower(t), "[^a-z0-9_-]+", "")
     return F.when(t == "core", t).when(cleaned == "", "general").otherwise(cleaned)
 

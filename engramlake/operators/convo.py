@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.functions.answers import strip
 from engramlake.functions.scale import islands, lagged, running_sum
 
 # Chat markers, tool names, call syntaxes, limits.
@@ -68,11 +69,11 @@ def trajectory_to_messages(events: DataFrame, conv: str = "conv_id", chunk_rows:
         F.array_join(F.transform("calls", lambda c: c["name"]), ",").alias("name"), n.alias("n_calls"),
     )
     tool = turns.select(conv, "event_idx", "turn_idx", "base", "calls", F.posexplode("results").alias("item", "r"))
-    text = F.trim("r")
+    text = strip("r")
     linked = F.col("item") < F.size("calls")
     tool = tool.select(
         conv, "event_idx", "turn_idx", F.lit(2).alias("part"), "item", F.lit("tool").alias("role"),
-        F.when(F.startswith(text, F.lit("[tool]")), F.trim(F.substring(text, 7, 2147483647))).otherwise(text).alias("content"),
+        F.when(F.startswith(text, F.lit("[tool]")), strip(F.substring(text, 7, 2147483647))).otherwise(text).alias("content"),
         F.when(linked, F.concat(F.lit("call_"), (F.col("base") + F.col("item")).cast("string"))).alias("tool_call_id"),
         F.when(linked, F.try_element_at("calls", F.col("item") + 1)["name"]).alias("name"), F.lit(0).alias("n_calls"),
     )
@@ -84,7 +85,7 @@ def strip_markup(text: Column) -> Column:
     out = F.regexp_replace(text, THINK, "")
     for token in SPECIAL_TOKENS:
         out = F.replace(out, F.lit(token), F.lit(""))
-    return F.trim(out)
+    return strip(out)
 
 
 def clean_messages(messages: DataFrame, text: str = "text") -> DataFrame:
@@ -161,7 +162,7 @@ def search_queries(calls: DataFrame, keys: Sequence[str], seq: str) -> DataFrame
 def stored_keys(calls: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """Name before the first pipe of each written entry, else its first 40 characters."""
     c = F.coalesce(F.try_element_at("arguments", F.lit("content")), F.lit(""))
-    key = F.when(F.contains(c, F.lit("|")), F.trim(F.substring_index(c, "|", 1))).otherwise(F.substring(c, 1, 40))
+    key = F.when(F.contains(c, F.lit("|")), strip(F.substring_index(c, "|", 1))).otherwise(F.substring(c, 1, 40))
     return calls.where(F.col("tool").isin("Write", "memory_store") & (c != "")).select(*keys, seq, key.alias("stored_key"))
 
 
@@ -194,7 +195,7 @@ def batch_store_rates(events: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def last_submitted_answer(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Answer of the last message carrying the submission marker."""
-    answer = F.trim(F.regexp_extract("text", SUBMITTED, 1))
+    answer = strip(F.regexp_extract("text", SUBMITTED, 1))
     return messages.where(F.col("text").rlike(SUBMITTED)).groupBy(conv).agg(
         F.max_by(answer, turn).alias("answer"), F.max(turn).alias("answer_turn")
     )

@@ -37,19 +37,19 @@ def grade_with(df: DataFrame, rule: Column, out: str = "correct") -> DataFrame:
 
 
 def grade_numeric(df: DataFrame, answer: str = "answer", truth: str = "truth") -> DataFrame:
-    return grade_with(df, A.numeric_match(F.trim(answer), F.col(truth)))
+    return grade_with(df, A.numeric_match(A.strip(answer), F.col(truth)))
 
 
 def grade_entity(df: DataFrame, answer: str = "answer", truth: str = "truth") -> DataFrame:
-    return grade_with(df, A.entity_match(F.trim(answer), F.trim(truth)))
+    return grade_with(df, A.entity_match(A.strip(answer), A.strip(truth)))
 
 
 def grade_name_value(df: DataFrame, answer: str = "answer", truth: str = "truth") -> DataFrame:
-    return grade_with(df, A.name_value_match(F.trim(answer), F.trim(truth)))
+    return grade_with(df, A.name_value_match(A.strip(answer), A.strip(truth)))
 
 
 def grade_abstention(df: DataFrame, answer: str = "answer") -> DataFrame:
-    return grade_with(df, A.abstention_match(F.trim(answer)))
+    return grade_with(df, A.abstention_match(A.strip(answer)))
 
 
 def grade_answers(df: DataFrame) -> DataFrame:
@@ -63,14 +63,14 @@ def grade_answers(df: DataFrame) -> DataFrame:
     abstention = comp == "abstention"
     said, goal, open_row = F.col("__said"), F.col("__goal"), F.col("__open")
     pair = F.col("__pair")
-    d = df.withColumn("__said", F.trim(F.coalesce("answer", F.lit("")))).withColumn("__goal", F.trim("truth"))
+    d = df.withColumn("__said", A.strip(F.coalesce("answer", F.lit("")))).withColumn("__goal", A.strip("truth"))
     exact = F.coalesce(F.lower(said) == F.lower(goal), F.lit(False))
     d = d.withColumn("__exact", exact).withColumn("__open", ~F.col("__exact") & (said != "") & ~abstention)
     d = d.withColumn("__pair", F.coalesce(open_row & comp.isin(A.NAME_VALUE_TYPES) & goal.rlike(A.NAME_VALUE), F.lit(False)))
     d = d.withColumns({
-        "__name": F.when(pair, F.trim(F.regexp_extract(goal, A.NAME_VALUE, 1)))
+        "__name": F.when(pair, A.strip(F.regexp_extract(goal, A.NAME_VALUE, 1)))
         .when(open_row & comp.isin(A.NAME_VALUE_TYPES + A.ENTITY_TYPES), goal),
-        "__value": F.when(pair, F.trim(F.regexp_extract(goal, A.NAME_VALUE, 2)))
+        "__value": F.when(pair, A.strip(F.regexp_extract(goal, A.NAME_VALUE, 2)))
         .when(open_row & comp.isin(A.NUMERIC_TYPES), F.col("truth")),
     })
     name, value = F.col("__name"), F.col("__value")
@@ -144,7 +144,7 @@ def apply_judge_verdicts(graded: DataFrame, replies: DataFrame, keys: list[str])
 
 def single_turn_score(df: DataFrame, reward: str = "reward", answer: str = "answer", truth: str = "truth") -> DataFrame:
     """Logged reward if present, else 1 for an exact or 2 % numeric match, else 0."""
-    said, goal = F.lower(F.trim(answer)), F.lower(F.trim(truth))
+    said, goal = F.lower(A.strip(answer)), F.lower(A.strip(truth))
     num = lambda c: F.translate(c, ",%", "").try_cast("double")
     a, t = num(said), num(goal)
     close = F.when(t == 0, a == 0).otherwise(F.abs(a - t) / F.abs(t) <= A.FLOAT_TOLERANCE)

@@ -18,7 +18,6 @@ K1, B = 1.5, 0.75
 RRF_K, W_VECTOR, W_KEYWORD = 60, 0.7, 0.3
 DECAY = 0.99
 MAX_CONTENT_CHARS = 2000
-CODEGEN_DIMS = 128
 
 
 # --- which entities are stored ------------------------------------------------------------------
@@ -134,18 +133,14 @@ def bm25_scores(queries: DataFrame, entries: DataFrame, scope: Sequence[str] = (
 
 
 def dot(a: str, b: str, dims: int) -> Column:
-    """Dot product of two array columns; short vectors become one generated expression, long ones a fold.
+    """Dot product of two array columns of ``dims`` elements; null where either has another length or a null.
 
-    The products are summed pairwise, which keeps the expression tree shallow.
+    One expression for any number of elements, summed pairwise, which keeps the expression tree shallow.
     """
-    if dims > CODEGEN_DIMS:
-        return F.aggregate(
-            F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v
-        )
-    parts = [f"double({a}[{i}]) * double({b}[{i}])" for i in range(dims)]
+    parts = [f"double(get({a}, {i})) * double(get({b}, {i}))" for i in range(dims)]
     while len(parts) > 1:
         parts = [f"({' + '.join(parts[i:i + 2])})" for i in range(0, len(parts), 2)]
-    return F.expr(parts[0])
+    return F.when((F.size(a) == dims) & (F.size(b) == dims), F.expr(parts[0]))
 
 
 def vector_scores(queries: DataFrame, entries: DataFrame, dims: int, scope: Sequence[str] = ("agent_id",)) -> DataFrame:
@@ -187,10 +182,13 @@ def recency_decay(scored: DataFrame, seqs: DataFrame, scope: Sequence[str], scor
 
 
 def fused_ranks(queries: DataFrame, entries: DataFrame, dims: int, scope: Sequence[str] = ("agent_id",)) -> DataFrame:
-    """Full vector and keyword ranks of every entry of the query's scope, fused."""
+    """Full vector and keyword ranks of every entry of the query's scope, fused.
+
+    An entry without an embedding has its keyword rank only.
+    """
     scope = list(scope)
     keys = [*scope, "query_id"]
-    vec = vector_scores(queries, entries, dims, scope)
+    vec = vector_scores(queries, entries.where("embedding is not null"), dims, scope)
     words_score = bm25_scores(queries, entries, scope)
     all_pairs = entries.select(*scope, "entry_id").join(queries.select(*keys), scope)
     keyword = all_pairs.join(words_score, [*keys, "entry_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
@@ -209,7 +207,7 @@ def hybrid_search(queries: DataFrame, entries: DataFrame, k: int, dims: int, sco
 
 def entry_name(content: Column) -> Column:
     """Lower-cased text before the first `` | ``."""
-    return F.lower(F.trim(F.substring_index(content, " | ", 1)))
+    return F.lower(A.strip(F.substring_index(content, " | ", 1)))
 
 
 def name_priority_rerank(queries: DataFrame, entries: DataFrame, ranked: DataFrame, k: int, scope: Sequence[str] = ("world_id",)) -> DataFrame:
@@ -221,7 +219,7 @@ def name_priority_rerank(queries: DataFrame, entries: DataFrame, ranked: DataFra
     """
     scope = list(scope)
     keys = [*scope, "query_id"]
-    q = queries.select(*keys, F.lower(F.trim("text")).alias("__q"))
+    q = queries.select(*keys, F.lower(A.strip("text")).alias("__q"))
     e = entries.select(*scope, "entry_id", "content", entry_name(F.col("content")).alias("__name"))
     in_content = contains_pairs(
         q, e, scope=scope, needle_id="query_id", needle="__q", doc_id="entry_id", text="content"
@@ -255,8 +253,8 @@ def extract_kv(df: DataFrame, keys: Sequence[str], content: str = "content") ->
     part = F.col("__part")
     return df.select(*keys, F.explode(F.split(content, r"\|")).alias("__part")).where(F.contains(part, F.lit(":"))).select(
         *keys,
-        F.lower(F.trim(F.substring_index(part, ":", 1))).alias("label"),
-        F.trim(F.substr(part, F.instr(part, F.lit(":")) + 1)).alias("value"),
+        F.lower(A.strip(F.substring_index(part, ":", 1))).alias("label"),
+        A.strip(F.substr(part, F.instr(part, F.lit(":")) + 1)).alias("value"),
     ).where((F.col("label") != "") & (F.col("value") != ""))
 
 
@@ -292,8 +290,8 @@ def retrieval_quality(entities: DataFrame, results: DataFrame, variants: DataFra
     parts = F.filter(F.split("content", r"\|"), lambda p: F.contains(p, F.lit(":")))
 
     def good(p: Column) -> Column:
-        label = F.trim(F.substring_index(p, ":", 1))
-        value = F.trim(F.substr(p, F.instr(p, F.lit(":")) + 1))
+        label = A.strip(F.substring_index(p, ":", 1))
+        value = A.strip(F.substr(p, F.instr(p, F.lit(":")) + 1))
         return label_matches(label, F.col("label")) & (
             (F.lower(value) == F.lower("truth")) | A.numeric_match(value, F.col("truth"))
         )
@@ -423,7 +421,7 @@ def edit_entries(entries: DataFrame, edits: DataFrame, keys: Sequence[str] = ("a
 
 def memory_inventory(entries: DataFrame, budget: int, writes: DataFrame, agent: str = "agent_id", n_names: int = 30) -> DataFrame:
     """Entries per agent, the first 30 names and the budget left. ``writes``: agent, writes_used."""
-    name = F.trim(F.substring_index("content", "|", 1))
+    name = A.strip(F.substring_index("content", "|", 1))
     first = top_k(entries.select(agent, "seq", name.alias("__n")), [agent], [F.col("seq")], n_names, "__rn")
     names = first.groupBy(agent).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__rn", "__n"))), lambda x: x["__n"]), "; ").alias("names")

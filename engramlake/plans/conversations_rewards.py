@@ -65,7 +65,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("clean_messages", r"""
-SELECT conv_id, turn, md5(trim(replace(replace(replace(regexp_replace(raw, '(?s)<think>.*?</think>\s*', '', 'g'), '<|im_end|>', ''), '<|endoftext|>', ''), '<|im_start|>', ''))) AS text_md5
+SELECT conv_id, turn, md5(strip(replace(replace(replace(regexp_replace(raw, '(?s)<think>.*?</think>\s*', '', 'g'), '<|im_end|>', ''), '<|endoftext|>', ''), '<|im_start|>', ''))) AS text_md5
 FROM (SELECT conv_id, turn, '<|im_start|>' || '<think>' || text || '</think> ' || chr(10) || text || '<think>x</think>' || '<|im_end|>' AS raw FROM message) m""")
 def _(t: Tables) -> DataFrame:
     raw = F.concat(

@@ -82,7 +82,8 @@ SELECT l.l_suppkey AS run_id, l.l_returnflag AS model, l.l_linestatus AS templat
        CASE WHEN l.l_linenumber = 3 THEN CONCAT(p.p_name, ' (', CAST(p.p_size AS VARCHAR), ')')
             WHEN l.l_linenumber = 5 THEN 'ABSTAIN' WHEN l.l_linenumber = 7 THEN p.p_name
             ELSE CAST(p.p_size AS VARCHAR) END AS truth,
-       CASE CAST(l.l_quantity AS INT) % 4 WHEN 0 THEN CAST(p.p_size AS VARCHAR)
+       CASE CAST(l.l_quantity AS INT) % 4
+            WHEN 0 THEN CONCAT(CAST(p.p_size AS VARCHAR), CASE l.l_linenumber % 3 WHEN 1 THEN chr(10) WHEN 2 THEN CONCAT(chr(9), ' ') ELSE '' END)
             WHEN 1 THEN CONCAT('The ', p.p_name, ' has ', CAST(p.p_size AS VARCHAR))
             WHEN 2 THEN 'I don''t know' ELSE CONCAT('$', CAST(p.p_size + 1 AS VARCHAR), 'K') END AS answer
 FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey
@@ -221,7 +222,7 @@ class Tables:
             .when(n == 5, "abstention").when(n == 6, "multi_constraint").otherwise("enum_filter").alias("competency"),
             F.when(n == 3, F.concat(name, F.lit(" ("), size, F.lit(")")))
             .when(n == 5, "ABSTAIN").when(n == 7, name).otherwise(size).alias("truth"),
-            F.when(shape == 0, size)
+            F.when(shape == 0, F.concat(size, F.when(n % 3 == 1, "\n").when(n % 3 == 2, "\t ").otherwise("")))
             .when(shape == 1, F.concat(F.lit("The "), name, F.lit(" has "), size))
             .when(shape == 2, "I don't know")
             .otherwise(F.concat(F.lit("$"), (F.col("p_size") + 1).cast("string"), F.lit("K"))).alias("answer"),

@@ -17,7 +17,7 @@ def _sql_list(values: list[str]) -> str:
 
 
 def _sql_stripped(x: str) -> str:
-    return f"trim(translate({x}, ',$', ''))"
+    return f"strip(translate({x}, ',$', ''))"
 
 
 NUM_RE = r"(-?(?:\d+\.?\d*|\.\d+))\s*([KkMm])?"
@@ -44,8 +44,8 @@ def _sql_close(v: str, goal: str, truth: str) -> str:
 
 def sql_numeric(a: str, t: str) -> str:
     goal = (
-        f"(CASE WHEN regexp_matches(trim({t}), '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') "
-        f"THEN TRY_CAST(trim({t}) AS DOUBLE) ELSE {_sql_num(t)} END)"
+        f"(CASE WHEN regexp_matches(strip({t}), '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') "
+        f"THEN TRY_CAST(strip({t}) AS DOUBLE) ELSE {_sql_num(t)} END)"
     )
     plain = _sql_num(a)
     return (
@@ -55,7 +55,7 @@ def sql_numeric(a: str, t: str) -> str:
 
 def _sql_bare(x: str) -> str:
     return (
-        f"trim(regexp_replace(regexp_replace({x}, '\\s*\\([^)]*\\)\\s*$', ''), "
+        f"strip(regexp_replace(regexp_replace({x}, '\\s*\\([^)]*\\)\\s*$', ''), "
         f"'(?i)^(dr|mr|mrs|ms|prof|sr|jr)\\.?\\s+', ''))"
     )
 
@@ -75,11 +75,11 @@ NV_RE = r"^(.+?)\s*\(([^)]+)\)\s*$"
 
 
 def sql_name_value(a: str, t: str) -> str:
-    name = f"trim(regexp_extract(trim({t}), '{NV_RE}', 1))"
-    value = f"trim(regexp_extract(trim({t}), '{NV_RE}', 2))"
+    name = f"strip(regexp_extract(strip({t}), '{NV_RE}', 1))"
+    value = f"strip(regexp_extract(strip({t}), '{NV_RE}', 2))"
     return (
-        f"(CASE WHEN regexp_matches(trim({t}), '{NV_RE}') THEN {sql_entity(a, name)} AND {sql_numeric(a, value)} "
-        f"ELSE {sql_entity(a, f'trim({t})')} END)"
+        f"(CASE WHEN regexp_matches(strip({t}), '{NV_RE}') THEN {sql_entity(a, name)} AND {sql_numeric(a, value)} "
+        f"ELSE {sql_entity(a, f'strip({t})')} END)"
     )
 
 
@@ -90,17 +90,17 @@ def sql_abstention(a: str) -> str:
 
 def sql_rule(a: str, t: str, c: str) -> str:
     return (
-        f"(CASE WHEN lower(trim({a})) = lower(trim({t})) THEN TRUE "
-        f"WHEN {c} IN ({_sql_list(A.NUMERIC_TYPES)}) THEN {sql_numeric(f'trim({a})', t)} "
-        f"WHEN {c} IN ({_sql_list(A.NAME_VALUE_TYPES)}) THEN {sql_name_value(f'trim({a})', t)} "
-        f"WHEN {c} IN ({_sql_list(A.ENTITY_TYPES)}) THEN {sql_entity(f'trim({a})', f'trim({t})')} "
-        f"WHEN {c} = 'temporal_trend' THEN contains(lower({a}), lower(trim({t}))) "
+        f"(CASE WHEN lower(strip({a})) = lower(strip({t})) THEN TRUE "
+        f"WHEN {c} IN ({_sql_list(A.NUMERIC_TYPES)}) THEN {sql_numeric(f'strip({a})', t)} "
+        f"WHEN {c} IN ({_sql_list(A.NAME_VALUE_TYPES)}) THEN {sql_name_value(f'strip({a})', t)} "
+        f"WHEN {c} IN ({_sql_list(A.ENTITY_TYPES)}) THEN {sql_entity(f'strip({a})', f'strip({t})')} "
+        f"WHEN {c} = 'temporal_trend' THEN contains(lower({a}), lower(strip({t}))) "
         f"WHEN {c} = 'abstention' THEN {sql_abstention(a)} ELSE FALSE END)"
     )
 
 
 SQL["graded"] = f"""
-SELECT *, CASE WHEN competency = 'abstention' THEN 'rule:abstention' WHEN trim(answer) = '' THEN 'rule:empty_answer'
+SELECT *, CASE WHEN competency = 'abstention' THEN 'rule:abstention' WHEN strip(answer) = '' THEN 'rule:empty_answer'
           WHEN correct THEN 'rule:pass' ELSE 'rule:fail' END AS reason
 FROM (SELECT *, {sql_rule('answer', 'truth', 'competency')} AS correct FROM answer) g
 """
@@ -193,22 +193,22 @@ def _audit_sql(rule: str) -> str:
     )
 
 
-@query("grade_numeric", _audit_sql(sql_numeric("trim(answer)", "truth")))
+@query("grade_numeric", _audit_sql(sql_numeric("strip(answer)", "truth")))
 def _(t: Tables) -> DataFrame:
     return _audit(G.grade_numeric(t.answer))
 
 
-@query("grade_entity", _audit_sql(sql_entity("trim(answer)", "trim(truth)")))
+@query("grade_entity", _audit_sql(sql_entity("strip(answer)", "strip(truth)")))
 def _(t: Tables) -> DataFrame:
     return _audit(G.grade_entity(t.answer))
 
 
-@query("grade_name_value", _audit_sql(sql_name_value("trim(answer)", "truth")))
+@query("grade_name_value", _audit_sql(sql_name_value("strip(answer)", "truth")))
 def _(t: Tables) -> DataFrame:
     return _audit(G.grade_name_value(t.answer))
 
 
-@query("grade_abstention", _audit_sql(sql_abstention("trim(answer)")))
+@query("grade_abstention", _audit_sql(sql_abstention("strip(answer)")))
 def _(t: Tables) -> DataFrame:
     return _audit(G.grade_abstention(t.answer))
 
@@ -249,13 +249,13 @@ def _(t: Tables) -> DataFrame:
     return G.grading_audit(G.apply_judge_verdicts(graded(t), replies, ["question_id"]), ["competency"])
 
 
-_N = "TRY_CAST(translate(lower(trim({0})), ',%', '') AS DOUBLE)"
+_N = "TRY_CAST(translate(lower(strip({0})), ',%', '') AS DOUBLE)"
 
 
 @query("single_turn_score", f"""
 SELECT model, competency, score, COUNT(*) AS n FROM (
   SELECT model, competency, COALESCE(CAST(reward AS DOUBLE),
-    CASE WHEN answer = '' OR truth = '' THEN CAST(0 AS DOUBLE) WHEN lower(trim(answer)) = lower(trim(truth)) THEN 1.0
+    CASE WHEN answer = '' OR truth = '' THEN CAST(0 AS DOUBLE) WHEN lower(strip(answer)) = lower(strip(truth)) THEN 1.0
          WHEN COALESCE(CASE WHEN {_N.format('truth')} = 0 THEN {_N.format('answer')} = 0
               ELSE abs({_N.format('answer')} - {_N.format('truth')}) / abs({_N.format('truth')}) <= 0.02 END, FALSE) THEN 1.0
          ELSE 0.0 END) AS score

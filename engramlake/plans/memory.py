@@ -102,7 +102,7 @@ SELECT b.item_id AS query_id, d.source AS agent_id, b.text FROM benchmark b JOIN
 """
 SQL["vec_entry"] = """
 SELECT d.source AS agent_id, d.doc_id AS entry_id, d.doc_id AS seq, d.text AS content, CAST(e.embedding AS DOUBLE[]) AS embedding
-FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id
 """
 SQL["word"] = r"""
 SELECT agent_id, entry_id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+')) AS tok FROM vec_entry
@@ -131,13 +131,15 @@ SQL["bm25_vec"] = _bm25_sql("vec_entry")
 SQL["cos_vec"] = """
 SELECT q.agent_id, q.query_id, e.entry_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), e.embedding) AS score
 FROM query_text q JOIN embeddings v ON v.vec_id = q.query_id JOIN vec_entry e ON e.agent_id = q.agent_id
+WHERE e.embedding IS NOT NULL
 """
 SQL["fused"] = """
-SELECT v.agent_id, v.query_id, v.entry_id, v.rank_vec, b.rank_bm25, 0.7::DOUBLE / (60 + v.rank_vec) + 0.3::DOUBLE / (60 + b.rank_bm25) AS rrf
+SELECT b.agent_id, b.query_id, b.entry_id, v.rank_vec, b.rank_bm25, coalesce(0.7::DOUBLE / (60 + v.rank_vec), 0) + 0.3::DOUBLE / (60 + b.rank_bm25) AS rrf
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY agent_id, query_id ORDER BY ROUND(score, 9) DESC, entry_id) AS rank_vec FROM cos_vec) v
-JOIN (SELECT c.agent_id, c.query_id, c.entry_id, ROW_NUMBER() OVER (PARTITION BY c.agent_id, c.query_id
+RIGHT JOIN (SELECT c.agent_id, c.query_id, c.entry_id, ROW_NUMBER() OVER (PARTITION BY c.agent_id, c.query_id
         ORDER BY ROUND(COALESCE(b.score, 0), 9) DESC, c.entry_id) AS rank_bm25
-      FROM cos_vec c LEFT JOIN bm25_vec b ON b.query_id = c.query_id AND b.entry_id = c.entry_id) b
+      FROM (SELECT q.agent_id, q.query_id, e.entry_id FROM query_text q JOIN embeddings v ON v.vec_id = q.query_id
+            JOIN vec_entry e ON e.agent_id = q.agent_id) c LEFT JOIN bm25_vec b ON b.query_id = c.query_id AND b.entry_id = c.entry_id) b
   ON b.query_id = v.query_id AND b.entry_id = v.entry_id
 """
 SQL["decayed"] = """
@@ -159,7 +161,7 @@ def query_vec(t: Tables) -> DataFrame:
 
 def vec_entries(t: Tables) -> DataFrame:
     v = t.raw("embeddings").select(F.col("vec_id").alias("entry_id"), "embedding")
-    return t.memory_entry.join(v, "entry_id")
+    return t.memory_entry.join(v, "entry_id", "left")
 
 
 @query("bm25_scores", f"SELECT agent_id, query_id, entry_id, ROUND(score, 6) AS score FROM ({_bm25_sql('memory_entry')}) x")
@@ -241,7 +243,7 @@ WITH pool AS (
   FROM name_query q JOIN embeddings qv ON qv.vec_id = q.query_id
   JOIN name_entry e ON e.world_id = q.world_id JOIN embeddings ev ON ev.vec_id = e.entry_id),
 x AS (
-  SELECT q.world_id, q.query_id, e.entry_id, lower(trim(q.text)) AS q, lower(trim(split_part(e.content, ' | ', 1))) AS name, lower(e.content) AS content, p.rank
+  SELECT q.world_id, q.query_id, e.entry_id, lower(strip(q.text)) AS q, lower(strip(split_part(e.content, ' | ', 1))) AS name, lower(e.content) AS content, p.rank
   FROM name_query q JOIN name_entry e ON e.world_id = q.world_id
   LEFT JOIN pool p ON p.query_id = q.query_id AND p.entry_id = e.entry_id AND p.rank <= 15),
 y AS (SELECT *, CASE WHEN name = q THEN 0 WHEN contains(name, q) OR contains(q, name) THEN 1 WHEN contains(content, q) THEN 2 ELSE 3 END AS match_class FROM x)
@@ -255,7 +257,7 @@ def _(t: Tables) -> DataFrame:
     r, name = F.col("n_regionkey"), F.col("entity")
     q = first.select(
         "world_id", "query_id",
-        F.when(r == 0, name).when(r == 1, F.substring(name, 10, 100)).when(r == 2, F.concat(name, F.lit(" details")))
+        F.when(r == 0, name).when(r == 1, F.substr(name, F.lit(10))).when(r == 2, F.concat(name, F.lit(" details")))
         .otherwise("1-URGENT").alias("text"),
     )
     e = name_entries(t)
@@ -269,7 +271,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("extract_kv", """
-SELECT world_id, entry_id, lower(trim(split_part(part, ':', 1))) AS label, trim(substr(part, instr(part, ':') + 1)) AS value
+SELECT world_id, entry_id, lower(strip(split_part(part, ':', 1))) AS label, strip(substr(part, instr(part, ':') + 1)) AS value
 FROM (SELECT world_id, entry_id, unnest(string_split(content, '|')) AS part FROM name_entry) p WHERE contains(part, ':')""")
 def _(t: Tables) -> DataFrame:
     return M.extract_kv(name_entries(t), ["world_id", "entry_id"])
@@ -282,7 +284,7 @@ WITH res AS (
 asked AS (SELECT a.world_id, a.entity, a.entity || '/' || a.attr AS question_id, d.label,
       CASE a.dtype WHEN 'int' THEN CAST(CAST(num AS BIGINT) AS VARCHAR) WHEN 'float' THEN format('{{:.2f}}', num) WHEN 'date' THEN CAST(dt AS VARCHAR) ELSE str END AS truth
     FROM entity_attr a JOIN attr_def d ON d.attr = a.attr),
-part AS (SELECT q.world_id, q.question_id, q.truth, q.label AS asked, r.content, trim(split_part(p.part, ':', 1)) AS label, trim(substr(p.part, instr(p.part, ':') + 1)) AS value, contains(p.part, ':') AS kv
+part AS (SELECT q.world_id, q.question_id, q.truth, q.label AS asked, r.content, strip(split_part(p.part, ':', 1)) AS label, strip(substr(p.part, instr(p.part, ':') + 1)) AS value, contains(p.part, ':') AS kv
     FROM asked q LEFT JOIN res r ON r.world_id = q.world_id AND r.entity = q.entity
     LEFT JOIN LATERAL (SELECT unnest(string_split(r.content, '|')) AS part) p ON TRUE),
 verdict AS (SELECT world_id, question_id, BOOL_OR(COALESCE(contains(replace(content, ',', ''), truth)
@@ -384,7 +386,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("memory_inventory", """
-SELECT e.world_id, COUNT(*) AS n_entries, string_agg(CASE WHEN rn <= 30 THEN trim(split_part(content, '|', 1)) END, '; ' ORDER BY seq) AS names,
+SELECT e.world_id, COUNT(*) AS n_entries, string_agg(CASE WHEN rn <= 30 THEN strip(split_part(content, '|', 1)) END, '; ' ORDER BY seq) AS names,
        GREATEST(30 - MAX(n.n_regionkey) * 10, 0) AS remaining
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY world_id ORDER BY seq) AS rn FROM entry) e JOIN nation n ON n.n_nationkey = e.world_id GROUP BY e.world_id""")
 def _(t: Tables) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from engramlake.functions.answers import WHITESPACE
 from engramlake.plans import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,12 +26,25 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[fixtures.Tab
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_fixtures(sql)
+            ORACLES[name] = stripped(with_fixtures(sql))
         return run
 
     return wrap
 
 
+def stripped(sql: str) -> str:
+    """Write out ``strip(x)``, which oracle texts use for a trim of all white space."""
+    while (m := re.search(r"(?<![\w.])strip\(", sql)) is not None:
+        depth, at, quoted = 1, m.end(), False
+        while depth:
+            c = sql[at]
+            quoted ^= c == "'"
+            depth += 0 if quoted else {"(": 1, ")": -1}.get(c, 0)
+            at += 1
+        sql = f"{sql[: m.start()]}trim({sql[m.end() : at - 1]}, '{WHITESPACE}'){sql[at:]}"
+    return sql
+
+
 def with_fixtures(sql: str) -> str:
     """Put the fixtures a query mentions in front of it as common table expressions."""
     needed: list[str] = []

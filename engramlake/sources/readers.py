@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engramlake.functions.answers import strip
 from engramlake.functions.text import normal_topic
 from engramlake.operators.convo import THINK, TRAJECTORY_SCHEMA
 from engramlake.operators.scoring import infer_tier
@@ -94,7 +95,7 @@ def read_agent_trace(spark: SparkSession, path: str, keys: Sequence[str] = ()) -
     )
     v = F.try_parse_json("value")
     inner = F.try_variant_get(v, "$.data", "string")
-    d = lines.where(F.trim("value") != "").withColumn("__v", v).where(F.col("__v").isNotNull())
+    d = lines.where(strip("value") != "").withColumn("__v", v).where(F.col("__v").isNotNull())
     return d.select(
         *keys, "file_path", "block", "line", F.try_variant_get(F.col("__v"), "$.type", "string").alias("type"),
         F.coalesce(F.try_parse_json(inner), F.try_parse_json(F.lit("{}"))).alias("data"),
@@ -112,7 +113,7 @@ def rollup_trace(trace: DataFrame, keys: Sequence[str]) -> DataFrame:
     kind, at = F.col("type"), F.struct("block", "line")
     request = kind == "tool.request"
     writes = request & (get("$.tool") == "memory") & get("$.args.action").isin(WRITE_ACTIONS)
-    text = F.trim(F.regexp_replace(F.coalesce(get("$.text"), F.lit("")), THINK, ""))
+    text = strip(F.regexp_replace(F.coalesce(get("$.text"), F.lit("")), THINK, ""))
     reason = get("$.reason")
     abnormal = (kind == "turn.end") & reason.isNotNull() & (reason != "completed")
     d = trace.groupBy(*keys).agg(
@@ -170,7 +171,7 @@ def parse_training_logs(lines: DataFrame, text: str = "value") -> DataFrame:
 
 def split_entries(text: Column) -> Column:
     """Entries of a delimited memory file without their timestamp headers."""
-    parts = F.split(F.trim(text), MEMORY_DELIMITER)
+    parts = F.split(strip(text), MEMORY_DELIMITER)
     clean = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"^\s+|\s+$", ""), TIMESTAMP_HEADER, ""), r"^\s+|\s+$", ""))
     return F.filter(clean, lambda p: p != "")
 
