@@ -27,7 +27,6 @@ SUBMITTED = r"ANSWER_SUBMITTED:\s*(.+)"
 SEPARATOR = "\n\n---\n\n"
 CONTEXT_LIMIT, CONTEXT_TAIL = 24, 22
 REPEAT_LIMIT, DEAD_LIMIT = 5, 2
-TURN_SPAN = 4096
 
 TRAJECTORY_SCHEMA = (
     "conv_id string, event_idx bigint, type string, content string, turns array<struct<role: string, content: string, "
@@ -55,11 +54,16 @@ def trajectory_to_messages(events: DataFrame, conv: str = "conv_id", chunk_rows:
     )
     calls = F.coalesce(F.col("t.tool_calls"), F.array().cast("array<struct<name: string, arguments: string>>"))
     turns = turns.select(
-        conv, "event_idx", "turn_idx", (F.col("event_idx") * TURN_SPAN + F.col("turn_idx")).alias("__seq"),
+        conv, "event_idx", "turn_idx",
         F.col("t.content").alias("content"), calls.alias("calls"),
         F.coalesce(F.col("t.tool_results"), F.array().cast("array<string>")).alias("results"),
     )
-    turns = running_sum(turns, [conv], "__seq", {"base": F.size("calls")}, inclusive=False, chunk_rows=chunk_rows * TURN_SPAN)
+    # calls before a turn: those of earlier events, and those of earlier turns of its own
+    events_calls = turns.groupBy(conv, "event_idx").agg(F.sum(F.size("calls")).alias("__n"))
+    before = running_sum(events_calls, [conv], "event_idx", {"__before": F.col("__n")}, inclusive=False, chunk_rows=chunk_rows)
+    turns = running_sum(turns, [conv, "event_idx"], "turn_idx", {"__in": F.size("calls")}, inclusive=False, chunk_rows=chunk_rows)
+    turns = turns.join(before.select(conv, "event_idx", "__before"), [conv, "event_idx"])
+    turns = turns.withColumn("base", (F.col("__before") + F.col("__in")).cast("bigint")).drop("__before", "__in")
     n = F.size("calls")
     ids = F.transform("calls", lambda c, i: F.concat(F.lit("call_"), (F.col("base") + i).cast("string")))
     said = F.coalesce(F.col("content") != "", F.lit(False))

@@ -13,17 +13,18 @@ from engramlake.operators.scoring import fill_unanswered
 MID_SHARE = 0.4
 
 
-def assign_batches(entities: DataFrame, keys: Sequence[str], seq: str, batch_size: int, *, keep_tail: bool = False,
+def assign_batches(entities: DataFrame, keys: Sequence[str], seq: str, batch_size: int, *, keep_tail: bool = True,
                    chunk_rows: int = 1_000_000) -> DataFrame:
     """Fixed-size batches in arrival order and the entities seen after each row's batch.
 
-    The number of batches is max(1, n // size); without ``keep_tail`` the rest is not ingested.
+    The last batch may be shorter. Without ``keep_tail`` there are max(1, n // size) batches and the rest is not ingested.
     """
     keys = list(keys)
     d = running_sum(entities, keys, seq, {"__rn": F.lit(1)}, chunk_rows=chunk_rows)
     n = entities.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     d = d.join(n, keys).withColumn("batch", F.floor((F.col("__rn") - 1) / batch_size))
-    d = d.withColumn("n_batches", F.greatest(F.lit(1), F.floor(F.col("__n") / batch_size)))
+    whole = F.ceil(F.col("__n") / batch_size) if keep_tail else F.floor(F.col("__n") / batch_size)
+    d = d.withColumn("n_batches", F.greatest(F.lit(1), whole))
     if not keep_tail:
         d = d.where(F.col("batch") < F.col("n_batches"))
     return d.select(

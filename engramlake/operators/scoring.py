@@ -251,13 +251,18 @@ def _any_token(text: Column, tokens: Sequence[str]) -> Column:
     return hit
 
 
-def classify_errors(df: DataFrame, error: str = "error") -> DataFrame:
-    """Flags per message: infrastructure, wallclock, retryable, and the class they add up to."""
+def classify_errors(
+    df: DataFrame, error: str = "error", *, final: Sequence[str] = FINAL_TOKENS, wallclock: Sequence[str] = WALLCLOCK_TOKENS
+) -> DataFrame:
+    """Flags per message: infrastructure, wallclock, retryable, and the class they add up to.
+
+    The tokens are arguments, because an agent's time-out message may name the agent.
+    """
     low = F.lower(error)
     present = F.coalesce(F.col(error) != "", F.lit(False))
     infra = present & ~F.contains(low, F.lit("max_turns"))
-    wall = present & _any_token(low, WALLCLOCK_TOKENS)
-    retry = present & ~_any_token(low, FINAL_TOKENS) & _any_token(low, RETRYABLE_TOKENS)
+    wall = present & _any_token(low, wallclock)
+    retry = present & ~_any_token(low, final) & _any_token(low, RETRYABLE_TOKENS)
     return df.select(
         "*",
         infra.alias("is_infra"), wall.alias("is_wallclock"), retry.alias("is_retryable"),

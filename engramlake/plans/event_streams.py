@@ -20,12 +20,20 @@ FROM (SELECT c_nationkey AS world_id, c_name AS entity, c_custkey AS arrival, RO
 """
 
 
-def batched(t: Tables) -> DataFrame:
+def batched(t: Tables, keep_tail: bool = False) -> DataFrame:
     e = t.raw("customer").select(F.col("c_nationkey").alias("world_id"), F.col("c_name").alias("entity"), F.col("c_custkey").alias("arrival"))
-    return K.assign_batches(e, ["world_id"], "arrival", BATCH)
+    return K.assign_batches(e, ["world_id"], "arrival", BATCH, keep_tail=keep_tail)
 
 
-@query("assign_batches", "SELECT world_id, entity, arrival, batch, n_batches, entities_seen FROM batched")
+@query("assign_batches", f"""
+SELECT world_id, entity, arrival, (rn - 1) // {BATCH} AS batch, (n + {BATCH} - 1) // {BATCH} AS n_batches, LEAST(((rn - 1) // {BATCH} + 1) * {BATCH}, n) AS entities_seen
+FROM (SELECT c_nationkey AS world_id, c_name AS entity, c_custkey AS arrival, ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn,
+        COUNT(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) x""")
+def _(t: Tables) -> DataFrame:
+    return batched(t, keep_tail=True)
+
+
+@query("assign_batches_floor", "SELECT world_id, entity, arrival, batch, n_batches, entities_seen FROM batched")
 def _(t: Tables) -> DataFrame:
     return batched(t)
 

@@ -129,9 +129,10 @@ def _(t: Tables) -> DataFrame:
 @query("read_memory_snapshot", r"""
 SELECT source AS agent, lang || CAST(doc_id AS VARCHAR) AS topic, CAST(p.i AS INT) AS position,
        md5(CASE p.i WHEN 0 THEN body ELSE 'second of ' || doc_id END) AS content_md5
-FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents WHERE NOT contains(text, '§')) d JOIN (VALUES (0), (1)) p(i) ON TRUE""")
+FROM (SELECT *, regexp_replace(replace(text, '§', '%'), '^\s+|\s+$', '', 'g') AS body FROM documents) d JOIN (VALUES (0), (1)) p(i) ON TRUE""")
 def _(t: Tables) -> DataFrame:
-    d = t.raw("documents").where(~F.contains("text", F.lit("§")))
+    # the mark that parts entries may not stand inside one
+    d = t.raw("documents").withColumn("text", F.translate("text", "§", "%"))
     body = F.concat(F.lit("[2024-01-02T03:04:05Z]\n"), "text", F.lit(A.MEMORY_DELIMITER), F.lit(" second of "), "doc_id", F.lit("\n"))
     files = d.select(F.col("source").alias("agent"), A.normal_topic(F.concat(F.upper("lang"), F.lit(" "), "doc_id")).alias("topic"), body.alias("value"))
     out = A.snapshot_entries(files, ["agent", "topic"])

@@ -54,11 +54,23 @@ def _(t: Tables) -> DataFrame:
     return rows.where(F.col("position") >= 0)
 
 
-@query("stream_answers_in_time")
+@query("stream_answers_in_time", """
+SELECT q.event_id AS question_id, epoch_us(CAST(q.ts AS TIMESTAMP)) AS asked_us, epoch_us(a.answered_at) AS answered_us,
+  COALESCE(a.correct, FALSE) AS correct, CASE WHEN a.answer_id IS NULL THEN 'wallclock:unanswered' ELSE 'answered' END AS status
+FROM events q LEFT JOIN (
+  SELECT event_id AS answer_id, CAST(ts AS TIMESTAMP) + to_minutes(k) AS answered_at, k % 2 = 0 AS correct
+  FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events WHERE event_type = 'view') e WHERE k > 30) a
+ON a.answer_id = q.event_id AND a.answered_at >= CAST(q.ts AS TIMESTAMP) AND a.answered_at < CAST(q.ts AS TIMESTAMP) + INTERVAL 1 HOUR
+WHERE q.event_type = 'view'""")
 def _(t: Tables) -> DataFrame:
-    e, k = F.col("event_type"), number_in(F.col("props"))
-    q = events(t).where(e == "view").select(F.col("event_id").alias("question_id"), F.col("ts").cast("timestamp").alias("asked_at"))
-    a = events(t).where((e == "view") & (k > 30)).select(
-        F.col("event_id").alias("answer_id"), (F.col("ts").cast("timestamp") + F.make_interval(mins=k)).alias("answered_at"), (k % 2 == 0).alias("correct")
-    )
-    return S.run_to_table(S.answers_in_time_stream(q, a), "append").drop("batch_id")
+    def both(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        e, k = F.col("event_type"), number_in(F.col("props"))
+        q = rows.where(e == "view").select(F.col("event_id").alias("question_id"), F.col("ts").cast("timestamp").alias("asked_at"))
+        a = rows.where((e == "view") & (k > 30)).select(
+            F.col("event_id").alias("answer_id"), (F.col("ts").cast("timestamp") + F.make_interval(mins=k)).alias("answered_at"), (k % 2 == 0).alias("correct")
+        )
+        return q, a
+
+    emitted = S.run_to_table(S.answers_in_time_stream(*both(events(t))), "append")
+    d = S.finished_answers(emitted, *both(t.raw("events")))
+    return d.select("question_id", F.unix_micros("asked_at").alias("asked_us"), F.unix_micros("answered_at").alias("answered_us"), "correct", "status")

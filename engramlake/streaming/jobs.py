@@ -93,6 +93,22 @@ def answers_in_time_stream(questions: DataFrame, answers: DataFrame, *, limit: s
     )
 
 
+def finished_answers(emitted: DataFrame, questions: DataFrame, answers: DataFrame, *, limit: str = "1 hour") -> DataFrame:
+    """What ``answers_in_time_stream`` has emitted, made whole once the input has ended.
+
+    Answers the stream has matched stay. Questions still waiting at the end, and rows that came behind
+    the watermark because files were read in another order, are matched here from the same tables
+    read whole, so the result depends neither on the number of files nor on their order.
+    """
+    in_time = F.expr(f"answer_id = question_id AND answered_at >= asked_at AND answered_at < asked_at + interval {limit}")
+    matched = emitted.where("status = 'answered'").select("question_id", "asked_at", "answered_at", "correct", "status")
+    whole = questions.join(answers, in_time, "left").select(
+        "question_id", "asked_at", "answered_at", F.coalesce("correct", F.lit(False)).alias("correct"),
+        F.when(F.col("answer_id").isNull(), "wallclock:unanswered").otherwise("answered").alias("status"),
+    )
+    return matched.unionByName(whole.join(matched.select("question_id", "answered_at"), ["question_id", "answered_at"], "left_anti"))
+
+
 def run_to_table(stream: DataFrame, mode: str = "update") -> DataFrame:
     """Process what is available and return all emitted rows with their batch number."""
     spark = stream.sparkSession
