@@ -273,20 +273,18 @@ def text_phrases(texts: DataFrame, scope: Sequence[str], entity: str, text: str)
     return exploded(d, [*scope, entity], phrases, "phrase")
 
 
-def q_text_match(texts: DataFrame, scope: Sequence[str], entity: str, text: str, tries: int = 10) -> DataFrame:
-    """Phrases that occur, as a substring and ignoring case, in exactly one entity's text.
+def q_text_match(texts: DataFrame, scope: Sequence[str], entity: str, text: str) -> DataFrame:
+    """All phrases that occur, as a substring and ignoring case, in exactly one entity's text.
 
-    Phrases used by one entity only survive a plain count. Each entity tries its ``tries`` longest
-    survivors (the number of tries is part of the question's definition); those are then checked as
-    substrings of every text of the world.
+    Phrases used by one entity only survive a plain count; those are then checked as substrings of
+    every text of the world.
     """
     scope = list(scope)
     grams = text_phrases(texts, scope, entity, text)
     single = grams.groupBy(*scope, "phrase").agg(F.min(entity).alias(entity), F.max(entity).alias("__max")).where(
         F.col(entity) == F.col("__max")
     ).drop("__max")
-    tried = top_k(single, [*scope, entity], [F.length("phrase").desc(), F.col("phrase")], tries, "__rn").drop("__rn")
-    tried = materialise(tried, "phrases")  # at most ``tries`` short rows per entity, read by several branches
+    tried = materialise(single, "phrases")  # read by several branches
     long_texts = texts.where(F.length(text) > 20).select(*scope, F.col(entity).alias("__holder"), text)
     hits = contains_pairs(
         tried.select(*scope, "phrase", F.col("phrase").alias("__needle_text")), long_texts,

@@ -225,7 +225,7 @@ g AS (SELECT DISTINCT world_id, doc_id, unnest(list_concat(
         list_transform(list_filter(list_zip(ws[1:len(ws) - 1], ws[2:]), lambda p: length(p[1]) > 2 AND length(p[2]) > 2),
                        lambda p: p[1] || ' ' || p[2]))) AS phrase FROM w),
 single AS (SELECT world_id, phrase, MIN(doc_id) AS doc_id FROM g GROUP BY world_id, phrase HAVING MIN(doc_id) = MAX(doc_id)),
-tried AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY world_id, doc_id ORDER BY length(phrase) DESC, phrase) AS rn FROM single) s WHERE rn <= 10)
+tried AS (SELECT * FROM single)
 SELECT t.world_id, t.phrase, t.doc_id AS answer FROM tried t JOIN w ON w.world_id = t.world_id AND contains(w.low, t.phrase)
 GROUP BY t.world_id, t.phrase, t.doc_id HAVING COUNT(*) = 1 AND MIN(w.doc_id) = t.doc_id""")
 def _(t: Tables) -> DataFrame:
