@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C13)  # odd, 3 mod 4
 
 
@@ -76,21 +75,28 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, the same in every block."""
         n = len(self.data)
-        power, inverse, weight = _powers(1 << max(16, (n + 1).bit_length()))
+        power, inverse, weight = _powers(n + 1)
         run = np.zeros(n + 1, np.uint64)
         np.cumsum(weight[self.data] * power[:n], out=run[1:])
         h = (run[self.end] - run[self.start]) * inverse[self.start]
         return mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-@lru_cache(maxsize=1)
+_KEPT: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    def powers(base: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.cumprod(out)
+    """At least ``n`` powers of the base and of its inverse, and a weight for each byte. A task keeps the longest made."""
+    if not _KEPT or len(_KEPT[0][0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+
+        def powers(base: int) -> np.ndarray:
+            out = np.full(size, base, np.uint64)
+            out[0] = 1
+            return np.cumprod(out)
 
-    return powers(int(_BASE)), powers(pow(int(_BASE), -1, 1 << 64)), mix(np.arange(1, 257, dtype=np.uint64))
+        _KEPT[:] = [(powers(int(_BASE)), powers(pow(int(_BASE), -1, 1 << 64)), mix(np.arange(1, 257, dtype=np.uint64)))]
+    return _KEPT[0]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -106,7 +112,7 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of ``n`` consecutive values; entry i is the run that begins at i."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    power, inverse, _ = _powers(1 << max(16, (len(h) + 1).bit_length()))
+    power, inverse, _ = _powers(len(h) + 1)
     run = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * power[: len(h)], out=run[1:])
     return mix((run[n:] - run[:-n]) * inverse[: len(h) - n + 1])
