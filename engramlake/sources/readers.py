@@ -171,7 +171,7 @@ def parse_training_logs(lines: DataFrame, text: str = "value") -> DataFrame:
 
 def split_entries(text: Column) -> Column:
     """Entries of a delimited memory file without their timestamp headers."""
-    parts = F.split(strip(text), MEMORY_DELIMITER)
+    parts = F.split(text, MEMORY_DELIMITER)
     clean = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"^\s+|\s+$", ""), TIMESTAMP_HEADER, ""), r"^\s+|\s+$", ""))
     return F.filter(clean, lambda p: p != "")
 

@@ -37,7 +37,7 @@ def test_text_match_is_unique_as_a_substring(spark):
         (1, "c", "nothing shared in this sentence, truly unusual"),
     ]
     d = spark.createDataFrame(docs, "world_id int, entity string, text string")
-    got = {(r.phrase, r.answer) for r in C.q_text_match(d, ["world_id"], "entity", "text", tries=100).collect()}
+    got = {(r.phrase, r.answer) for r in C.q_text_match(d, ["world_id"], "entity", "text").collect()}
     low = {e: t.lower() for _, e, t in docs}
     for phrase, answer in got:
         assert [e for e, t in low.items() if phrase in t] == [answer]
@@ -122,12 +122,20 @@ def test_shaped_write_reward(spark):
     assert got == pytest.approx([0.3, -0.1, 0.6, -0.05, 0.0])
 
 
-def test_batches_drop_the_tail(spark):
+def test_text_match_has_no_limit(spark):
+    words = [f"{c}{'x' * 6}{d}" for c in "abcdefgh" for d in "pqrs"]
+    d = spark.createDataFrame([(1, "a", " ".join(words)), (1, "b", " ".join(words[:16]) + " something else entirely")], "world_id int, entity string, text string")
+    got = {r.phrase for r in C.q_text_match(d, ["world_id"], "entity", "text").where("answer = 'a'").collect()}
+    assert set(words[16:]) <= got and not set(words[:16]) & got
+
+
+def test_batches_keep_or_drop_the_tail(spark):
     d = spark.createDataFrame([(1, i) for i in range(25)] + [(2, i) for i in range(4)], "w int, seq int")
     for chunk in (3, 1000):
-        rows = K.assign_batches(d, ["w"], "seq", 10, chunk_rows=chunk).collect()
+        rows = K.assign_batches(d, ["w"], "seq", 10, keep_tail=False, chunk_rows=chunk).collect()
         assert sorted((r.w, r.seq, r.batch) for r in rows) == [(1, i, i // 10) for i in range(20)] + [(2, i, 0) for i in range(4)]
-        assert len(K.assign_batches(d, ["w"], "seq", 10, keep_tail=True, chunk_rows=chunk).collect()) == 29
+        rows = K.assign_batches(d, ["w"], "seq", 10, chunk_rows=chunk).collect()
+        assert sorted((r.w, r.seq, r.batch, r.n_batches) for r in rows) == [(1, i, i // 10, 3) for i in range(25)] + [(2, i, 0, 1) for i in range(4)]
 
 
 def test_sessions(spark):
