@@ -46,16 +46,18 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """id, fp (the fingerprint as a signed long); a row for each row of ``docs``."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, marks: bool = False) -> DataFrame:
+    """id, fp (the fingerprint as a signed long), with ``marks`` also mark (a hash of the text); a row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), size) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            more = b.columns[2:]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *more], ["id", "fp", "mark"][: 2 + len(more)])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    mark = [F.xxhash64(text_col).alias("mark")] if marks else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *mark)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long" + (", mark long" if marks else ""))
 
 
 def near_fingerprints(
@@ -120,6 +122,15 @@ def near_fingerprints(
     return rows.select("shard.leaf", "shard.a", "shard.b", "fp").mapInArrow(join, "u long, v long")
 
 
+def _rooted(prints: DataFrame, reach: int, sample: int, leaf_points: int) -> DataFrame:
+    """fp, least, root: each fingerprint with the smallest id that has it and the root of its component."""
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    distinct = written(distinct, "distinct")
+    roots = components(near_fingerprints(distinct, reach, sample, leaf_points))
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left")
+    return written(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 3, reach: int = 3,
     sample: int = 65_536, leaf_points: int = 100_000,
@@ -132,26 +143,30 @@ def near_duplicates(
     come out. An empty table gives an empty result.
     """
     prints = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    distinct = written(distinct, "distinct")
-    roots = components(near_fingerprints(distinct, reach, sample, leaf_points))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left")
-    rooted = written(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    rooted = _rooted(prints, reach, sample, leaf_points)
     groups = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(groups, "root").select("fp", "component")
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component stays: the one with the smallest id.
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 3, reach: int = 3,
+    sample: int = 65_536, leaf_points: int = 100_000,
+) -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each component stays: the one with the smallest id.
 
-    All columns are kept. Of rows that repeat an id, the one whose text hashes lowest stays. Rows
-    without an id cannot be told apart by the result and stay.
+    All columns are kept. Of a component's rows that share its smallest id, the one whose text hashes
+    lowest stays; an id that repeats in several components can stay once in each. Rows without an id
+    cannot be told apart by the result and stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
-    stay = found.where("id = component").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(stay, id_col, "left_semi")
-    # the join has dealt and sorted the rows by id; this window adds no exchange
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    prints = written(fingerprints(docs, id_col, text_col, size, marks=True), "fingerprints")
+    rooted = _rooted(prints, reach, sample, leaf_points)
+    # what is smallest for a fingerprint comes first: only one row of each is joined to its component
+    least = prints.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("row"))
+    stay = least.join(rooted, "fp").groupBy("root").agg(F.min("row").alias("row"))
+    stay = stay.select(F.col("row.id").alias(id_col), F.col("row.mark").alias("__mark"))
+    kept = docs.where(F.col(id_col).isNotNull()).withColumn("__mark", F.xxhash64(text_col)).join(stay, [id_col, "__mark"], "left_semi")
+    # rows alike in id and text are of one component; the join has dealt and sorted them, this window adds no exchange
+    first = Window.partitionBy(id_col, "__mark").orderBy("__mark")
     kept = kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
