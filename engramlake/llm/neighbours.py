@@ -6,6 +6,8 @@ estimated chance to hold a neighbour: the product, over the functions, of the Ga
 perturbed interval. Candidates are scored in their bucket by exact cosine, and the tables' best are
 merged. How many buckets to visit is fitted on a sample of queries with known neighbours.
 
+Queries that so find fewer than k rows visit more buckets, and at last all vectors, block by block.
+
 Equal vectors are one class, so a vector that a third of the rows share is indexed once. Buckets
 with more rows than ``piece`` are split, and queries visit all pieces.
 """
@@ -14,8 +16,10 @@ from __future__ import annotations
 
 import heapq
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +35,13 @@ PIECE = 16_384
 SAMPLE = 256
 RECALL = 0.98
 MOST_PROBES = 20_000
+MORE_PROBES = 8  # times as many buckets for queries that found too little
 
 
-def usable(vector: Column, dims: int) -> Column:
-    """Vectors of ``dims`` finite components that are not all zero."""
+def usable(vector: Column) -> Column:
+    """Vectors of finite components that are not all zero."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf)))
-    return F.coalesce((F.size(vector) == dims) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
+    return F.coalesce(~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
 def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -78,6 +83,10 @@ class Index:
         p = p[p > 0]
         return float(-(p * np.log2(p)).sum())
 
+    def reachable(self) -> int:
+        """Buckets of a table that ``probes`` can list at all."""
+        return 12 ** self.a.shape[1]
+
     def places(self, vectors: np.ndarray) -> np.ndarray:
         """table x row x function, before flooring."""
         return np.einsum("tfd,nd->tnf", self.a, _unit(vectors)) + self.b[:, None, :]
@@ -150,7 +159,7 @@ def _sampled(classes: DataFrame, queries: DataFrame, dims: int, k: int, sample:
 
 
 def _probes_needed(index: Index, known: list, recall: float) -> int:
-    """Buckets to visit in each table so that ``recall`` of the sample's neighbours are found."""
+    """Buckets to visit in each table so that ``recall`` of the sample's neighbours are found; warns where the limit finds fewer."""
     ranks = []
     for query, near in known:
         keys = index.keys(np.array(near))
@@ -160,6 +169,9 @@ def _probes_needed(index: Index, known: list, recall: float) -> int:
             order = {int(v): r for r, v in reversed(list(enumerate(bucket_keys(index.probes(places[t, 0], MOST_PROBES)))))}
             found = np.minimum(found, [order.get(int(x), MOST_PROBES) for x in keys[t]])
         ranks += found.tolist()
+    reached = float(np.mean(np.array(ranks) < MOST_PROBES)) if ranks else 1.0
+    if reached < recall:
+        warnings.warn(f"{MOST_PROBES} buckets a table find {reached:.3f} of the sample's neighbours, not {recall}", stacklevel=3)
     return min(MOST_PROBES, 1 + int(np.quantile(ranks, recall, method="higher"))) if ranks else 1
 
 
@@ -169,16 +181,19 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``is_query`` its ``k`` nearest rows found, by largest cosine.
 
-    Vectors null, zero, of another length than the longest, or with null or non-finite components take
-    no part, nor do rows without an id; repeated rows count once. Ties go to the smaller id. A query's
-    own row is no candidate, other rows of the same vector are. Fewer candidates give fewer rows, and
-    an empty table none.
+    Vectors null, zero, with null or non-finite components, or of another length than most of the
+    others (the longer of equals) take no part, nor do rows without an id; repeated rows count once.
+    Ties go to the smaller id. A query's own row is no candidate, other rows of the same vector are.
+    A query gets fewer than ``k`` rows only where the table holds fewer candidates; an empty table
+    gives none.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where("id is not null")
-    dims = rows.agg(F.max(F.size("vec"))).first()[0] or 0
-    rows = rows.where(usable(F.col("vec"), max(1, dims)))
+    rows = rows.where(usable(F.col("vec")))
+    lengths = rows.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
+    dims = lengths.dims if lengths else 0
+    rows = rows.where(F.size("vec") == dims)
     # the k + 1 smallest ids of a vector answer for all of its rows; Spark limits them before the shuffle
     own = Window.partitionBy("vec").orderBy("id")
     low = rows.select("id", "vec").withColumn("n", F.dense_rank().over(own)).where(F.col("n") <= k + 1).distinct()
@@ -201,26 +216,12 @@ def nearest(
             for t in range(tables):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(keys[t]), b.column(0), b.column(1)], ["t", "bucket", "cls", "vec"])
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b.column(1), dims)
-            places = shared.value.places(x) if len(x) else np.zeros((tables, 0, 1))
-            for i in range(b.num_rows):
-                keys = [np.unique(bucket_keys(shared.value.probes(places[t, i], probes))) for t in range(tables)]
-                t = np.repeat(np.arange(tables, dtype=np.int32), [len(x) for x in keys])
-                take = pa.array(np.full(len(t), i))
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate(keys)), b.column(0).take(take), b.column(1).take(take)], ["t", "bucket", "cls", "vec"])
-
     kinds = "t int, bucket long, cls long, vec array<double>"
     dealt = written(classes.mapInArrow(deal, kinds), "vector-buckets")
     sizes = dealt.groupBy("t", "bucket").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
     dealt = dealt.join(sizes, ["t", "bucket"]).withColumn("piece", F.pmod(F.xxhash64("cls"), F.col("pieces")).cast("int"))
-    visits = queries.mapInArrow(visit, kinds).join(sizes, ["t", "bucket"])
-    visits = visits.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    cols = ["t", "bucket", "piece", "asks", "cls", "vec"]
-    both = dealt.withColumn("asks", F.lit(0)).select(*cols).union(visits.withColumn("asks", F.lit(1)).select(*cols))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    both = both.repartition(parts, "t", "bucket", "piece").sortWithinPartitions("t", "bucket", "piece", "asks")
+    cols = ["t", "bucket", "piece", "asks", "cls", "vec"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, held, x = None, [], [], None
@@ -255,11 +256,51 @@ def nearest(
                     out[2] += s[best].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["q", "cls", "score"])
 
-    found = both.mapInArrow(score, "q long, cls long, score double").distinct()
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))).where(F.col("r") <= k + 1)
+    def searched(held: DataFrame, visits: DataFrame) -> DataFrame:
+        """q, cls, score: the k + 1 best classes of each query in the pieces that it visits."""
+        both = held.withColumn("asks", F.lit(0)).select(*cols).union(visits.withColumn("asks", F.lit(1)).select(*cols))
+        both = both.repartition(parts, "t", "bucket", "piece").sortWithinPartitions("t", "bucket", "piece", "asks")
+        found = both.mapInArrow(score, "q long, cls long, score double").distinct()
+        return found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))).where(F.col("r") <= k + 1).drop("r")
+
+    def probed(queries: DataFrame, probes: int) -> DataFrame:
+        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = _matrix(b.column(1), dims)
+                places = shared.value.places(x) if len(x) else np.zeros((tables, 0, 1))
+                for i in range(b.num_rows):
+                    keys = [np.unique(bucket_keys(shared.value.probes(places[t, i], probes))) for t in range(tables)]
+                    t = np.repeat(np.arange(tables, dtype=np.int32), [len(x) for x in keys])
+                    take = pa.array(np.full(len(t), i))
+                    yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate(keys)), b.column(0).take(take), b.column(1).take(take)], ["t", "bucket", "cls", "vec"])
+
+        visits = queries.mapInArrow(visit, kinds).join(sizes, ["t", "bucket"])
+        return searched(dealt, visits.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))))
+
+    def by_blocks(queries: DataFrame) -> DataFrame:
+        blocks = max(1, -(-n // piece))
+        held = classes.select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("bucket"), F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int").alias("piece"), "cls", "vec")
+        each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("piece")
+        return searched(held, queries.select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("bucket"), each, "cls", "vec"))
+
     members = low.groupBy("cls").agg(F.sort_array(F.collect_set("id")).alias("ids"))  # k + 1 at most
-    best = best.join(members, "cls").groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("best"))  # k + 1 at most
-    best = written(best, "nearest-classes")
+    named = lambda best: best.join(members, "cls").groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("best"))  # noqa: E731  k + 1 at most
+    # with the query's own row among them
+    enough = min(k + 1, low.select("id").distinct().count())
+    size = F.aggregate("best", F.lit(0), lambda a, b: a + F.size(b["ids"]))
+    done, left, blocked = [], queries, False
+    while True:
+        best = written(named(by_blocks(left) if blocked else probed(left, probes)), "nearest-classes")
+        full = best if blocked else best.where(size >= enough)
+        done.append(full)
+        if blocked:
+            break
+        left = written(left.join(full, left.cls == full.q, "left_anti"), "query-classes")
+        if left.isEmpty():
+            break
+        blocked = probes >= MOST_PROBES or probes >= index.reachable()
+        probes = min(MOST_PROBES, probes * MORE_PROBES)
+    best = reduce(DataFrame.union, done)
     each = asked.join(best, asked.cls == best.q).select("id", F.explode("best").alias("b"))
     each = each.select("id", F.col("b.score").alias("score"), F.explode("b.ids").alias("vec_id")).where("vec_id <> id")
     rank = Window.partitionBy("id").orderBy(F.desc("score"), "vec_id")
