@@ -1,10 +1,12 @@
 """URL filter: host and path rules, and a character language-model ratio for URLs no rule covers.
 
 Two smoothed variable-order Markov models over bytes, of accepted and of rejected URLs, are counted
-from every URL that a rule decides. Counts of contexts and of continuations live in a fixed number
-of hash slots, so the broadcast has the same size over any corpus. A prediction blends all orders,
-each with the shorter one as its prior. The difference of the log-likelihoods over the length of
-the URL is compared with a threshold calibrated on URLs that a first model has not seen.
+from every URL that a rule decides. A gram is a byte with up to five before it, packed exactly into
+a long; the counts are tables keyed by gram, which grow with the corpus and stay distributed. A
+prediction blends all orders, each with the shorter one as its prior, and is made once for each
+distinct gram. Predictions of the commonest grams are broadcast, the others joined. The difference
+of the log-likelihoods over the length of the URL is compared with a threshold calibrated on URLs
+that a first model has not seen.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.llm.rowwise import add_column
-from engramlake.llm.spans import Block, blocks, mix
+from engramlake.llm.spans import Block, blocks
+from engramlake.llm.store import written
 
 ORDER = 5
-SLOTS = 1 << 20
+COMMON = 1_000_000  # grams whose predictions are broadcast
+FIXED = 1 << 32  # predictions are summed as whole numbers, in any order alike
 STRENGTH = 2.0
 FOLDS = 5
 BINS = 1000  # per unit of the difference
@@ -55,90 +58,166 @@ def matched(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return rule, verdict
 
 
-def _slots(block: Block) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """For each order: the bytes that have such a context, the context's slot, and the slot of context and byte."""
-    data = block.data.astype(np.uint64) + np.uint64(1)
+def _grams(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte its text and its gram: bits 48 and up the length, below them the bytes."""
+    data = block.data.astype(np.int64)
     doc = np.repeat(np.arange(block.hi - block.lo), np.diff(block.offsets))
-    depth = np.arange(len(data)) - block.offsets[doc]
-    out, context = [], np.full(len(data), 7, np.uint64)
-    for k in range(ORDER + 1):
-        if k:
-            before = np.zeros(len(data), np.uint64)
-            before[k:] = data[:-k] if len(data) > k else data[:0]
-            context = mix(context * np.uint64(0x9E3779B97F4A7C15) + before)
-        at = np.flatnonzero(depth >= k)
-        c = context[at]
-        full = mix(c ^ (data[at] * np.uint64(0xC2B2AE3D27D4EB4F)))
-        out.append((at, (c % np.uint64(SLOTS)).astype(np.int64), (full % np.uint64(SLOTS)).astype(np.int64)))
-    return doc, out
+    length = np.minimum(np.arange(len(data)) - block.offsets[doc], ORDER) + 1
+    gram = length << 48
+    for k in range(min(ORDER + 1, len(data))):
+        gram[k:] += np.where(length[k:] > k, data[: len(data) - k] << (8 * k), 0)
+    return doc, gram
 
 
-@dataclass
-class Model:
-    """Counts by class (0 rejected, 1 accepted), of contexts and of continuations; and the threshold."""
+def _length(gram: str = "gram") -> Column:
+    return F.shiftright(F.col(gram), 48).cast("int")
 
-    contexts: np.ndarray
-    pairs: np.ndarray
-    threshold: float = 0.0
 
-    def difference(self, texts: pa.Array) -> np.ndarray:
-        """log P(accepted) - log P(rejected) over the bytes of each text; 0 for empty texts."""
-        out = np.zeros(len(texts))
-        for block in blocks(texts, lower=True):
-            doc, slots = _slots(block)
-            p = np.full((2, len(doc)), 1 / 256)
-            for at, c, full in slots:
-                for k in (0, 1):
-                    p[k, at] = (self.pairs[k, full] + STRENGTH * p[k, at]) / (np.maximum(self.contexts[k, c], self.pairs[k, full]) + STRENGTH)
-            ratio = np.log(p[1]) - np.log(p[0])
-            sums = np.bincount(doc, ratio, minlength=block.hi - block.lo)
-            out[block.lo : block.hi] = sums / np.maximum(1, np.diff(block.offsets))
-        return out
+def _suffix(gram: str, length: Column | int) -> Column:
+    """The last ``length`` bytes of a gram, as a gram."""
+    n = F.lit(length) if isinstance(length, int) else length
+    mask = F.lit((1 << 8 * (ORDER + 1)) - 1)
+    for k in range(1, ORDER + 1):
+        mask = F.when(n == k, F.lit((1 << 8 * k) - 1)).otherwise(mask)
+    return F.col(gram).bitwiseAND(mask) + n.cast("long") * F.lit(1 << 48)
+
+
+def _context(gram: str = "gram") -> Column:
+    """What stands before the last byte of a gram, as a gram; it may be empty."""
+    return F.shiftright(F.col(gram).bitwiseAND(F.lit((1 << 48) - 1)), 8) + (_length(gram).cast("long") - 1) * F.lit(1 << 48)
+
+
+COUNTS = ["n0", "n1", "m0", "m1"]  # of rejected and accepted URLs: all, and those not kept apart
+
+
+def _counts(rests: DataFrame) -> DataFrame:
+    """gram, and its ``COUNTS`` over ``rests`` (rest, kind: 1 accepted, 0 rejected, part: 1 kept apart, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind, part, n = (b.column(i).to_numpy() for i in (1, 2, 3))
+            for block in blocks(b.column(0), lower=True):
+                doc, gram = _grams(block)
+                doc = doc + block.lo
+                keys, at = np.unique(gram, return_inverse=True)
+                sums = []
+                for own in (kind == 0, kind == 1, (kind == 0) & (part == 0), (kind == 1) & (part == 0)):
+                    sums.append(pa.array(np.bincount(at, (n * own)[doc], minlength=len(keys)).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *sums], ["gram", *COUNTS])
+
+    full = rests.select("rest", "kind", "part", "n").mapInArrow(run, "gram long, " + ", ".join(f"{c} long" for c in COUNTS))
+    full = full.groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    # a gram of n bytes counts for each of its n ends
+    each = full.withColumn("k", F.explode(F.sequence(F.lit(1), _length()))).withColumn("gram", _suffix("gram", F.col("k")))
+    return written(each.groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS]), "gram-counts")
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """part, kind, slot, contexts, pairs over ``rows`` (rest, kind: 1 accepted, 0 rejected, part: 1 kept apart)."""
+def _predictions(wanted: DataFrame, counts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """gram, ratio: log P(accepted) - log P(rejected) of the last byte of each ``wanted`` gram, times ``FIXED``.
+
+    ``names`` are the columns of ``counts`` for rejected and accepted URLs.
+    """
+    have = counts.select("gram", *[F.col(c).alias(f"p{k}") for k, c in enumerate(names)])
+    around = have.groupBy(_context().alias("context")).agg(F.sum("p0").alias("c0"), F.sum("p1").alias("c1"))
+    ends = wanted.select(F.explode(F.transform(F.sequence(F.lit(1), _length()), lambda k: _suffix("gram", k))).alias("gram")).distinct()
+    facts = ends.join(have, "gram", "left").withColumn("context", _context()).join(around, "context", "left").drop("context")
+    facts = written(facts.na.fill(0).withColumn("k", _length()), "gram-facts")
+    out = shorter = None
+    for k in range(1, ORDER + 2):
+        level = facts.where(F.col("k") == k)
+        if shorter is None:
+            level = level.withColumns({"q0": F.lit(1 / 256), "q1": F.lit(1 / 256)})
+        else:
+            level = level.withColumn("end", _suffix("gram", k - 1)).join(shorter.select(F.col("gram").alias("end"), "q0", "q1"), "end")
+        blend = lambda i: (F.col(f"p{i}") + STRENGTH * F.col(f"q{i}")) / (F.col(f"c{i}") + STRENGTH)
+        shorter = written(level.select("gram", blend(0).alias("q0"), blend(1).alias("q1")), "gram-level")
+        out = shorter if out is None else out.union(shorter)
+    ratio = F.round((F.log("q1") - F.log("q0")) * FIXED).cast("long").alias("ratio")
+    return written(out.join(wanted, "gram").select("gram", ratio, "n"), "gram-ratios")
+
+
+def _differences(rests: DataFrame, counts: DataFrame, names: Sequence[str], common: int = COMMON) -> DataFrame:
+    """rest, difference of each of the distinct texts ``rests`` (a table); 0 for empty ones."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in blocks(b.column(0), lower=True):
+                keys, n = np.unique(_grams(block)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["gram", "n"])
+
+    wanted = written(rests.select("rest").mapInArrow(seen, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    ratios = _predictions(wanted, counts, names)
+    # the commonest, down to a power of two that leaves at most ``common``
+    least = total = 0
+    for r in ratios.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().orderBy(F.desc("b")).collect():
+        total += r["count"]
+        if total > common:
+            least = 1 << (r.b + 1)
+            break
+    some = ratios.where(F.col("n") >= least).select("gram", "ratio").toArrow()
+    keys, values = (np.asarray(some.column(i).to_numpy(), np.int64) for i in (0, 1))
+    order = np.argsort(keys)
+    shared = rests.sparkSession.sparkContext.broadcast((np.append(keys[order], np.iinfo(np.int64).max), np.append(values[order], 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 2, 2, SLOTS), np.int64)
+        keys, values = shared.value
         for b in batches:
-            kind, part = b.column(1).to_numpy(), b.column(2).to_numpy()
+            u = b.column(1).to_numpy()
             for block in blocks(b.column(0), lower=True):
-                doc, slots = _slots(block)
-                for p in (0, 1):
-                    for k in (0, 1):
-                        own = ((part == p) & (kind == k))[block.lo + doc]
-                        for at, c, full in slots:
-                            sums[p, k, 0] += np.bincount(c[own[at]], minlength=SLOTS)
-                            sums[p, k, 1] += np.bincount(full[own[at]], minlength=SLOTS)
-        p, k, s = np.nonzero(sums.any(axis=2))
-        for lo in range(0, len(s), 100_000):
-            i, j, m = p[lo : lo + 100_000], k[lo : lo + 100_000], s[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(sums[i, j, 0, m]), pa.array(sums[i, j, 1, m])],
-                ["part", "kind", "slot", "contexts", "pairs"],
-            )
-
-    parts = rows.select("rest", "kind", "part").mapInArrow(run, "part int, kind int, slot int, contexts long, pairs long")
-    return parts.groupBy("part", "kind", "slot").agg(F.sum("contexts").alias("contexts"), F.sum("pairs").alias("pairs"))
+                doc, gram = _grams(block)
+                at = np.searchsorted(keys, gram)
+                known = keys[at] == gram
+                sums = np.zeros(block.hi - block.lo, np.int64)
+                np.add.at(sums, doc[known], values[at[known]])
+                own, rare = u[block.lo : block.hi], np.flatnonzero(~known)
+                # a row of each text with what is known, under a key that no gram has, and one for each rare gram
+                texts = b.column(0).slice(block.lo, block.hi - block.lo)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own), pa.array(-1 - own), texts, pa.array(sums), pa.array(np.diff(block.offsets))], ["u", "gram", "rest", "sum", "bytes"]
+                )
+                none = pa.nulls(len(rare), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(own[doc[rare]]), pa.array(gram[rare]), pa.nulls(len(rare), pa.string()), none, none], ["u", "gram", "rest", "sum", "bytes"])
+
+    rows = rests.select("rest", F.monotonically_increasing_id().alias("u")).mapInArrow(run, "u long, gram long, rest string, sum long, bytes long")
+    if least:
+        rows = rows.join(ratios.where(F.col("n") < least).select("gram", "ratio"), "gram", "left").withColumn("sum", F.coalesce("sum", "ratio"))
+    sums = rows.groupBy("u").agg(F.max("rest").alias("rest"), F.sum("sum").alias("sum"), F.max("bytes").alias("bytes"))
+    return sums.select("rest", (F.col("sum") / F.lit(float(FIXED)) / F.greatest("bytes", F.lit(1))).alias("difference"))
+
+
+@dataclass
+class Model:
+    """The table of counts by gram, and the threshold."""
+
+    counts: DataFrame
+    threshold: float = 0.0
+
+    def differences(self, rests: DataFrame, common: int = COMMON) -> DataFrame:
+        """rest, difference: log P(accepted) - log P(rejected) over the bytes of each of the distinct texts ``rests`` (a table)."""
+        return _differences(rests, self.counts, COUNTS[:2], common)
+
+    def difference(self, texts: pa.Array, common: int = COMMON) -> np.ndarray:
+        """The differences of a few texts, in their order; 0 for empty ones."""
+        spark, given = self.counts.sparkSession, [t or "" for t in texts.to_pylist()]
+        rests = written(spark.createDataFrame([(t,) for t in sorted(set(given))], "rest string"), "rests")
+        found = {r.rest: r.difference for r in self.differences(rests, common).collect()}
+        return np.array([found[t] for t in given])
 
 
 def fit(rows: DataFrame) -> Model:
     """A model from ``rows`` (rest, kind). All rows count; a fifth of them, by hash, sets the threshold.
 
-    The driver gets the slot table (``SLOTS`` rows a part and class at most) and a histogram of differences.
-    Without accepted or without rejected URLs the threshold is 0 and the missing class is uniform.
+    The driver gets the commonest grams and a histogram of differences. Without accepted or without
+    rejected URLs the threshold is 0 and the missing class is uniform.
     """
-    rows = rows.withColumn("part", (F.pmod(F.xxhash64("rest"), F.lit(FOLDS)) == 0).cast("int"))
-    sums = np.zeros((2, 2, 2, SLOTS))
-    for b in _counts(rows).toArrow().to_batches():
-        p, k, s = (b.column(i).to_numpy() for i in range(3))
-        sums[p, k, 0, s], sums[p, k, 1, s] = b.column(3).to_numpy(), b.column(4).to_numpy()
-    first = rows.sparkSession.sparkContext.broadcast(Model(sums[0, :, 0].astype(np.float32), sums[0, :, 1].astype(np.float32)))
-    apart = add_column(rows.where("part = 1").select("rest", "kind"), "rest", "d", "double", lambda: lambda t: pa.array(first.value.difference(t)))
-    bins = apart.groupBy("kind", F.floor(F.col("d") * BINS).alias("bin")).agg(F.count("*").alias("n")).collect()
-    total = sums.sum(axis=0)
-    return Model(total[:, 0].astype(np.float32), total[:, 1].astype(np.float32), _threshold([(r.kind, r.bin, r.n) for r in bins]))
+    part = (F.pmod(F.xxhash64("rest"), F.lit(FOLDS)) == 0).cast("int")
+    rests = written(rows.groupBy("rest", "kind").agg(F.count("*").alias("n")).withColumn("part", part), "known-rests")
+    counts = _counts(rests)
+    apart = rests.where("part = 1").select("rest", "kind", "n")
+    first = _differences(written(apart.select("rest").distinct(), "rests-apart"), counts, COUNTS[2:])
+    apart = apart.join(first, "rest")
+    bins = apart.groupBy("kind", F.floor(F.col("difference") * BINS).alias("bin")).agg(F.sum("n").alias("n")).collect()
+    return Model(counts, _threshold([(r.kind, r.bin, r.n) for r in bins]))
 
 
 def _threshold(bins: list[tuple[int, int, int]]) -> float:
@@ -163,9 +242,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, *, id
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "verdict": verdict})
     known = rows.where("verdict is not null").select("rest", (F.col("verdict") == "allow").cast("int").alias("kind"))
-    model = rows.sparkSession.sparkContext.broadcast(fit(known))
-    found = add_column(rows, "rest", "difference", "double", lambda: lambda t: pa.array(model.value.difference(t)))
-    mine = F.when(F.col("difference") >= F.lit(model.value.threshold), "allow").otherwise("block")
+    model = fit(known)
+    scored = model.differences(written(rows.where("rest <> ''").select("rest").distinct(), "rests"))
+    found = rows.withColumn("rest", F.when(F.col("rest") != "", F.col("rest"))).join(scored, "rest", "left").na.fill(0.0, ["difference"])
+    mine = F.when(F.col("difference") >= F.lit(model.threshold), "allow").otherwise("block")
     return found.select("id", "host", "path", "rule", F.coalesce("verdict", mine).alias("verdict"), "difference")
 
 
@@ -173,8 +253,10 @@ def keep_allowed(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
     """The rows of ``pages`` that are allowed, with all their columns."""
     rest = rest_of(F.col(url_col).cast("string"))
     verdict = matched(host_of(rest), path_of(rest), rules)[1]
-    known = pages.select(rest.alias("rest"), verdict.alias("v")).where("v is not null")
-    model = pages.sparkSession.sparkContext.broadcast(fit(known.select("rest", (F.col("v") == "allow").cast("int").alias("kind"))))
-    found = add_column(pages.withColumn("__rest", rest), "__rest", "__difference", "double", lambda: lambda t: pa.array(model.value.difference(t)))
-    allowed = F.coalesce(verdict == "allow", F.col("__difference") >= F.lit(model.value.threshold))
+    known = pages.select(rest.alias("rest"), verdict.alias("v"))
+    model = fit(known.where("v is not null").select("rest", (F.col("v") == "allow").cast("int").alias("kind")))
+    scored = model.differences(written(known.where("v is null and rest <> ''").select("rest").distinct(), "rests"))
+    scored = scored.select(F.col("rest").alias("__rest"), F.col("difference").alias("__difference"))
+    found = pages.withColumn("__rest", F.when(rest != "", rest)).join(scored, "__rest", "left").na.fill(0.0, ["__difference"])
+    allowed = F.coalesce(verdict == "allow", F.col("__difference") >= F.lit(model.threshold))
     return found.where(allowed).select(*pages.columns)
