@@ -2,7 +2,8 @@
 
 Lines that begin with `>` are quoted, one level for each mark. Quoted passages are hashed after
 normalising and joined to the messages that first said them; a message answers the one whose words
-it quotes at its lowest quote level. Conversations come out as threads without quotes, messages
+it quotes at its lowest quote level. A passage that nobody said as it stands (a trimmed quote) is
+linked by the runs of three words it shares with one earlier turn. Conversations come out as threads without quotes, messages
 ordered by thread and turn.
 """
 
@@ -13,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +43,10 @@ def parse(text: str | None) -> list[tuple[int, str]]:
 
 
 def passage_hash(text: str) -> str | None:
-    """Hash of the words of a passage in lower case; null for fewer than ``MIN_WORDS`` words."""
+    """Hash of the words of a passage in lower case; null without words, and marked for fewer than ``MIN_WORDS`` words."""
     words = text.lower().split()
-    return hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest() if len(words) >= MIN_WORDS else None
+    mark = "" if len(words) >= MIN_WORDS else "short:"
+    return mark + hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest() if words else None
 
 
 def units(text: str) -> set[str]:
@@ -52,18 +55,25 @@ def units(text: str) -> set[str]:
     return {h for p in parts if (h := passage_hash(p))}
 
 
+def shingles(text: str | None) -> list[int]:
+    """Hashes of the distinct runs of ``MIN_WORDS`` words."""
+    words = [w.encode("utf-8", "surrogatepass") for w in (text or "").lower().split()]
+    runs = {b" ".join(words[i : i + MIN_WORDS]) for i in range(len(words) - MIN_WORDS + 1)}
+    return sorted(xxhash.xxh64_intdigest(r) - (1 << 63) for r in runs)
+
+
 def _parsed(rows: DataFrame) -> DataFrame:
-    """conv, turn, own, quotes (level, hash), said (hashes of the own words)."""
+    """conv, turn, own, quotes (level, hash, grams), said (hashes of the own words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quote = pa.struct([("level", pa.int32()), ("hash", pa.string())])
+        quote = pa.struct([("level", pa.int32()), ("hash", pa.string()), ("grams", pa.list_(pa.int64()))])
         for b in batches:
             own, quotes, said = [], [], []
             for text in b.column(2).to_pylist():
                 parts = parse(text)
                 mine = "\n".join(p for level, p in parts if level == 0)
                 own.append(None if text is None else re.sub(r"\n{3,}", "\n\n", mine).strip("\n"))
-                quotes.append([{"level": level, "hash": h} for level, p in parts if level for h in [passage_hash(p)] if h])
+                quotes.append([{"level": level, "hash": h, "grams": shingles(p)} for level, p in parts if level for h in [passage_hash(p)] if h])
                 said.append(sorted(set().union(*(units(p) for level, p in parts if level == 0), units(mine))))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(own, pa.string()), pa.array(quotes, pa.list_(quote)), pa.array(said, pa.list_(pa.string()))],
@@ -71,26 +81,61 @@ def _parsed(rows: DataFrame) -> DataFrame:
             )
 
     kind = rows.schema["conv"].dataType.simpleString()
-    return rows.mapInArrow(run, f"conv {kind}, turn long, own string, quotes array<struct<level:int,hash:string>>, said array<string>")
+    return rows.mapInArrow(run, f"conv {kind}, turn long, own string, quotes array<struct<level:int,hash:string,grams:array<bigint>>>, said array<string>")
+
+
+def _trimmed(keyed: DataFrame, missing: DataFrame) -> DataFrame:
+    """conv, turn, level, hash, origin of the ``missing`` passages that share over half of their runs of words with
+    one earlier turn: the one that shares most, the latest of equals. Asked are the turns that said some run latest."""
+    passage = ["conv", "turn", "level", "hash"]
+    wanted = keyed.select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.level", "q.hash", F.explode("q.grams").alias("gram"))
+    wanted = written(wanted.join(missing, passage, "left_semi").distinct(), "quote-grams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [shingles(t) for t in b.column(2).to_pylist()]
+            at = pa.array([i for i, g in enumerate(grams) for _ in g], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([x for g in grams for x in g], pa.int64())], ["conv", "turn", "gram"])
+
+    kind = keyed.schema["conv"].dataType.simpleString()
+    told = keyed.select("conv", "turn", "own").join(missing.select("conv").distinct(), "conv", "left_semi").mapInArrow(run, f"conv {kind}, turn long, gram long")
+    told = written(told.join(wanted.select("conv", "gram").distinct(), ["conv", "gram"], "left_semi").distinct(), "said-grams")
+    none = F.lit(None)
+    both = wanted.select("conv", "gram", (2 * F.col("turn")).alias("seq"), none.cast("long").alias("at"), "turn", "level", "hash")
+    both = both.unionByName(told.select("conv", "gram", (2 * F.col("turn") + 1).alias("seq"), F.col("turn").alias("at"), none.cast("long").alias("turn"), none.cast("int").alias("level"), none.cast("string").alias("hash")))
+    asked = last_known(both, ["conv", "gram"], "seq", {"origin": F.col("at")}).where("level is not null and origin is not null").select(*passage, "origin").distinct()
+    shared = asked.join(wanted, passage).join(told.withColumnRenamed("turn", "origin"), ["conv", "origin", "gram"])
+    shared = shared.groupBy(*passage, "origin").agg(F.count("*").alias("n"))
+    whole = wanted.groupBy(*passage).agg(F.count("*").alias("of"))
+    best = shared.join(whole, passage).where("2 * n > of").groupBy(*passage).agg(F.max(F.struct("n", "origin")).alias("best"))
+    return best.select(*passage, F.col("best.origin").alias("near"))
 
 
 def link_quotes(
     messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
     """(parsed messages, links). A link: conv, turn, level, hash, origin: the latest earlier turn of the
-    conversation that says the passage in its own words; null where none does."""
+    conversation that says the passage in its own words, or else shares most of it; null where none does.
+    A passage of one or two words counts only where just one earlier turn says it."""
     rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).cast("string").alias("text"))
     parsed = written(_parsed(rows), "messages")
     keyed = parsed.where("conv is not null and turn is not null")
     asked = keyed.select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"))
     asked = written(asked.distinct(), "quotes")
     said = keyed.select("conv", "turn", F.explode("said").alias("hash"))
-    said = said.join(asked.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi").distinct()
+    said = written(said.join(asked.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi").distinct(), "said")
     # as-of match: of one turn, what it quotes comes before what it says
     both = asked.select("conv", "hash", (2 * F.col("turn")).alias("seq"), F.lit(None).cast("long").alias("at"), "level")
     both = both.unionByName(said.select("conv", "hash", (2 * F.col("turn") + 1).alias("seq"), F.col("turn").alias("at"), F.lit(None).cast("int").alias("level")))
     found = last_known(both, ["conv", "hash"], "seq", {"origin": F.col("at")}).where("level is not null")
-    return parsed, found.select("conv", (F.col("seq") / 2).cast("long").alias("turn"), "level", "hash", "origin")
+    found = found.select("conv", (F.col("seq") / 2).cast("long").alias("turn"), "level", "hash", "origin")
+    first = said.groupBy("conv", "hash").agg(F.min("turn").alias("first"))
+    short = F.col("hash").startswith("short:")
+    found = found.join(first, ["conv", "hash"], "left").where(~short | F.coalesce(F.col("origin") == F.col("first"), F.lit(False))).drop("first")
+    found = written(found, "quotes-as-said")
+    near = _trimmed(keyed, found.where("origin is null").select("conv", "turn", "level", "hash"))
+    found = found.join(near, ["conv", "turn", "level", "hash"], "left")
+    return parsed, found.select("conv", "turn", "level", "hash", F.coalesce("origin", "near").alias("origin"))
 
 
 def threads(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
