@@ -2,33 +2,35 @@
 
 Texts are cut into pre-tokens. Each block of texts writes its distinct pre-tokens once and its texts
 as positions among them, so a frequent word costs a block one row however often it stands there,
-and no word holds more rows than there are blocks. Over all blocks each distinct word is encoded
-once; its ids are joined back and the texts reassembled by position. Decoding goes the same way:
-distinct ids of a block, joined with the table of token bytes.
+and no word holds more rows than there are blocks. Shuffled and sorted by word, each distinct word
+is encoded once; its ids go back to the blocks that hold it, and the texts are reassembled by
+position. The blocks stay where they were written, in buckets. Decoding joins the table of token
+bytes, which the vocabulary bounds, beside the scan.
 """
 
 from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.llm.store import written
+from engramlake.llm.store import bucketed, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BLOCK_BYTES = 2 << 20
-BLOCK_TOKENS = 1 << 19
+BLOCK_BYTES = 32 << 20
 MOST_BYTES = 64 << 20  # of a vocabulary file: it is sent to every task
 ANY = r"(?s:.+)"
+_ROWS = 10_000
 
 
 def vocabulary(path: str) -> bytes:
@@ -44,116 +46,69 @@ def ranks(held: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, held.splitlines()) if token}
 
 
-def token_table(spark: SparkSession, path: str) -> DataFrame:
-    """token, bytes: one row for each id of the vocabulary."""
-    own = ranks(vocabulary(path))
-    tokens = pa.table({"token": pa.array(list(own.values()), pa.int32()), "bytes": pa.array(list(own), pa.binary())})
-    return spark.createDataFrame(tokens)
-
-
 def _block_id(n: int) -> int:
     """A number for the ``n``-th block of a task; the table written from the blocks holds one attempt of each task."""
     return (TaskContext.get().partitionId() << 32) + n
 
 
-def _packed(places: np.ndarray | array, distinct: int) -> bytes:
-    """Positions in as few bytes each as the number of distinct values needs."""
-    return np.asarray(places).astype(_width(distinct)).tobytes()
+def _packed(places: np.ndarray) -> bytes:
+    """Positions as planes of bytes, the lowest first; planes of zeros at the end are left out."""
+    planes = places.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    width = max((i for i in range(1, 5) if planes[i - 1].any()), default=1)
+    return planes[:width].tobytes()
 
 
-def _width(distinct: int) -> type:
-    return np.uint8 if distinct <= 1 << 8 else np.uint16 if distinct <= 1 << 16 else np.uint32
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 4), np.uint8)
+    planes = np.frombuffer(packed, np.uint8).reshape(-1, n).T if n else out
+    out[:, : planes.shape[1]] = planes
+    return out.view("<u4").ravel()
 
 
 class _Block:
-    """Distinct values of some rows, numbered as they come, and the rows as numbers."""
+    """The distinct words of some texts, numbered as they come, and the texts as numbers."""
 
     def __init__(self) -> None:
-        self.number: dict = {}
+        self.number: dict[bytes, int] = {}
         self.ids: list = []
-        self.places: list = []
-
-    def rows(self, block: int, kind: pa.DataType, value: pa.DataType) -> Iterator[pa.RecordBatch]:
-        """First the values (block, k, value), then the rows (block, distinct, id, places)."""
-        names = ["block", "k", "value", "distinct", "id", "places"]
-        n, m = len(self.number), len(self.ids)
-        if n:
+        self.sizes: list[int] = []
+        self.places: list[bytes] = []
+
+    def add(self, own: object, words: Iterator) -> None:
+        places, known = array("I"), self.number.setdefault
+        for m in words:
+            places.append(known(m[0].encode(), len(self.number)))
+        self.ids.append(own)
+        self.sizes.append(len(places))
+        self.places.append(_packed(np.frombuffer(places, np.uint32)))
+
+    def rows(self, block: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """The words (block, k, word), then the texts (block, id, size, places), some at a time."""
+        names = ["block", "k", "word", "id", "size", "places"]
+        words = list(self.number)
+        for lo in range(0, len(words), _ROWS):
+            part = words[lo : lo + _ROWS]
+            n = len(part)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(self.number), value),
-                pa.nulls(n, pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.binary()),
+                pa.array(np.full(n, block)), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(part, pa.binary()),
+                pa.nulls(n, kind), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+            ], names)
+        for lo in range(0, len(self.ids), _ROWS):
+            own = slice(lo, lo + _ROWS)
+            n = len(self.ids[own])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                pa.array(self.ids[own], kind), pa.array(self.sizes[own], pa.int32()), pa.array(self.places[own], pa.binary()),
             ], names)
-        packed = pa.array([None if p is None else _packed(p, n) for p in self.places], pa.binary())
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(m, block)), pa.nulls(m, pa.int32()), pa.nulls(m, value), pa.array(np.full(m, n, np.int32)), pa.array(self.ids, kind), packed,
-        ], names)
-
-
-def _blocks(rows: DataFrame, value: str, size: Callable, cut: Callable, most: int) -> DataFrame:
-    """block, k, value of the distinct values, and block, distinct, id, places of the rows (k null) of ``rows``.
-
-    A block holds rows (id, item) of at most ``most`` by ``size``, or one larger row. ``cut`` numbers
-    an item's values in the block's dictionary and returns the numbers in order.
-    """
-    kind = rows.schema["id"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, n, key = _Block(), 0, 0, None
-        value_type = pa.binary() if value == "binary" else pa.int32()
-        for b in batches:
-            key = b.column(0).type
-            for own, item in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                grows = size(item)
-                if held and held + grows > most:
-                    yield from block.rows(_block_id(n), key, value_type)
-                    block, held, n = _Block(), 0, n + 1
-                block.ids.append(own)
-                block.places.append(cut(item, block.number))
-                held += grows
-        if block.ids:
-            yield from block.rows(_block_id(n), key, value_type)
-
-    return rows.mapInArrow(run, f"block long, k int, value {value}, distinct int, id {kind.simpleString()}, places binary")
-
 
-def _reassembled(blocks: DataFrame, values: DataFrame, outs: dict[str, str]) -> DataFrame:
-    """id and, for each of ``outs`` (name to type), the parts that the row's places name, one after the other.
 
-    ``values``: block, k and a part of each of ``outs``. Null places, and places of a null part, make null.
-    """
-    rows = blocks.where("k is null").select("block", "id", "distinct", "places")
-    schema = f"id {blocks.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in outs.items())
-
-    def assemble(found: pa.Table, held: pa.Table) -> pa.Table:
-        # one block: its distinct values, and its rows
-        found, parts = found.sort_by("k"), {}
-        for name, kind in outs.items():
-            parts[name] = found.column(name).cast(pa.large_binary() if kind == "binary" else pa.large_list(pa.int32())).combine_chunks()
-        places, distinct = held.column("places").to_pylist(), held.column("distinct").to_pylist()
-        columns = []
-        for name, kind in outs.items():
-            made = [_joined(p, n, parts[name], kind) for p, n in zip(places, distinct, strict=True)]
-            columns.append(pa.array(made, pa.binary() if kind == "binary" else pa.list_(pa.int32())))
-        return pa.table([held.column("id"), *columns], ["id", *outs])
-
-    # each side gets a key of its own: both come from one table
-    left = values.select(F.col("block").alias("of"), "k", *outs).groupBy("of")
-    return left.cogroup(rows.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(assemble, schema)
-
-
-def _joined(places: bytes | None, distinct: int, parts: pa.Array, kind: str) -> bytes | list | np.ndarray | None:
-    """The parts at the places, as one value; null for null places or where a part is null."""
-    if places is None:
-        return None
-    if not places:
-        return b"" if kind == "binary" else []
-    taken = parts.take(pa.array(np.frombuffer(places, _width(distinct)).astype(np.int64)))
-    if taken.null_count:
-        return None
-    if kind == "binary":
-        offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
-        return taken.buffers()[2][offsets[0] : offsets[-1]].to_pybytes()
-    flat = taken.flatten()
-    return flat.to_pylist() if flat.null_count else flat.to_numpy()
+def _reassemble(found: pa.Table, texts: pa.Table) -> pa.Table:
+    """id, ids of the texts of one block, from the ids of its distinct words."""
+    parts = found.sort_by("k").column("ids").cast(pa.large_list(pa.int32())).combine_chunks()
+    ids = []
+    for packed, n in zip(texts.column("places").to_pylist(), texts.column("size").to_pylist(), strict=True):
+        ids.append(parts.take(pa.array(_unpacked(packed, n))).flatten().to_numpy())
+    return pa.table([texts.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
 
 def encode(
@@ -169,44 +124,69 @@ def encode(
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     words = regex.compile(pattern)
 
-    def cut(item: pa.BinaryScalar, number: dict) -> array:
-        places, known = array("I"), number.setdefault
-        for m in words.finditer(item.as_py().decode("utf-8", "replace")):
-            word = m[0].encode()
-            places.append(known(word, len(number)))
-        return places
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, n, kind = _Block(), 0, 0, None
+        for b in batches:
+            kind = b.column(0).type
+            for own, item in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                grows = item.as_buffer().size
+                if held and held + grows > block_bytes:
+                    yield from block.rows(_block_id(n), kind)
+                    block, held, n = _Block(), 0, n + 1
+                block.add(own, words.finditer(item.as_py().decode("utf-8", "replace")))
+                held += grows
+        if block.ids:
+            yield from block.rows(_block_id(n), kind)
 
-    blocks = written(_blocks(rows, "binary", lambda item: item.as_buffer().size, cut, block_bytes), "words")
+    kind = rows.schema["id"].dataType.simpleString()
+    blocks = bucketed(rows.mapInArrow(cut, f"block long, k int, word binary, id {kind}, size int, places binary"), "bpe-blocks", "block")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = tiktoken.Encoding("words", pat_str=ANY, mergeable_ranks=ranks(held.value), special_tokens={})
-        for b in batches:
-            ids = [whole.encode_ordinary(w.decode()) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["value", "ids"])
+        last, known = None, []
+        for b in batches:  # sorted by word: only a word that spans two batches comes again
+            own = b.column(0).dictionary_encode()
+            distinct = own.dictionary.to_pylist()
+            ids = [known if w == last else whole.encode_ordinary(w.decode()) for w in distinct]
+            if ids:
+                last, known = distinct[-1], ids[-1]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(ids, pa.list_(pa.int32())).take(own.indices)], ["block", "k", "ids"])
 
-    words_of = blocks.where("k is not null").select("block", "k", "value")
-    known = words_of.select("value").distinct().mapInArrow(encoded, "value binary, ids array<int>")
-    return _reassembled(blocks, words_of.join(known, "value"), {"ids": "array<int>"})
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = blocks.where("k is not null").select("word", "block", "k").repartition(parts, "word").sortWithinPartitions("word")
+    found = written(asked.mapInArrow(encoded, "block long, k int, ids array<int>"), "bpe-ids")
+    texts = blocks.where("k is null").select(F.col("block").alias("of"), "id", "size", "places")
+    return found.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(_reassemble, f"id {kind}, ids array<int>")
 
 
-def decode(rows: DataFrame, *, id_col: str = "id", ids_col: str = "ids", path: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """id, ids, decoded (binary): a row for each row of ``rows``.
+def decode(rows: DataFrame, *, ids_col: str = "ids", name: str = "decoded", path: str | None = None) -> DataFrame:
+    """``rows`` with ``name`` (binary), the bytes of the ids (in place of a column of that name).
 
     No ids decode to no bytes, a null array to null; an id that the vocabulary lacks, or a null
     among the ids, makes the row's decoded null. Every row stands for itself; an empty table gives none.
     """
-    tokens = token_table(rows.sparkSession, path or public_tokenizers.path(VOCABULARY))
-    rows = rows.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
-
-    def cut(item: pa.ListScalar, number: dict) -> np.ndarray | None:
-        if not item.is_valid:
-            return None
-        if item.values.null_count:
-            return np.array([number.setdefault(x, len(number)) for x in item.as_py()], np.int64)
-        own, at = np.unique(item.values.to_numpy(), return_inverse=True)
-        return np.array([number.setdefault(x, len(number)) for x in own.tolist()], np.int64)[at]
-
-    blocks = written(_blocks(rows, "int", lambda item: len(item.values) if item.is_valid else 0, cut, block_tokens), "tokens")
-    values = blocks.where("k is not null").select("block", "k", "value").join(tokens, F.col("value") == F.col("token"), "left")
-    values = values.select("block", "k", F.array("value").alias("ids"), F.col("bytes").alias("decoded"))
-    return _reassembled(blocks, values, {"ids": "array<int>", "decoded": "binary"})
+    held = rows.sparkSession.sparkContext.broadcast(vocabulary(path or public_tokenizers.path(VOCABULARY)))
+    rows = rows.drop(name).withColumn(ids_col, F.col(ids_col).cast("array<int>"))
+    at, names = rows.columns.index(ids_col), [*rows.columns, name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ranks(held.value)
+        table: list[bytes | None] = [None] * (max(own.values()) + 1)
+        for token, rank in own.items():
+            table[rank] = token
+        parts = pa.array(table, pa.large_binary())
+        for b in batches:
+            out = [_bytes(item.values, parts) if item.is_valid else None for item in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names)
+
+    return rows.mapInArrow(run, rows.withColumn(name, F.lit(None).cast("binary")).schema)
+
+
+def _bytes(ids: pa.Array, parts: pa.Array) -> bytes | None:
+    """The parts of the ids, one after the other; null where one is null or unknown."""
+    known = pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(parts)))
+    taken = parts.take(pc.if_else(known, ids, pa.scalar(None, pa.int32())))
+    if taken.null_count:
+        return None
+    offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    return taken.buffers()[2][int(offsets[0]) : int(offsets[-1])].to_pybytes() if offsets[-1] > offsets[0] else b""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from engramlake.session import shared_dir
@@ -9,24 +12,42 @@ from engramlake.session import shared_dir
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back, so that a lost executor costs a re-read.
-
-    The shuffle files of the job go as soon as the table stands in for them.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, purpose)
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a job inside go as soon as the job ends."""
     before = spark.conf.get(CLEAN, None)
     spark.conf.set(CLEAN, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(CLEAN)
         else:
             spark.conf.set(CLEAN, before)
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back, so that a lost executor costs a re-read.
+
+    The shuffle files of the job go as soon as the table stands in for them.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    with brief_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, purpose: str, key: str) -> DataFrame:
+    """As ``written``, in buckets of ``key``: grouping or joining by it later moves none of these rows."""
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with brief_shuffles(spark):
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
