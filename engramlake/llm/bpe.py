@@ -31,6 +31,7 @@ BLOCK_BYTES = 32 << 20
 MOST_BYTES = 64 << 20  # of a vocabulary file: it is sent to every task
 ANY = r"(?s:.+)"
 _ROWS = 10_000
+_SENT = 1 << 18
 
 
 def vocabulary(path: str) -> bytes:
@@ -52,7 +53,7 @@ def _block_id(n: int) -> int:
 
 
 def _packed(places: np.ndarray) -> bytes:
-    """Positions as planes of bytes, the lowest first; planes of zeros at the end are left out."""
+    """Numbers as planes of bytes, the lowest first; planes of zeros at the end are left out."""
     planes = places.astype("<u4").view(np.uint8).reshape(-1, 4).T
     width = max((i for i in range(1, 5) if planes[i - 1].any()), default=1)
     return planes[:width].tobytes()
@@ -102,13 +103,34 @@ class _Block:
             ], names)
 
 
+def _sent_back(held: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> pa.RecordBatch:
+    """One row for each block: numbers of words (as steps), how many ids each has, and the ids, packed."""
+    block, k = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+    order = np.lexsort([k, block])
+    ids = pa.concat_arrays([h[2] for h in held]).take(pa.array(order))
+    block, k, counts, flat = block[order], k[order], ids.value_lengths().to_numpy(), ids.flatten().to_numpy()
+    first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    ends, upto = np.append(first[1:], len(block)), np.append(0, np.cumsum(counts))
+    packed = [
+        (_packed(np.diff(k[lo:hi], prepend=0)), _packed(counts[lo:hi]), _packed(flat[upto[lo] : upto[hi]])) for lo, hi in zip(first, ends, strict=True)
+    ]
+    columns = [pa.array(c, pa.binary()) for c in zip(*packed, strict=True)]
+    sizes = [pa.array(x, pa.int32()) for x in (ends - first, upto[ends] - upto[first])]
+    return pa.RecordBatch.from_arrays([pa.array(block[first]), *sizes, *columns], ["block", "words", "tokens", "steps", "counts", "ids"])
+
+
 def _reassemble(found: pa.Table, texts: pa.Table) -> pa.Table:
     """id, ids of the texts of one block, from the ids of its distinct words."""
-    parts = found.sort_by("k").column("ids").cast(pa.large_list(pa.int32())).combine_chunks()
-    ids = []
+    words, tokens, steps, counts, ids = (found.column(i).to_pylist() for i in range(1, 6))
+    none = [np.zeros(0, np.uint32)]
+    k = np.concatenate(none + [np.cumsum(_unpacked(x, n)) for x, n in zip(steps, words, strict=True)]).astype(np.int64)
+    count = np.concatenate(none + [_unpacked(x, n) for x, n in zip(counts, words, strict=True)])
+    flat = np.concatenate(none + [_unpacked(x, n) for x, n in zip(ids, tokens, strict=True)]).astype(np.int32)
+    parts = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(count, dtype=np.int64))), pa.array(flat)).take(pa.array(np.argsort(k)))
+    out = []
     for packed, n in zip(texts.column("places").to_pylist(), texts.column("size").to_pylist(), strict=True):
-        ids.append(parts.take(pa.array(_unpacked(packed, n))).flatten().to_numpy())
-    return pa.table([texts.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+        out.append(parts.take(pa.array(_unpacked(packed, n))).flatten().to_numpy())
+    return pa.table([texts.column("id"), pa.array(out, pa.list_(pa.int32()))], ["id", "ids"])
 
 
 def encode(
@@ -143,18 +165,24 @@ def encode(
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = tiktoken.Encoding("words", pat_str=ANY, mergeable_ranks=ranks(held.value), special_tokens={})
-        last, known = None, []
+        last, known, waiting, n = None, [], [], 0
         for b in batches:  # sorted by word: only a word that spans two batches comes again
             own = b.column(0).dictionary_encode()
             distinct = own.dictionary.to_pylist()
             ids = [known if w == last else whole.encode_ordinary(w.decode()) for w in distinct]
             if ids:
                 last, known = distinct[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(ids, pa.list_(pa.int32())).take(own.indices)], ["block", "k", "ids"])
+                waiting.append((b.column(1).to_numpy(), b.column(2).to_numpy(), pa.array(ids, pa.list_(pa.int32())).take(own.indices)))
+                n += b.num_rows
+            if n >= _SENT:
+                yield _sent_back(waiting)
+                waiting, n = [], 0
+        if waiting:
+            yield _sent_back(waiting)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = blocks.where("k is not null").select("word", "block", "k").repartition(parts, "word").sortWithinPartitions("word")
-    found = written(asked.mapInArrow(encoded, "block long, k int, ids array<int>"), "bpe-ids")
+    found = written(asked.mapInArrow(encoded, "block long, words int, tokens int, steps binary, counts binary, ids binary"), "bpe-ids")
     texts = blocks.where("k is null").select(F.col("block").alias("of"), "id", "size", "places")
     return found.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(_reassemble, f"id {kind}, ids array<int>")
 
