@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from engramlake.llm.store import bucketed, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 MOST_BYTES = 64 << 20  # of a vocabulary file: it is sent to every task
 ANY = r"(?s:.+)"
 _ROWS = 10_000
@@ -130,7 +130,9 @@ def _reassemble(found: pa.Table, texts: pa.Table) -> pa.Table:
     out = []
     for packed, n in zip(texts.column("places").to_pylist(), texts.column("size").to_pylist(), strict=True):
         out.append(parts.take(pa.array(_unpacked(packed, n))).flatten().to_numpy())
-    return pa.table([texts.column("id"), pa.array(out, pa.list_(pa.int32()))], ["id", "ids"])
+    made = pa.table([texts.column("id"), pa.array(out, pa.list_(pa.int32()))], ["id", "ids"])
+    pa.default_memory_pool().release_unused()
+    return made
 
 
 def encode(
@@ -159,6 +161,7 @@ def encode(
                 held += grows
         if block.ids:
             yield from block.rows(_block_id(n), kind)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     kind = rows.schema["id"].dataType.simpleString()
     blocks = bucketed(rows.mapInArrow(cut, f"block long, k int, word binary, id {kind}, size int, places binary"), "bpe-blocks", "block")
@@ -179,6 +182,7 @@ def encode(
                 waiting, n = [], 0
         if waiting:
             yield _sent_back(waiting)
+        pa.default_memory_pool().release_unused()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = blocks.where("k is not null").select("word", "block", "k").repartition(parts, "word").sortWithinPartitions("word")
