@@ -52,55 +52,67 @@ def _block_id(n: int) -> int:
     return (TaskContext.get().partitionId() << 32) + n
 
 
-def _packed(places: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, the lowest first; planes of zeros at the end are left out."""
-    planes = places.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    width = max((i for i in range(1, 5) if planes[i - 1].any()), default=1)
-    return planes[:width].tobytes()
-
-
-def _unpacked(packed: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 4), np.uint8)
-    planes = np.frombuffer(packed, np.uint8).reshape(-1, n).T if n else out
-    out[:, : planes.shape[1]] = planes
-    return out.view("<u4").ravel()
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 in seven bits a byte, the lowest first; a byte of 128 or more has another after it."""
+    out = np.zeros((len(numbers), 5), np.uint8)
+    used = np.ones((len(numbers), 5), bool)
+    rest = numbers.astype(np.uint64)
+    for i in range(5):
+        out[:, i] = (rest & np.uint64(127)).astype(np.uint8)
+        rest = rest >> np.uint64(7)
+        used[:, i + 1 :] &= (rest > 0)[:, None]
+        out[:, i] |= (rest > 0).astype(np.uint8) << 7
+    return out[used].tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    held = np.frombuffer(packed, np.uint8)
+    last = np.flatnonzero(held < 128)
+    first = np.append(0, last[:-1] + 1) if len(last) else last
+    out = np.zeros(len(last), np.int64)
+    for i in range(5):
+        more = np.flatnonzero(first + i <= last)
+        out[more] |= (held[first[more] + i].astype(np.int64) & 127) << (7 * i)
+    return out
 
 
 class _Block:
-    """The distinct words of some texts, numbered as they come, and the texts as numbers."""
+    """The distinct words of some texts, and the texts as numbers of words; frequent words have small numbers."""
 
     def __init__(self) -> None:
         self.number: dict[bytes, int] = {}
         self.ids: list = []
-        self.sizes: list[int] = []
-        self.places: list[bytes] = []
+        self.places: list[np.ndarray] = []
 
     def add(self, own: object, words: Iterator) -> None:
         places, known = array("I"), self.number.setdefault
         for m in words:
             places.append(known(m[0].encode(), len(self.number)))
         self.ids.append(own)
-        self.sizes.append(len(places))
-        self.places.append(_packed(np.frombuffer(places, np.uint32)))
+        self.places.append(np.frombuffer(places, np.uint32))
 
     def rows(self, block: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-        """The words (block, k, word), then the texts (block, id, size, places), some at a time."""
-        names = ["block", "k", "word", "id", "size", "places"]
+        """The words (block, k, word), then the texts (block, id, places), some at a time."""
+        names = ["block", "k", "word", "id", "places"]
+        times = np.zeros(len(self.number), np.int64)
+        for p in self.places:
+            times += np.bincount(p, minlength=len(times))
         words = list(self.number)
+        order = sorted(range(len(words)), key=lambda i: (-times[i], words[i]))
+        number = np.empty(len(words), np.uint32)
+        number[order] = np.arange(len(words), dtype=np.uint32)
         for lo in range(0, len(words), _ROWS):
-            part = words[lo : lo + _ROWS]
+            part = [words[i] for i in order[lo : lo + _ROWS]]
             n = len(part)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, block)), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(part, pa.binary()),
-                pa.nulls(n, kind), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-            ], names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block)), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(part, pa.binary()), pa.nulls(n, kind), pa.nulls(n, pa.binary())], names
+            )
         for lo in range(0, len(self.ids), _ROWS):
-            own = slice(lo, lo + _ROWS)
-            n = len(self.ids[own])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-                pa.array(self.ids[own], kind), pa.array(self.sizes[own], pa.int32()), pa.array(self.places[own], pa.binary()),
-            ], names)
+            part = [_packed(number[p]) for p in self.places[lo : lo + _ROWS]]
+            n = len(part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(self.ids[lo : lo + n], kind), pa.array(part, pa.binary())], names
+            )
 
 
 def _sent_back(held: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> pa.RecordBatch:
@@ -114,22 +126,15 @@ def _sent_back(held: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> pa.Record
     packed = [
         (_packed(np.diff(k[lo:hi], prepend=0)), _packed(counts[lo:hi]), _packed(flat[upto[lo] : upto[hi]])) for lo, hi in zip(first, ends, strict=True)
     ]
-    columns = [pa.array(c, pa.binary()) for c in zip(*packed, strict=True)]
-    sizes = [pa.array(x, pa.int32()) for x in (ends - first, upto[ends] - upto[first])]
-    return pa.RecordBatch.from_arrays([pa.array(block[first]), *sizes, *columns], ["block", "words", "tokens", "steps", "counts", "ids"])
+    return pa.RecordBatch.from_arrays([pa.array(block[first]), *[pa.array(c, pa.binary()) for c in zip(*packed, strict=True)]], ["block", "steps", "counts", "ids"])
 
 
 def _reassemble(found: pa.Table, texts: pa.Table) -> pa.Table:
     """id, ids of the texts of one block, from the ids of its distinct words."""
-    words, tokens, steps, counts, ids = (found.column(i).to_pylist() for i in range(1, 6))
-    none = [np.zeros(0, np.uint32)]
-    k = np.concatenate(none + [np.cumsum(_unpacked(x, n)) for x, n in zip(steps, words, strict=True)]).astype(np.int64)
-    count = np.concatenate(none + [_unpacked(x, n) for x, n in zip(counts, words, strict=True)])
-    flat = np.concatenate(none + [_unpacked(x, n) for x, n in zip(ids, tokens, strict=True)]).astype(np.int32)
-    parts = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(count, dtype=np.int64))), pa.array(flat)).take(pa.array(np.argsort(k)))
-    out = []
-    for packed, n in zip(texts.column("places").to_pylist(), texts.column("size").to_pylist(), strict=True):
-        out.append(parts.take(pa.array(_unpacked(packed, n))).flatten().to_numpy())
+    whole = lambda name, step=lambda x: x: np.concatenate([np.zeros(0, np.int64)] + [step(_unpacked(x)) for x in found.column(name).to_pylist()])
+    k, counts, flat = whole("steps", np.cumsum), whole("counts"), whole("ids")
+    parts = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts))), pa.array(flat.astype(np.int32))).take(pa.array(np.argsort(k)))
+    out = [parts.take(pa.array(_unpacked(packed))).flatten().to_numpy() for packed in texts.column("places").to_pylist()]
     made = pa.table([texts.column("id"), pa.array(out, pa.list_(pa.int32()))], ["id", "ids"])
     pa.default_memory_pool().release_unused()
     return made
@@ -164,7 +169,7 @@ def encode(
         pa.default_memory_pool().release_unused()  # the worker lives on
 
     kind = rows.schema["id"].dataType.simpleString()
-    blocks = bucketed(rows.mapInArrow(cut, f"block long, k int, word binary, id {kind}, size int, places binary"), "bpe-blocks", "block")
+    blocks = bucketed(rows.mapInArrow(cut, f"block long, k int, word binary, id {kind}, places binary"), "bpe-blocks", "block")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = tiktoken.Encoding("words", pat_str=ANY, mergeable_ranks=ranks(held.value), special_tokens={})
@@ -186,8 +191,8 @@ def encode(
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = blocks.where("k is not null").select("word", "block", "k").repartition(parts, "word").sortWithinPartitions("word")
-    found = written(asked.mapInArrow(encoded, "block long, words int, tokens int, steps binary, counts binary, ids binary"), "bpe-ids")
-    texts = blocks.where("k is null").select(F.col("block").alias("of"), "id", "size", "places")
+    found = written(asked.mapInArrow(encoded, "block long, steps binary, counts binary, ids binary"), "bpe-ids")
+    texts = blocks.where("k is null").select(F.col("block").alias("of"), "id", "places")
     return found.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(_reassemble, f"id {kind}, ids array<int>")
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -46,3 +47,8 @@ def test_large_vocabulary_files_are_refused(monkeypatch):
     monkeypatch.setattr(bpe, "MOST_BYTES", 10)
     with pytest.raises(ValueError):
         bpe.vocabulary(PATH)
+
+
+def test_packed_numbers():
+    for numbers in ([], [0], [127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28, 2**32 - 1, 5]):
+        assert bpe._unpacked(bpe._packed(np.array(numbers, np.uint32))).tolist() == numbers
