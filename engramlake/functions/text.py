@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from engramlake.functions.answers import strip
 
 # Letters, digits and underscore of any script; the same pattern runs on RE2 engines.
 WORD = r"[\p{L}\p{N}_]+"
 
+# A run of word characters, or of signs: neither white space nor word characters.
+PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
+
 GRAM = 6
+MOST_NEEDLES = 50_000  # of one document in an automaton
+FEW = 16  # so many needles are looked for one by one
 
 
 def words(text: Column) -> Column:
@@ -36,6 +44,11 @@ def normal_topic(topic: Column) -> Column:
     return F.when(t == "core", t).when(cleaned == "", "general").otherwise(cleaned)
 
 
+def pieces(text: Column) -> Column:
+    """Lower-cased runs of word characters and of signs, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(PIECE), F.lit(0))
+
+
 def contains_pairs(
     needles: DataFrame,
     docs: DataFrame,
@@ -45,22 +58,29 @@ def contains_pairs(
     needle: str,
     doc_id: str,
     text: str,
-    keep_text: bool = False,
+    also: str | None = None,
 ) -> DataFrame:
     """(scope, needle_id, doc_id) where the document text contains the needle, ignoring case.
 
-    Exact, also where the needle sits inside longer words, and without comparing all pairs:
-    a text containing the needle has a word that contains any given word of the needle. So each needle
-    is anchored on its rarest word, the anchor is expanded to the vocabulary words containing it (found
-    through its rarest character gram, on distinct words only), and only documents with one of those
-    words are checked.
-    Needles need at least one word character. ``keep_text`` adds the lower-cased text as ``__text``.
+    Exact, also where the needle sits inside longer words, and without comparing all pairs: a text
+    that contains the needle has a piece (a run of word characters, or of signs) that contains any
+    given piece of the needle. So each needle is anchored on its rarest piece, the anchor is expanded
+    to the vocabulary pieces containing it (found through its rarest character gram, on distinct
+    pieces only), and only documents with one of those are checked. A needle without a piece (white
+    space, or nothing) is checked against every document of its scope.
+
+    Each text moves once and is read once for all of its candidate needles (see ``_search``). With
+    ``also``, an array of lower-case texts beside each needle, the result has ``has_also``: the
+    document, without its commas, holds one of them. Null needles, ids and texts find nothing.
     """
     scope = list(scope)
-    posting = exploded(docs, [*scope, doc_id], F.array_distinct(words(F.col(text))), "__tok")
+    needles = needles.where(F.col(needle).isNotNull())
+    own_pieces = F.concat(F.array_distinct(pieces(F.col(text))), F.array(F.lit("")))
+    posting = exploded(docs, [*scope, doc_id], own_pieces, "__tok")
     vocab = posting.groupBy(*scope, "__tok").agg(F.count(F.lit(1)).alias("__df"))
-    asked = exploded(needles, [*scope, needle_id], F.array_distinct(words(F.col(needle))), "__tok")
-    # Anchor: the needle's word in the fewest documents (none at all is best), the longer one on ties.
+    found = F.array_distinct(pieces(F.col(needle)))
+    asked = exploded(needles, [*scope, needle_id], F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(""))), "__tok")
+    # Anchor: the needle's piece in the fewest documents (none at all is best), the longer one on ties.
     rarity = F.struct(F.coalesce("__df", F.lit(0)), -F.length("__tok"), F.col("__tok"))
     anchor = asked.join(vocab, [*scope, "__tok"], "left").groupBy(*scope, needle_id).agg(
         F.min_by("__tok", rarity).alias("__anchor")
@@ -69,10 +89,10 @@ def contains_pairs(
     def grams(tok: str, n: Column) -> Column:
         last = F.length(tok) - n + 1
         return F.when(
-            last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col(tok), i, n)))
+            (n >= 1) & (last >= 1), F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col(tok), i, n)))
         ).otherwise(F.array().cast("array<string>"))
 
-    # Gram sizes that can occur: words shorter than GRAM are looked up whole.
+    # Gram sizes that can occur: pieces shorter than GRAM are looked up whole.
     sizes = anchor.agg(F.collect_set(F.least(F.lit(GRAM), F.length("__anchor"))).alias("sizes")).scalar()
     sized = vocab.select(*scope, "__tok", sizes.alias("__sizes"))
     of_size = [
@@ -93,15 +113,99 @@ def contains_pairs(
     wider = block.join(vocab_gram, [*scope, "__gram"]).where(F.contains("__tok", "__anchor")).select(
         *scope, "__anchor", "__tok"
     )
+    nothing = anchor.where(F.col("__anchor") == "").select(*scope, "__anchor", F.col("__anchor").alias("__tok")).distinct()
     pairs = (
-        anchor.join(wider, [*scope, "__anchor"])
+        anchor.join(wider.unionByName(nothing), [*scope, "__anchor"])
         .join(posting, [*scope, "__tok"])
         .select(*scope, needle_id, doc_id)
         .distinct()
     )
-    return (
-        pairs.join(needles.select(*scope, needle_id, F.lower(needle).alias("__needle")), [*scope, needle_id])
-        .join(docs.select(*scope, doc_id, F.lower(text).alias("__text")), [*scope, doc_id])
-        .where(F.contains("__text", "__needle"))
-        .select(*scope, needle_id, doc_id, *(["__text"] if keep_text else []))
+    return _search(pairs, needles, docs, scope, needle_id, needle, doc_id, text, also)
+
+
+def _search(
+    pairs: DataFrame, needles: DataFrame, docs: DataFrame, scope: list[str], needle_id: str, needle: str, doc_id: str, text: str, also: str | None
+) -> DataFrame:
+    """The candidate ``pairs`` whose text does contain the needle.
+
+    Texts and their candidates are dealt by document and sorted, the text first. A task holds one
+    document's texts and at most ``MOST_NEEDLES`` of its candidates, makes an automaton of them and
+    reads the text once.
+    """
+    key = [*scope, doc_id]
+    nothing = F.lit(None)
+    others = F.col(also) if also else F.array()
+    wanted = pairs.join(
+        needles.select(*scope, needle_id, F.lower(needle).alias("__says"), others.cast("array<string>").alias("__also")), [*scope, needle_id]
+    ).select(*key, F.lit(1).alias("__kind"), F.col(needle_id).alias("__of"), "__says", "__also")
+    held = docs.where(F.col(text).isNotNull()).select(
+        *key, F.lit(0).alias("__kind"), nothing.cast(needles.schema[needle_id].dataType).alias("__of"), F.lower(text).alias("__says"),
+        nothing.cast("array<string>").alias("__also"),
     )
+    n = len(key)
+    out_schema = StructType([*[docs.schema[c] for c in key], StructField("__of", needles.schema[needle_id].dataType), StructField("has_also", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, asked = None, [], []
+        rows: list[tuple] = []
+
+        def search() -> None:
+            for at, others in _found(texts, asked):
+                rows.append((*now, at, others))
+            asked.clear()
+
+        def done() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * (n + 2)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        schema = None
+        for b in batches:
+            if schema is None:
+                schema = pa.schema([*[b.schema.field(i) for i in range(n)], pa.field("__of", b.schema.field(n + 1).type), pa.field("has_also", pa.bool_())])
+            parts = [b.column(i).to_pylist() for i in range(n + 4)]
+            for own, kind, at, says, others in zip(zip(*parts[:n], strict=True), *parts[n:], strict=True):
+                if own != now:
+                    search()
+                    now, texts = own, []
+                if kind == 0:
+                    texts.append(says)
+                else:
+                    asked.append((at, says, others))
+                    if len(asked) >= MOST_NEEDLES:
+                        search()
+            yield done()
+        search()
+        if rows:
+            yield done()
+
+    both = held.union(wanted).repartition(*key).sortWithinPartitions(*key, "__kind")
+    hits = both.mapInArrow(run, out_schema).withColumnRenamed("__of", needle_id).select(*scope, needle_id, doc_id, "has_also")
+    if also:
+        return hits
+    return hits.drop("has_also")
+
+
+def _found(texts: list[str], asked: list[tuple[object, str, list[str] | None]]) -> Iterator[tuple[object, bool]]:
+    """(id, whether one of its other texts occurs) of the needles that occur in one of the texts."""
+    if not asked or not texts:
+        return
+    if len(asked) <= FEW:
+        hit = [{i for i, (_, needle, _) in enumerate(asked) if needle in text} for text in texts]
+    else:
+        which: dict[str, list[int]] = {}
+        for i, (_, needle, _) in enumerate(asked):
+            which.setdefault(needle, []).append(i)
+        everywhere = which.pop("", [])
+        machine = ahocorasick.Automaton()
+        for needle in which:
+            machine.add_word(needle, needle)
+        machine.make_automaton()
+        hit = []
+        for text in texts:
+            seen = {needle for _, needle in machine.iter(text)} if which else set()
+            hit.append({*everywhere, *(i for needle in seen for i in which[needle])})
+    plain = [text.replace(",", "") if any(a[2] for a in asked) else "" for text in texts]
+    for i in sorted(set().union(*hit)):
+        at, _, others = asked[i]
+        yield at, any(o in plain[t] for t, h in enumerate(hit) if i in h for o in others or () if o is not None)

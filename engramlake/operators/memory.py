@@ -64,15 +64,12 @@ def name_value_hits(entities: DataFrame, variants: DataFrame, entries: DataFrame
     ``entries``: scope, entry_id, content.
     """
     scope = list(scope)
-    names = entities.select(*scope, "entity", F.col("entity").alias("__name")).distinct()
-    hits = contains_pairs(
-        names, entries, scope=scope, needle_id="entity", needle="__name", doc_id="entry_id", text="content", keep_text=True
-    )
     known = variants.groupBy(*scope, "entity").agg(F.flatten(F.collect_list("variants")).alias("__known"))
-    text = F.replace(F.col("__text"), F.lit(","), F.lit(""))
-    return hits.join(known, [*scope, "entity"], "left").select(
-        *scope, "entity", "entry_id", F.coalesce(_says(text, F.col("__known")), F.lit(False)).alias("has_value")
+    names = entities.select(*scope, "entity", F.col("entity").alias("__name")).distinct().join(known, [*scope, "entity"], "left")
+    hits = contains_pairs(
+        names, entries, scope=scope, needle_id="entity", needle="__name", doc_id="entry_id", text="content", also="__known"
     )
+    return hits.withColumnRenamed("has_also", "has_value")
 
 
 def detect_stored_entities(entities: DataFrame, variants: DataFrame, entries: DataFrame, scope: Sequence[str] = ("world_id",)) -> DataFrame:
