@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.functions.scale import hashed_rank, order_statistics, top_k
-from engramlake.functions.text import contains_pairs, exploded
+from engramlake.functions.text import exploded
 from engramlake.operators.entity import NUMERIC
 from engramlake.session import materialise
 
@@ -256,6 +256,7 @@ def q_temporal_extreme(series: DataFrame, keys: Sequence[str], min_length: int =
 
 
 PUNCTUATION = ".,;:!?()\"'"
+PREFIX, SHORT = 5, 3  # a phrase of one word has more than four letters, each of two words more than two
 
 
 def text_phrases(texts: DataFrame, scope: Sequence[str], entity: str, text: str) -> DataFrame:
@@ -273,11 +274,54 @@ def text_phrases(texts: DataFrame, scope: Sequence[str], entity: str, text: str)
     return exploded(d, [*scope, entity], phrases, "phrase")
 
 
+def _holders(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The smallest and the largest entity of each key: all that tells whether one entity only has it."""
+    return rows.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _substring_holders(tokens: DataFrame, needles: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, phrase, lo, hi) of the needles (scope, phrase) that occur inside some token (scope, token, lo, hi).
+
+    A needle begins at some place of the token, so its first ``PREFIX`` characters stand there. Each
+    place asks which lengths needles of that beginning have, and looks up exactly those substrings.
+    """
+    needles = needles.where(F.length("phrase") >= PREFIX)
+    lengths = needles.groupBy(*scope, F.substr("phrase", F.lit(1), F.lit(PREFIX)).alias("gram")).agg(F.collect_set(F.length("phrase")).alias("lengths"))
+    last = F.length("token") - PREFIX + 1
+    places = tokens.where(last >= 1).select(*scope, "token", "lo", "hi", F.explode(F.sequence(F.lit(1), last)).alias("at"))
+    places = places.withColumn("gram", F.substr("token", F.col("at"), F.lit(PREFIX))).join(lengths, [*scope, "gram"])
+    fits = F.filter("lengths", lambda n: n <= F.length("token") - F.col("at") + 1)
+    each = exploded(places, [*scope, "token", "lo", "hi", "at"], fits, "n")
+    return _holders(each.select(*scope, F.substr("token", F.col("at"), F.col("n")).alias("phrase"), "lo", "hi"), [*scope, "phrase"])
+
+
+def _endings(pairs: DataFrame, wanted: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, one, a): the first words of ``wanted`` that the first token of some pair ends with."""
+    tail = lambda c: F.right(F.col(c), F.lit(SHORT))
+    words = wanted.select(*scope, "a").distinct()
+    lengths = words.groupBy(*scope, tail("a").alias("gram")).agg(F.collect_set(F.length("a")).alias("lengths"))
+    tokens = pairs.select(*scope, "one").distinct().withColumn("gram", tail("one")).join(lengths, [*scope, "gram"])
+    each = exploded(tokens, [*scope, "one"], F.filter("lengths", lambda n: n <= F.length("one")), "n")
+    return each.select(*scope, "one", F.right(F.col("one"), F.col("n")).alias("a")).join(words, [*scope, "a"], "left_semi")
+
+
+def _spanning_holders(pairs: DataFrame, wanted: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, a, b, lo, hi) of the ``wanted`` word pairs (scope, a, b): some token ends with a, and the next begins with b."""
+    head = lambda c: F.substr(F.col(c), F.lit(1), F.lit(SHORT))
+    lengths = wanted.groupBy(*scope, "a", head("b").alias("gram")).agg(F.collect_set(F.length("b")).alias("lengths"))
+    each = pairs.join(_endings(pairs, wanted, scope), [*scope, "one"]).withColumn("gram", head("two")).join(lengths, [*scope, "a", "gram"])
+    each = exploded(each, [*scope, "a", "two", "lo", "hi"], F.filter("lengths", lambda n: n <= F.length("two")), "n")
+    return _holders(each.select(*scope, "a", F.substr(F.col("two"), F.lit(1), F.col("n")).alias("b"), "lo", "hi"), [*scope, "a", "b"])
+
+
 def q_text_match(texts: DataFrame, scope: Sequence[str], entity: str, text: str) -> DataFrame:
     """All phrases that occur, as a substring and ignoring case, in exactly one entity's text.
 
-    Phrases used by one entity only survive a plain count; those are then checked as substrings of
-    every text of the world.
+    Phrases used by one entity only survive a plain count; those are then looked for inside every
+    word, and every pair of neighbouring words, of the world. A phrase of one word lies within one
+    token between white space; one of two words is the end of a token and the beginning of the next,
+    one blank apart. So no text moves: distinct tokens and token pairs carry their first and last
+    holder, and a phrase is unique if both are its own entity.
     """
     scope = list(scope)
     grams = text_phrases(texts, scope, entity, text)
@@ -285,17 +329,26 @@ def q_text_match(texts: DataFrame, scope: Sequence[str], entity: str, text: str)
         F.col(entity) == F.col("__max")
     ).drop("__max")
     tried = materialise(single, "phrases")  # read by several branches
-    long_texts = texts.where(F.length(text) > 20).select(*scope, F.col(entity).alias("__holder"), text)
-    hits = contains_pairs(
-        tried.select(*scope, "phrase", F.col("phrase").alias("__needle_text")), long_texts,
-        scope=scope, needle_id="phrase", needle="__needle_text", doc_id="__holder", text=text,
-    )
-    unique = hits.groupBy(*scope, "phrase").agg(F.min("__holder").alias(entity), F.max("__holder").alias("__max")).where(
-        F.col(entity) == F.col("__max")
-    )
-    return unique.join(tried, [*scope, entity, "phrase"], "left_semi").select(
-        *scope, "phrase", F.col(entity).alias("answer")
+    # segments of tokens that stand exactly one blank apart
+    segments = F.filter(F.split(F.lower(text), r"\s{2,}|[^\S ]"), lambda s: s != "")
+    long_texts = exploded(texts.where(F.length(text) > 20), [*scope, entity], segments, "segment")
+    parts = F.split("segment", " ")
+    rows = long_texts.select(*scope, F.col(entity).alias("lo"), F.col(entity).alias("hi"), parts.alias("parts"))
+    tokens = _holders(exploded(rows, [*scope, "lo", "hi"], F.filter("parts", lambda t: F.length(t) >= PREFIX), "token"), [*scope, "token"])
+    words = tried.where(~F.contains("phrase", F.lit(" "))).select(*scope, "phrase")
+    inside = _substring_holders(tokens, words, scope)
+    after = F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))
+    before = F.slice("parts", F.lit(1), F.greatest(F.size("parts") - 1, F.lit(0)))
+    both = F.filter(F.zip_with(before, after, lambda a, b: F.struct(a.alias("one"), b.alias("two"))), lambda p: (F.length(p["one"]) >= SHORT) & (F.length(p["two"]) >= SHORT))
+    pairs = exploded(rows, [*scope, "lo", "hi"], both, "pair").select(*scope, "lo", "hi", "pair.one", "pair.two")
+    pairs = materialise(_holders(pairs, [*scope, "one", "two"]), "token-pairs")  # read by three branches
+    wanted = tried.where(F.contains("phrase", F.lit(" "))).select(
+        *scope, F.substring_index("phrase", " ", 1).alias("a"), F.substring_index("phrase", " ", -1).alias("b")
     )
+    spanning = _spanning_holders(pairs, wanted, scope).select(*scope, F.concat("a", F.lit(" "), "b").alias("phrase"), "lo", "hi")
+    found = inside.unionByName(spanning).where(F.col("lo") == F.col("hi"))
+    return tried.join(found, [*scope, "phrase"]).where(F.col("lo") == F.col(entity)).select(*scope, "phrase", F.col(entity).alias("answer"))
+
 
 
 def q_enum_filter(wide: DataFrame, enum_attr: str, numeric_attrs: Sequence[str]) -> DataFrame:
