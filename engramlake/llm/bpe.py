@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from engramlake.llm.store import bucketed, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 MOST_BYTES = 64 << 20  # of a vocabulary file: it is sent to every task
 ANY = r"(?s:.+)"
 _ROWS = 10_000
 _SENT = 1 << 18
+_OUT_BYTES = 4 << 20
 
 
 def vocabulary(path: str) -> bytes:
@@ -94,10 +95,8 @@ class _Block:
     def rows(self, block: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         """The words (block, k, word), then the texts (block, id, places), some at a time."""
         names = ["block", "k", "word", "id", "places"]
-        times = np.zeros(len(self.number), np.int64)
-        for p in self.places:
-            times += np.bincount(p, minlength=len(times))
         words = list(self.number)
+        times = np.bincount(np.concatenate(self.places), minlength=len(words)).tolist()
         order = sorted(range(len(words)), key=lambda i: (-times[i], words[i]))
         number = np.empty(len(words), np.uint32)
         number[order] = np.arange(len(words), dtype=np.uint32)
@@ -213,8 +212,13 @@ def decode(rows: DataFrame, *, ids_col: str = "ids", name: str = "decoded", path
             table[rank] = token
         parts = pa.array(table, pa.large_binary())
         for b in batches:
-            out = [_bytes(item.values, parts) if item.is_valid else None for item in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names)
+            lo, out, held_bytes = 0, [], 0
+            for i, item in enumerate(b.column(at), 1):
+                out.append(_bytes(item.values, parts) if item.is_valid else None)
+                held_bytes += len(out[-1] or b"")
+                if held_bytes > _OUT_BYTES or i == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*b.slice(lo, i - lo).columns, pa.array(out, pa.binary())], names)
+                    lo, out, held_bytes = i, [], 0
 
     return rows.mapInArrow(run, rows.withColumn(name, F.lit(None).cast("binary")).schema)
 
