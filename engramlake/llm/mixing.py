@@ -106,7 +106,8 @@ def mixing_plan(
     # the end of the last whole slice, and the prefix of the slice after it
     ends = _by_leaf(keyed, whole, [*tree, "slice"], []).groupBy(*tree).agg(F.max("key").alias("last"))
     inside = _by_leaf(keyed.drop("rest"), cut, [*tree, "slice"], ["before", "rest"])
-    run = Window.partitionBy(*tree, "slice").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    # rows of one key come together or not at all
+    run = Window.partitionBy(*tree, "slice").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(run)).where("upto <= rest")
     ends = ends.union(inside.groupBy(*tree).agg(F.max("key").alias("last"))).groupBy(*tree).agg(F.max("last").alias("last"))
     plan = _by_leaf(plan, ends, tree, ["last"], "left")
@@ -130,8 +131,8 @@ def mixed(
 
     Tokens are words `[^\\x20\\x09-\\x0D]+`; null and empty texts have none, and come with whole epochs
     and with a prefix that reaches them. A null in a column of the tree is a node of its own. Rows
-    that repeat id and text stand together in the order. A leaf's rows sum to its budget or to less
-    by under one document. Nodes of weight 0 get nothing. An empty table gives an empty result.
+    that repeat an id (or, without one, a text) have one place in the order and come together, so a
+    leaf's rows sum to its budget or to less by under one document with its repetitions. Nodes of weight 0 get nothing. An empty table gives an empty result.
     """
     plan = mixing_plan(docs, tree, weights, id_col=id_col, text_col=text_col, budget=budget, max_epochs=max_epochs, seed=seed, slice_rows=slice_rows)
     rows = _by_leaf(docs, plan.withColumnsRenamed({"epochs": "__epochs", "last": "__last"}), tree, ["__epochs", "__last"])

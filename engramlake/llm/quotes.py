@@ -13,9 +13,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.functions.scale import last_known
@@ -85,30 +86,49 @@ def _parsed(rows: DataFrame) -> DataFrame:
 
 
 def _trimmed(keyed: DataFrame, missing: DataFrame) -> DataFrame:
-    """conv, turn, level, hash, origin of the ``missing`` passages that share over half of their runs of words with
-    one earlier turn: the one that shares most, the latest of equals. Asked are the turns that said some run latest."""
+    """conv, turn, level, hash, near of the ``missing`` passages that share over half of their runs of words with
+    one earlier turn: the one that shares most, the latest of equals.
+
+    Passages and turns of equal runs are classes, so copies are compared once. A turn that shares over
+    half of a passage's runs shares one of its rarest half: only those look for classes to compare.
+    """
     passage = ["conv", "turn", "level", "hash"]
-    wanted = keyed.select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.level", "q.hash", F.explode("q.grams").alias("gram"))
-    wanted = written(wanted.join(missing, passage, "left_semi").distinct(), "quote-grams")
+    quoted = keyed.select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.level", "q.hash", "q.grams")
+    quoted = written(quoted.join(missing, passage, "left_semi"), "quotes-missing")
+    wanted = written(quoted.select("conv", "hash", F.explode("grams").alias("gram")).distinct(), "quote-grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             grams = [shingles(t) for t in b.column(2).to_pylist()]
-            at = pa.array([i for i, g in enumerate(grams) for _ in g], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([x for g in grams for x in g], pa.int64())], ["conv", "turn", "gram"])
+            cls = pa.array([hashlib.md5(np.array(g, np.int64).tobytes()).hexdigest() for g in grams], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cls, pa.array(grams, pa.list_(pa.int64()))], ["conv", "turn", "cls", "grams"])
 
     kind = keyed.schema["conv"].dataType.simpleString()
-    told = keyed.select("conv", "turn", "own").join(missing.select("conv").distinct(), "conv", "left_semi").mapInArrow(run, f"conv {kind}, turn long, gram long")
-    told = written(told.join(wanted.select("conv", "gram").distinct(), ["conv", "gram"], "left_semi").distinct(), "said-grams")
+    told = keyed.select("conv", "turn", "own").join(missing.select("conv").distinct(), "conv", "left_semi")
+    told = told.mapInArrow(run, f"conv {kind}, turn long, cls string, grams array<long>").where(F.size("grams") > 0)
+    told = written(told.select("conv", "turn", "cls", F.explode("grams").alias("gram")).join(wanted.select("conv", "gram").distinct(), ["conv", "gram"], "left_semi"), "said-grams")
+    turns = told.select("conv", "cls", "turn").distinct()
+    told = written(told.select("conv", "cls", "gram").distinct(), "said-classes")
+    often = told.groupBy("conv", "gram").agg(F.count("*").alias("often"))
+    one = Window.partitionBy("conv", "hash")
+    ranked = wanted.join(often, ["conv", "gram"], "left").withColumn("rank", F.row_number().over(one.orderBy(F.coalesce("often", F.lit(0)), "gram")))
+    ranked = ranked.withColumn("of", F.count("*").over(one))
+    rare = ranked.where(F.col("rank") <= F.ceil(F.col("of") / 2)).select("conv", "hash", "gram", "of")
+    some = rare.join(told, ["conv", "gram"]).select("conv", "hash", "of", "cls").distinct()
+    shared = some.join(wanted, ["conv", "hash"]).join(told, ["conv", "cls", "gram"]).groupBy("conv", "hash", "of", "cls").agg(F.count("*").alias("n"))
+    shared = shared.where("2 * n > of").select("conv", "hash", "cls", "n")
+    asks = quoted.select(*passage).distinct().join(shared, ["conv", "hash"])
+    # of one turn, what it quotes comes before what it says
     none = F.lit(None)
-    both = wanted.select("conv", "gram", (2 * F.col("turn")).alias("seq"), none.cast("long").alias("at"), "turn", "level", "hash")
-    both = both.unionByName(told.select("conv", "gram", (2 * F.col("turn") + 1).alias("seq"), F.col("turn").alias("at"), none.cast("long").alias("turn"), none.cast("int").alias("level"), none.cast("string").alias("hash")))
-    asked = last_known(both, ["conv", "gram"], "seq", {"origin": F.col("at")}).where("level is not null and origin is not null").select(*passage, "origin").distinct()
-    shared = asked.join(wanted, passage).join(told.withColumnRenamed("turn", "origin"), ["conv", "origin", "gram"])
-    shared = shared.groupBy(*passage, "origin").agg(F.count("*").alias("n"))
-    whole = wanted.groupBy(*passage).agg(F.count("*").alias("of"))
-    best = shared.join(whole, passage).where("2 * n > of").groupBy(*passage).agg(F.max(F.struct("n", "origin")).alias("best"))
-    return best.select(*passage, F.col("best.origin").alias("near"))
+    both = asks.select("conv", "cls", (2 * F.col("turn")).alias("seq"), none.cast("long").alias("at"), "turn", "level", "hash", "n")
+    both = both.unionByName(
+        turns.select(
+            "conv", "cls", (2 * F.col("turn") + 1).alias("seq"), F.col("turn").alias("at"), none.cast("long").alias("turn"), none.cast("int").alias("level"),
+            none.cast("string").alias("hash"), none.cast("long").alias("n"),
+        )
+    )
+    found = last_known(both, ["conv", "cls"], "seq", {"origin": F.col("at")}).where("hash is not null and origin is not null")
+    return found.groupBy(*passage).agg(F.max(F.struct("n", "origin")).alias("best")).select(*passage, F.col("best.origin").alias("near"))
 
 
 def link_quotes(
