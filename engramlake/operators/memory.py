@@ -178,10 +178,13 @@ def recency_decay(scored: DataFrame, seqs: DataFrame, scope: Sequence[str], scor
     ).drop("__age")
 
 
-def fused_ranks(queries: DataFrame, entries: DataFrame, dims: int, scope: Sequence[str] = ("agent_id",)) -> DataFrame:
-    """Full vector and keyword ranks of every entry of the query's scope, fused.
+def fused_ranks(
+    queries: DataFrame, entries: DataFrame, dims: int, scope: Sequence[str] = ("agent_id",), *, digits: int | None = None
+) -> DataFrame:
+    """Full vector and keyword ranks of every entry of the query's scope, fused: a row for each pair.
 
-    An entry without an embedding has its keyword rank only.
+    An entry without an embedding has its keyword rank only. With ``digits``, scores that round to the
+    same number tie. For the best entries alone, ``hybrid.hybrid_search`` needs no such table.
     """
     scope = list(scope)
     keys = [*scope, "query_id"]
@@ -189,19 +192,12 @@ def fused_ranks(queries: DataFrame, entries: DataFrame, dims: int, scope: Sequen
     words_score = bm25_scores(queries, entries, scope)
     all_pairs = entries.select(*scope, "entry_id").join(queries.select(*keys), scope)
     keyword = all_pairs.join(words_score, [*keys, "entry_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    rv = distributed_rank(vec.withColumn("score", F.round("score", 9)), keys, "score", "entry_id")
-    rb = distributed_rank(keyword.withColumn("score", F.round("score", 9)), keys, "score", "entry_id")
+    score = F.col("score") if digits is None else F.round("score", digits)
+    rv = distributed_rank(vec.withColumn("score", score), keys, "score", "entry_id")
+    rb = distributed_rank(keyword.withColumn("score", score), keys, "score", "entry_id")
     return rrf_fuse(rv, rb, [*keys, "entry_id"])
 
 
-def hybrid_search(queries: DataFrame, entries: DataFrame, k: int, dims: int, scope: Sequence[str] = ("agent_id",)) -> DataFrame:
-    """Top ``k`` entries per query by fused rank with recency decay."""
-    fused = recency_decay(fused_ranks(queries, entries, dims, scope), entries.select(*scope, "entry_id", "seq"), scope)
-    return top_k(
-        fused.where(F.col("score") > 0), [*scope, "query_id"], [F.col("score").desc(), F.col("entry_id")], k, "position"
-    )
-
-
 def entry_name(content: Column) -> Column:
     """Lower-cased text before the first `` | ``."""
     return F.lower(A.strip(F.substring_index(content, " | ", 1)))

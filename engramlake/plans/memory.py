@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.operators import hybrid
 from engramlake.operators import memory as M
 from engramlake.plans import catalogue
 from engramlake.plans.entities_changes import documents
@@ -191,7 +192,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("rrf_fuse", "SELECT agent_id, query_id, entry_id, rank_vec, rank_bm25, ROUND(rrf, 9) AS rrf FROM fused")
 def _(t: Tables) -> DataFrame:
-    d = M.fused_ranks(query_vec(t), vec_entries(t), DIMS)
+    d = M.fused_ranks(query_vec(t), vec_entries(t), DIMS, digits=9)
     return d.select("agent_id", "query_id", "entry_id", "rank_vec", "rank_bm25", F.round("rrf", 9).alias("rrf"))
 
 
@@ -213,7 +214,7 @@ SELECT agent_id, query_id, entry_id, ROUND(score, 9) AS score, position FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY agent_id, query_id ORDER BY score DESC, entry_id) AS position FROM decayed WHERE score > 0) x
 WHERE position <= 5""")
 def _(t: Tables) -> DataFrame:
-    d = M.hybrid_search(query_vec(t), vec_entries(t), 5, DIMS)
+    d = hybrid.hybrid_search(query_vec(t), vec_entries(t), 5, DIMS, digits=9)
     return d.select("agent_id", "query_id", "entry_id", F.round("score", 9).alias("score"), F.col("position").cast("bigint").alias("position"))
 
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from engramlake.operators import hybrid
 from engramlake.operators import memory as M
 
 
@@ -127,11 +128,38 @@ def test_hybrid_search_against_numpy(spark):
     rv, rb = rank(cos), rank(bm)
     score = {i: (0.7 / (60 + rv[i]) + 0.3 / (60 + rb[i])) * 0.99 ** (n - 1 - i) for i in range(n)}
     want = sorted(score, key=lambda i: (-score[i], i))[:5]
-    got = M.hybrid_search(queries, entries, 5, dims).orderBy("position").collect()
+    got = hybrid.hybrid_search(queries, entries, 5, dims, digits=9).orderBy("position").collect()
     assert [r.entry_id for r in got] == want
     assert [r.score for r in got] == pytest.approx([score[i] for i in want])
 
 
+@pytest.mark.parametrize("block_rows", [hybrid.BLOCK_ROWS, 170])
+def test_hybrid_search_beside_all_pairs(spark, block_rows):
+    rng = np.random.default_rng(7)
+    names = [f"w{i}" for i in range(12)]
+    rows, queries = [], [("a", 1, "w1 w2 w2", rng.normal(size=4).tolist()), ("a", 2, "w3", None), ("a", 3, "nothing known", rng.normal(size=4).tolist()), ("b", 4, "w1 w1", [0.0] * 4), ("c", 5, "w1", [1.0] * 4)]
+    for agent, n in (("a", 1500), ("b", 3)):
+        for i in range(n):
+            v = None if rng.random() < 0.3 else [1.0, 2.0, 3.0, 4.0] if rng.random() < 0.2 else rng.normal(size=4).tolist()
+            rows.append((agent, i, int(rng.integers(0, n)), " ".join(rng.choice(names, size=rng.integers(0, 9))), v))
+    entries = spark.createDataFrame(rows, "agent_id string, entry_id bigint, seq bigint, content string, embedding array<double>")
+    asked = spark.createDataFrame(queries, "agent_id string, query_id int, text string, qvec array<double>")
+    fused = {}
+    for r in M.fused_ranks(asked, entries, 4, digits=9).collect():
+        fused.setdefault(r.query_id, []).append((r.entry_id, r.rank_vec, r.rank_bm25, r.rrf))
+    seq = {(a, i): s for a, i, s, _, _ in rows}
+    want = []
+    for agent, q, _, _ in queries:
+        latest = max((s for (a, _), s in seq.items() if a == agent), default=0)
+        best = sorted((-f[3] * 0.99 ** (latest - seq[agent, f[0]]), f[0], f[1], f[2]) for f in fused.get(q, ()))[:5]
+        want += [(agent, q, i, v, k, n) for n, (_, i, v, k) in enumerate(best, 1)]
+    got = hybrid.hybrid_search(asked, entries, 5, 4, block_rows=block_rows, digits=9)
+    assert sorted((r.agent_id, r.query_id, r.entry_id, r.rank_vec, r.rank_bm25, r.position) for r in got.collect()) == sorted(want)
+    kept = hybrid.candidates(entries, 5, ["agent_id"]).groupBy("agent_id").count().collect()
+    assert {r.agent_id: r["count"] for r in kept}["a"] < 700  # of 1500
+    assert hybrid.hybrid_search(asked, entries.limit(0), 5, 4).count() == 0
+
+
 def test_long_vectors_take_the_fold(spark):
     d = spark.createDataFrame([([1.0] * 200, [2.0] * 200)], "a array<double>, b array<double>")
     assert d.select(M.dot("a", "b", 200)).first()[0] == 400.0
