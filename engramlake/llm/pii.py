@@ -3,9 +3,12 @@
 All work on texts is Spark expressions. The base patterns give spans that always stay. Generators
 propose further, overlapping spans of looser formats; a sum of small boosted trees over features of
 format and context, compiled to one expression, scores them, and a threshold calibrated per kind
-selects. The trees are fitted on the driver from a bounded sample of candidates, with the base
-patterns as labels: features leave out what the patterns check (a plus sign, a check digit), so
-that candidates which only lack it look alike.
+selects. Features leave out the marks that the base patterns check (a plus sign, a check digit, the
+signs of an address, written out or not). So a candidate that only lacks the mark looks like base
+spans: it has one of their formats, and is no example of anything. Examples are base spans, and
+against them the candidates of a format that no base span of the corpus has and that follow no cue.
+The trees are fitted on the driver from a bounded sample of them, the thresholds on counts of
+margins over all documents.
 
 Patterns are written with possessive quantifiers and anchored at the beginning of a run of their
 characters. That changes no match, and neither long runs nor long texts cost more than linear time
@@ -24,12 +27,13 @@ from pyspark.sql import functions as F
 from engramlake.llm.store import written
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 40_000
 MAX_CANDIDATES = 20_000
 PRECISION = 0.98
 TREES = 30
 RATE = 0.3
 CHUNK = 64
+LEAST = 20  # base spans of a kind without which nothing of it is added
+BINS = 64  # of a unit of margin
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: The base patterns, by kind.
@@ -47,7 +51,7 @@ ADDRESS = (
 #: Words that stand before personal data.
 CUES = r"(?i)\b(?:e-?mail|mail|contact|phone|tel|call|mobile|fax|card|visa|iban|account|ip|address|ssn|kontakt|telefon|tarjeta|carte|adresse)\b[^A-Za-z0-9]*$"
 BEFORE = 24
-FEATURES = ("length", "digits", "spaces", "dashes", "dots", "parens", "groups", "longest", "letters", "cue", "left", "right")
+FEATURES = ("length", "digits", "spaces", "dashes", "dots", "parens", "groups", "longest", "letters", "cue", "left", "right", "over")
 
 
 def found(text: Column, pattern: str, only: Column | None = None) -> tuple[Column, Column]:
@@ -130,11 +134,12 @@ def base_spans(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _plausible(name: str) -> Callable[[Column], Column]:
-    return (lambda h: F.length(digits_of(h)).between(7, 19)) if name == "number" else (lambda h: F.length(h) < 200)
+    return (lambda h: F.length(digits_of(h)).between(7, 19)) if name == "number" else (lambda h: F.length(h) > 0)
 
 
 def candidates(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` (with base spans) with ``__candidates``: kind, start, end, hit (overlaps a base span) and features."""
+    """``rows`` (with base spans) with ``__candidates``: kind, start, end, hit (overlaps a base span), own (one of its
+    kind), format (what base spans of its look share) and features."""
     t = F.col(text)
     count = lambda s, what: F.length(s) - F.length(F.regexp_replace(s, what, ""))
     side = lambda c: F.when(c.rlike("^[A-Za-z]$"), 2).when(c.rlike("^[0-9]$"), 3).when(c.rlike(r"^\s?$"), 0).otherwise(1)
@@ -150,23 +155,30 @@ def candidates(rows: DataFrame, text: str = "text") -> DataFrame:
 
         def described(s: Column) -> Column:
             h = s["text"]
+            if address:  # signs that are written out count as such
+                h = F.regexp_replace(F.regexp_replace(h, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
             n, dots = F.length(digits_of(h)), count(h, r"\.")
             quad = h.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
             kind = F.lit("email") if address else F.when(quad, "ip").when(n >= 13, "card").otherwise("phone")
-            base = F.lit(False)
+            base, own = F.lit(False), F.lit(False)
             for k in KINDS:
-                base = base | F.exists(F.col(k), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+                overlaps = F.exists(F.col(k), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+                base, own = base | overlaps, own | (overlaps & (kind == k))
             runs = F.regexp_extract_all(h, F.lit("[0-9]+"), F.lit(0))
             before = F.substring(t, F.greatest(s["start"] + 1 - BEFORE, F.lit(1)), F.least(s["start"], F.lit(BEFORE)))
             features = {
                 "length": F.length(h) - F.when(h.startswith("+"), 1).otherwise(0), "digits": n, "spaces": count(h, r"\x20"), "dashes": count(h, "-"), "dots": dots,
                 "parens": count(h, "[()]"), "groups": F.size(runs), "longest": F.array_max(F.transform(runs, F.length)), "letters": count(h, "[A-Za-z]"),
                 "cue": F.regexp_like(before, F.lit(CUES)).cast("int"), "left": side(F.right(before, F.lit(1))), "right": side(F.substring(t, s["end"] + 1, F.lit(1))),
+                "over": F.exists(runs, lambda r: (F.length(r) > 3) | (r > F.lit("255")) & (F.length(r) == 3)).cast("int"),
             }
+            shape = ["spaces", "dashes", "dots", "parens", "digits", "groups", "longest", "over"]
+            look = [F.least(features["dots"], F.lit(1)), features["spaces"], features["parens"]] if address else [features[f] for f in shape]
+            form = F.concat_ws(":", kind, *[F.coalesce(x, F.lit(0)).cast("string") for x in look])
             values = F.array(*[F.least(F.coalesce(features[f], F.lit(0)).cast("int"), F.lit(255)) for f in FEATURES])
-            return F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), base.alias("hit"), values.alias("x"))
+            return F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), base.alias("hit"), own.alias("own"), form.alias("format"), values.alias("x"))
 
-        kinds = "array<struct<kind:string,start:int,end:int,hit:boolean,x:array<int>>>"
+        kinds = "array<struct<kind:string,start:int,end:int,hit:boolean,own:boolean,format:string,x:array<int>>>"
         rows = rows.withColumn(f"__{name}", F.when(F.size("__spans") > 0, F.transform("__spans", described)).otherwise(F.array().cast(kinds)))
         parts.append(f"__{name}")
     return rows.withColumn("__candidates", F.concat(*parts)).drop("__hits", "__gaps", "__spans", *parts)
@@ -244,26 +256,61 @@ def boost(x: np.ndarray, y: np.ndarray, kinds: Sequence[str], weights: np.ndarra
         right = np.cumsum((t * w)[order]) / np.cumsum(w[order])
         last = np.append(m[order][1:] != m[order][:-1], True) if len(order) else np.zeros(0, bool)
         good = np.flatnonzero((right >= precision) & last)
-        if len(good) and (t * w).sum() >= 20:
+        if len(good) and (t * w).sum() >= LEAST:
             model.thresholds[kind] = float(m[order][good[-1]])
     return model
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, max_candidates: int = MAX_CANDIDATES) -> Trees:
-    """Trees from the candidates of about ``sample_docs`` texts, chosen by hash, and at most ``max_candidates`` of them."""
+def examples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """apart, kind, x, y of the candidates of all texts that tell something: y is true for base spans, and false for
+    candidates of a format that no base span has and that follow no cue."""
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = rows.count()
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(min(1.0, sample_docs / max(1, n)) * (1 << 40)))
     # a table: Spark would otherwise push the fields wanted into the expressions, again and again
     apart = (F.pmod(F.xxhash64("text"), F.lit(3)) == 0).alias("apart")
-    each = written(candidates(base_spans(rows)).select(apart, "__candidates"), "candidates")
-    each = each.select("apart", F.explode("__candidates").alias("c")).select("apart", "c.kind", "c.x", "c.hit")
-    keys = ["apart", "kind", "x", "hit"]
-    got = each.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.xxhash64(*keys), *keys).limit(max_candidates).collect()
+    each = written(candidates(base_spans(rows)).where(F.size("__candidates") > 0).select(apart, "__candidates"), "candidates")
+    each = each.select("apart", F.explode("__candidates").alias("c")).select("apart", "c.*")
+    known = each.where("own").select("format", F.lit(True).alias("known")).distinct()
+    each = each.join(known, "format", "left")
+    cue = F.get("x", F.lit(FEATURES.index("cue")))
+    y = F.when(F.col("own"), True).when(~F.col("hit") & F.col("known").isNull() & (cue == 0), False)
+    return written(each.select("apart", "kind", "x", y.alias("y")).where("y is not null"), "examples")
+
+
+def calibrated(told: DataFrame, model: Trees, precision: float = PRECISION) -> dict[str, float]:
+    """By kind, the margin from which up base spans are at least ``precision`` of the examples.
+
+    It lies halfway between the lowest base span that may be selected and the next example below it;
+    where none is below, at even odds or at that base span, whichever is lower. Counts of margins over
+    all examples that are ``apart``. No threshold where there are fewer than ``LEAST`` base spans, or
+    none may be selected: nothing of that kind is added.
+    """
+    bins = told.where("apart").groupBy("kind", F.floor(model.margin(F.col("x")) * BINS).alias("bin")).agg(
+        F.count_if("y").alias("right"), F.count_if(~F.col("y")).alias("wrong")
+    ).collect()
+    out: dict[str, float] = {}
+    for kind in KINDS:
+        own = sorted((r for r in bins if r.kind == kind), key=lambda r: -r.bin)
+        right = wrong = 0
+        for r, below in zip(own, [*own[1:], None], strict=False):
+            right, wrong = right + r.right, wrong + r.wrong
+            if r.right and right >= precision * (right + wrong):
+                out[kind] = (r.bin + below.bin + 1) / 2 / BINS if below else min(r.bin / BINS, 0.0)
+        if right < LEAST:
+            out.pop(kind, None)
+    return out
+
+
+def fit(docs: DataFrame, *, text_col: str = "text", max_candidates: int = MAX_CANDIDATES) -> Trees:
+    """Trees from at most ``max_candidates`` different examples, chosen by hash; thresholds from all examples."""
+    told = examples(docs, text_col)
+    keys = ["apart", "kind", "x", "y"]
+    got = told.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.xxhash64(*keys), *keys).limit(max_candidates).collect()
     if not got:
         return Trees(0.0, [], {})
-    weights = np.array([min(r.n, 50) for r in got], float)
-    return boost(np.array([list(r.x) for r in got]), np.array([r.hit for r in got]), [r.kind for r in got], weights, np.array([r.apart for r in got]))
+    weights = np.array([r.n for r in got], float)
+    model = boost(np.array([list(r.x) for r in got]), np.array([r.y for r in got]), [r.kind for r in got], weights, np.array([r.apart for r in got]))
+    model.thresholds = calibrated(told, model) if model.trees else {}
+    return model
 
 
 def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: Trees | None = None, redact: bool = True) -> DataFrame:

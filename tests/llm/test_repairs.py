@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from engramlake.llm import mixing, quotes
+from engramlake.llm import mixing, pii, quotes
 
 
 @pytest.mark.parametrize("budget", [5, 15, 25, 35, 45, 55, 60, 75])
@@ -59,3 +59,32 @@ def test_trimmed_quotes_beside_brute_force(spark):
         best = max(((len(runs & set(quotes.shingles(texts[c, e]))), e) for e in range(t)), default=(0, 0))
         assert got[c, t] == (best[1] if 2 * best[0] > len(runs) else None)
     assert sum(o is not None for o in got.values()) > 20
+
+
+def test_unmarked_data_of_the_corpus_itself_is_added(spark):
+    """Phones without plus, cards with a wrong check digit and written-out addresses gain spans; serials and dates do not."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    phone = lambda: f"1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    name = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 9)))
+    made = {
+        "marked": lambda: f"please call +{phone()} soon", "phone": lambda: f"please call {phone()} soon", "serial": lambda: f"serial {digits(9)} part",
+        "date": lambda: f"on 2024-{rng.randint(10, 12)}-{rng.randint(10, 28)} it", "mail": lambda: f"write to {name()}@{name()}.org today",
+        "email": lambda: f"write to {name()} (at) {name()} (dot) org today", "number": lambda: f"pay 4{digits(15)} now", "long": lambda: f"at {name() * 40}[at]{name()}[dot]org so",
+    }
+    rows = [(i, what, make()) for i, (what, make) in enumerate((w, m) for w, m in made.items() for _ in range(300))]
+    df = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    got = {r.id: r for r in pii.personal_data(df).collect()}
+    added = {what: sum(len(got[i].spans) > len(got[i].base) for i, w, _ in rows if w == what) for what in made}
+    assert min(added[w] for w in ("phone", "email", "long")) >= 270, added  # a threshold has no full recall
+    assert added["serial"] == added["date"] == added["marked"] == added["mail"] == 0, added
+    cards = [got[i] for i, w, _ in rows if w == "number"]
+    assert sum([s.kind for s in r.spans] == ["card"] for r in cards) >= 270 and 0 < sum(len(r.base) for r in cards) < 100
+    assert all(set(map(tuple, r.base)) <= set(map(tuple, r.spans)) for r in got.values())
+
+
+def test_the_bound_of_examples_and_an_empty_corpus(spark):
+    df = spark.createDataFrame([(i, f"call +1 (212) 555-{1000 + i} or serial {10**8 + i}") for i in range(200)], "doc_id long, text string")
+    for most in (5, 10_000):
+        assert set(pii.fit(df, max_candidates=most).thresholds) <= {"phone"}
+    assert pii.fit(df.limit(0)).thresholds == {}
