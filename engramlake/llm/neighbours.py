@@ -6,7 +6,8 @@ estimated chance to hold a neighbour: the product, over the functions, of the Ga
 perturbed interval. Candidates are scored in their bucket by exact cosine, and the tables' best are
 merged. How many buckets to visit is fitted on a sample of queries with known neighbours.
 
-Queries that so find fewer than k rows visit more buckets, and at last all vectors, block by block.
+Queries that so find fewer than k rows visit more buckets, and at last all vectors, block by block. Where
+the sample shows that the most buckets a query may visit miss the recall, all queries take that exact way.
 
 Equal vectors are one class, so a vector that a third of the rows share is indexed once. Buckets
 with more rows than ``piece`` are split, and queries visit all pieces.
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -45,7 +45,12 @@ def usable(vector: Column) -> Column:
 
 
 def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Cosine of each row with the query in double precision; a row's value does not depend on the others."""
+    """Cosine of each row with the query in double precision; a row's value does not depend on the others.
+
+    Each vector is first scaled by a power of two, which is exact, so that no square is infinite or lost.
+    """
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+    query = np.ldexp(query, -np.frexp(np.abs(query).max())[1])
     dot = (vectors * query).sum(axis=1)
     return dot / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
@@ -158,8 +163,8 @@ def _sampled(classes: DataFrame, queries: DataFrame, dims: int, k: int, sample:
     return [(v, found) for (_, v), found in zip(rows, out, strict=True) if found]
 
 
-def _probes_needed(index: Index, known: list, recall: float) -> int:
-    """Buckets to visit in each table so that ``recall`` of the sample's neighbours are found; warns where the limit finds fewer."""
+def _probes_needed(index: Index, known: list, recall: float) -> int | None:
+    """Buckets to visit in each table so that ``recall`` of the sample's neighbours are found; None where the limit finds fewer."""
     ranks = []
     for query, near in known:
         keys = index.keys(np.array(near))
@@ -171,7 +176,7 @@ def _probes_needed(index: Index, known: list, recall: float) -> int:
         ranks += found.tolist()
     reached = float(np.mean(np.array(ranks) < MOST_PROBES)) if ranks else 1.0
     if reached < recall:
-        warnings.warn(f"{MOST_PROBES} buckets a table find {reached:.3f} of the sample's neighbours, not {recall}", stacklevel=3)
+        return None
     return min(MOST_PROBES, 1 + int(np.quantile(ranks, recall, method="higher"))) if ranks else 1
 
 
@@ -288,7 +293,7 @@ def nearest(
     # with the query's own row among them
     enough = min(k + 1, low.select("id").distinct().count())
     size = F.aggregate("best", F.lit(0), lambda a, b: a + F.size(b["ids"]))
-    done, left, blocked = [], queries, False
+    done, left, blocked = [], queries, probes is None
     while True:
         best = written(named(by_blocks(left) if blocked else probed(left, probes)), "nearest-classes")
         full = best if blocked else best.where(size >= enough)
