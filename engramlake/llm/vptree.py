@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 SMALL = 512
+COLUMNS = 8192  # compared with SMALL rows at a time
 TRIES = 12
 
 
@@ -115,9 +116,7 @@ def near_links(points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
                 stack += [inner, outer]
                 continue
         for lo in range(0, len(x), SMALL):
-            part = x[lo : lo + SMALL]
-            near = distance(part[:, None], x[None, lo:]) <= reach
-            i, j = _joined(near)
+            i, j = _joined(x[lo : lo + SMALL], x[lo:], reach)
             links_a.append(rows[lo + i])
             links_b.append(rows[lo + j])
     if not links_a:
@@ -125,26 +124,31 @@ def near_links(points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(links_a), np.concatenate(links_b)
 
 
-def _joined(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that keep the components of a block of rows against columns; row i is column i.
+def _joined(part: np.ndarray, x: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that keep the components of ``part``, the first of ``x``, against all of ``x``.
 
-    Rows alone with themselves are skipped. Each column links to the first row that sees it, and
-    rows that share a column are linked through it.
+    Each column links to the first row that sees it, and rows that share a column are linked through
+    it: one link per pair of a row and a first-seer. Columns are read ``COLUMNS`` at a time, so that a
+    dense shard takes no more memory than a sparse one.
     """
-    np.fill_diagonal(near[:, : len(near)], False)
-    busy = np.flatnonzero(near.any(axis=1))
-    if not len(busy):
-        return busy, busy
-    near = near[busy]
-    seen = np.flatnonzero(near.any(axis=0))
-    near = near[:, seen]
-    first = near.argmax(axis=0)
-    a, b = [busy[first]], [seen]
-    # a row and each different first-seer of its columns: one link per (row, first-seer)
-    low = np.zeros((len(busy), len(busy)), bool)
-    order = np.argsort(first, kind="stable")
-    heads, at = np.unique(first[order], return_index=True)
-    low[:, heads] = np.logical_or.reduceat(near[:, order], at, axis=1)
+    a, b = [], []
+    low = np.zeros((len(part), len(part)), bool)
+    for at in range(0, len(x), COLUMNS):
+        near = distance(part[:, None], x[None, at : at + COLUMNS]) <= reach
+        if at == 0:
+            np.fill_diagonal(near[:, : len(near)], False)
+        busy = np.flatnonzero(near.any(axis=1))
+        if not len(busy):
+            continue
+        near = near[busy]
+        seen = np.flatnonzero(near.any(axis=0))
+        near = near[:, seen]
+        first = near.argmax(axis=0)
+        a.append(busy[first])
+        b.append(at + seen)
+        order = np.argsort(first, kind="stable")
+        heads, begin = np.unique(first[order], return_index=True)
+        low[np.ix_(busy, busy[heads])] |= np.logical_or.reduceat(near[:, order], begin, axis=1)
     i, j = np.nonzero(low)
     keep = i != j
-    return np.concatenate([*a, busy[i[keep]]]), np.concatenate([*b, busy[j[keep]]])
+    return np.concatenate([*a, i[keep]]), np.concatenate([*b, j[keep]])
