@@ -191,34 +191,41 @@ def fit(
     model = Model((sums[0] / max(1.0, total)).astype(np.float32), sums[1].astype(np.float32), sums[2].astype(np.float32), n_toxic, n_clean)
     if not model.n_toxic or not model.n_clean:
         return model
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, segments = [], []
-            for k, s in _scan(b.column(0), shared.value):
-                n.append(k)
-                # the strongest are enough to fit by
-                segments.append(sorted((x[2] for x in s), reverse=True)[:50])
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(segments, pa.list_(pa.float64()))], ["toxic", "n", "s"])
-
-    got = rows.where("apart and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, n long, s array<double>")
-    calibrate(model, [(r.toxic, r.n, [(0, 0, x) for x in r.s]) for r in got.collect()])
+    apart = rows.where("apart and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
+    calibrate(model, written(apart, "calibration"))
     return model
 
 
-def calibrate(model: Model, texts: list[tuple[int, int, list]]) -> None:
-    """Fit the Gumbel law on clean texts and the logistic curve on all."""
-    if len({t[0] for t in texts}) < 2:
+def calibrate(model: Model, texts: DataFrame) -> None:
+    """Fit the Gumbel law on the clean ones of ``texts`` (text, toxic) and then the logistic curve on all.
+
+    Both passes take every segment of a text; the driver gets its length and best segment, then its features.
+    """
+
+    def each(row) -> list:
+        shared = texts.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [row(n, s, shared.value) for n, s in _scan(b.column(0), shared.value)]
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.float64()))], ["toxic", "x"])
+
+        return texts.mapInArrow(run, "toxic int, x array<double>").collect()
+
+    got = each(lambda n, s, _: [np.log(n + 1.0), max((x[2] for x in s), default=0.0)])
+    if len({r.toxic for r in got}) < 2:
         return
-    clean = [(np.log(n + 1.0), max((x[2] for x in s), default=0.0)) for y, n, s in texts if y == 0]
-    x, best = np.array(clean).T
-    slope = max(0.0, float(np.cov(x, best)[0, 1] / max(np.var(x), 1e-9))) if len(clean) > 1 else 0.0
+    x, best = np.array([r.x for r in got if r.toxic == 0]).T
+    slope = max(0.0, float(np.cov(x, best)[0, 1] / max(np.var(x), 1e-9))) if len(x) > 1 else 0.0
     rest = best - slope * x
     scale = max(float(rest.std() * np.sqrt(6) / np.pi), 0.25)
     model.gumbel = (slope, float(rest.mean() - 0.5772 * scale), scale)
-    a = np.array([_features(n, s, model.gumbel) for _, n, s in texts])
-    y = np.array([t[0] for t in texts], float)
+    got = each(lambda n, s, m: _features(n, s, m.gumbel))
+    model.weights = logistic(np.array([r.x for r in got]), np.array([r.toxic for r in got], float))
+
+
+def logistic(a: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a ridge-regularised logistic curve, by damped Newton steps."""
     ridge = np.diag([1e-3, *[0.1] * (a.shape[1] - 1)])
 
     def loss(beta: np.ndarray) -> float:
@@ -234,7 +241,7 @@ def calibrate(model: Model, texts: list[tuple[int, int, list]]) -> None:
         beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
-    model.weights = beta
+    return beta
 
 
 FIELDS = "struct<score:double,segments:array<struct<first:int,last:int,score:double,p_value:double>>>"

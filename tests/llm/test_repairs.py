@@ -1,11 +1,13 @@
 """Cases that once gave wrong rows: copies at a prefix's end, and quotes that later turns repeat in part."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engramlake.llm import mixing, pii, quotes
+from engramlake.llm import mixing, pii, quotes, toxicity, vptree
 
 
 @pytest.mark.parametrize("budget", [5, 15, 25, 35, 45, 55, 60, 75])
@@ -88,3 +90,36 @@ def test_the_bound_of_examples_and_an_empty_corpus(spark):
     for most in (5, 10_000):
         assert set(pii.fit(df, max_candidates=most).thresholds) <= {"phone"}
     assert pii.fit(df.limit(0)).thresholds == {}
+
+
+def test_scores_of_texts_with_many_segments(spark):
+    """Fitting sees what scoring sees: every segment of a text, however many there are."""
+    bad, good = "vile nasty hateful", " ".join(f"calm{i}" for i in range(40))
+    rows = [(i, (good + " " + (bad + " " + good + " ") * (i % 90)) if i % 2 else good + f" n{i} " + (good + " ") * (i % 7)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 and i % 90 > 0)) for i, _ in rows], "doc_id long, toxic int")
+    seen = []
+    plain = toxicity.logistic
+    toxicity.logistic = lambda a, y: seen.append(a) or plain(a, y)
+    try:
+        model = toxicity.fit(docs, labels)
+    finally:
+        toxicity.logistic = plain
+    assert np.expm1(seen[0][:, 3]).max() > 50
+    out = toxicity.score(docs, model).join(labels, "doc_id").select("toxic", "toxicity.score").collect()
+    assert sum((r.score >= 0.5) != r.toxic for r in out) <= 8
+
+
+def test_a_dense_shard_needs_little_memory():
+    rng = np.random.default_rng(4)
+    bits = np.uint64(1) << rng.integers(0, 64, (30_000, 4), dtype=np.uint64)
+    points = np.unique(np.uint64(0x0F0F) ^ np.bitwise_or.reduce(bits, axis=1))
+    tracemalloc.start()
+    a, b = vptree._joined(points[:512], points, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    near = np.bitwise_count(points[:512, None] ^ points[None]) <= 3
+    linked = {int(x) for x in b}
+    assert set(np.flatnonzero((near.sum(axis=0) - (np.arange(len(points)) < 512)) > 0).tolist()) <= linked | {int(x) for x in a}
+    assert (np.bitwise_count(points[a] ^ points[b]) <= 6).all()
