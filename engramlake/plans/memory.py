@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.operators import hybrid
+from engramlake.operators import hybrid, keyword
 from engramlake.operators import memory as M
 from engramlake.plans import catalogue
 from engramlake.plans.entities_changes import documents
@@ -110,10 +110,12 @@ SELECT agent_id, entry_id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N
 """
 
 
-def _bm25_sql(entry: str) -> str:
+def _bm25_sql(entry: str, exact: bool = False) -> str:
+    """With ``exact`` the parts are added as decimals, so that entries of equal parts tie."""
+    part = "q.qtf * ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * f.tf * 2.5 / (f.tf + 1.5 * (0.25 + 0.75 * f.dl / s.avgdl))"
+    part = f"CAST({part} AS DECIMAL(38,18))" if exact else part
     return f"""
-SELECT q.agent_id, q.query_id, f.entry_id, SUM(q.qtf * ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * f.tf * 2.5
-         / (f.tf + 1.5 * (0.25 + 0.75 * f.dl / s.avgdl))) AS score
+SELECT q.agent_id, q.query_id, f.entry_id, SUM({part}) AS score
 FROM (SELECT agent_id, query_id, tok, COUNT(*) AS qtf FROM (
         SELECT agent_id, query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS tok FROM query_text) a GROUP BY ALL) q
 JOIN (SELECT agent_id, entry_id, tok, COUNT(*) AS tf, MAX(dl) AS dl FROM (
@@ -170,6 +172,15 @@ def _(t: Tables) -> DataFrame:
     return M.bm25_scores(query_text(t), t.memory_entry).withColumn("score", F.round("score", 6))
 
 
+@query("bm25_topk", f"""
+SELECT agent_id, query_id, entry_id, ROUND(CAST(score AS DOUBLE), 6) AS score, rank FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY agent_id, query_id ORDER BY score DESC, entry_id) AS rank
+  FROM ({_bm25_sql('memory_entry', exact=True)}) x) y WHERE rank <= 10""")
+def _(t: Tables) -> DataFrame:
+    d = keyword.bm25_topk(query_text(t), t.memory_entry, 10)
+    return d.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 SQL["centroid"] = """
 SELECT label, list(v ORDER BY i) AS qvec FROM (
   SELECT label, i, AVG(x) AS v FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) a

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,18 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, purpose: str, keys: Sequence[str]) -> DataFrame:
+    """As ``materialise``, in buckets of ``keys``: a later join or grouping by them moves none of these rows."""
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # rows meet by bucket before the write, so that a bucket is one file
+    rows = df.repartition(buckets, *keys)
+    rows.write.format("parquet").option("path", path).bucketBy(buckets, *keys).saveAsTable(name)
+    return spark.table(name)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores where the input comes in fewer splits than there are cores.
 
