@@ -10,6 +10,10 @@ from engramlake.plans.memory import BUDGET
 from engramlake.plans.registry import query
 from engramlake.streaming import jobs as S
 
+# Longer than the events' span, and a time that far behind all of them.
+REPLAY = "36500 days"
+LAST_BEAT = "2400-01-01 00:00:00"
+
 
 def events(t: Tables) -> DataFrame:
     return S.file_stream(t.spark, t.sf_dir, "events.parquet", t.raw("events").schema)
@@ -63,14 +67,13 @@ FROM events q LEFT JOIN (
 ON a.answer_id = q.event_id AND a.answered_at >= CAST(q.ts AS TIMESTAMP) AND a.answered_at < CAST(q.ts AS TIMESTAMP) + INTERVAL 1 HOUR
 WHERE q.event_type = 'view'""")
 def _(t: Tables) -> DataFrame:
-    def both(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        e, k = F.col("event_type"), number_in(F.col("props"))
-        q = rows.where(e == "view").select(F.col("event_id").alias("question_id"), F.col("ts").cast("timestamp").alias("asked_at"))
-        a = rows.where((e == "view") & (k > 30)).select(
-            F.col("event_id").alias("answer_id"), (F.col("ts").cast("timestamp") + F.make_interval(mins=k)).alias("answered_at"), (k % 2 == 0).alias("correct")
-        )
-        return q, a
-
-    emitted = S.run_to_table(S.answers_in_time_stream(*both(events(t))), "append")
-    d = S.finished_answers(emitted, *both(t.raw("events")))
+    e, k = F.col("event_type"), number_in(F.col("props"))
+    folder = S.beat_folder(t.spark)
+    q = events(t).where(e == "view").select(F.col("event_id").alias("question_id"), F.col("ts").cast("timestamp").alias("asked_at"))
+    a = events(t).where((e == "view") & (k > 30)).select(
+        F.col("event_id").alias("answer_id"), (F.col("ts").cast("timestamp") + F.make_interval(mins=k)).alias("answered_at"), (k % 2 == 0).alias("correct")
+    )
+    # a replay of files in any order: nothing is late before the last beat
+    stream = S.answers_in_time_stream(S.with_beats(q, folder, "asked_at"), S.with_beats(a, folder, "answered_at"), late=REPLAY)
+    d = S.run_to_table(stream, "append", at_end=lambda: S.beat(t.spark, folder, LAST_BEAT)).where("question_id is not null")
     return d.select("question_id", F.unix_micros("asked_at").alias("asked_us"), F.unix_micros("answered_at").alias("answered_us"), "correct", "status")

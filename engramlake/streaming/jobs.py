@@ -7,7 +7,7 @@ replayed after a failure overwrites itself; ``latest`` reads the newest row per
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -82,46 +82,63 @@ def answers_in_time_stream(questions: DataFrame, answers: DataFrame, *, limit: s
     """Each question with its answer if one came within ``limit``, else unanswered.
 
     ``questions``: question_id, asked_at. ``answers``: answer_id (the question's id), answered_at, correct. A
-    question without an answer comes out once the watermark has passed its limit.
+    question without an answer comes out by itself once the watermark has passed its limit; ``with_beats``
+    moves the watermark where rows stop coming. Rows may come in any order up to ``late`` behind the newest
+    row of the slower side; Spark leaves out and counts (numRowsDroppedByWatermark) what comes later still.
+    Beats have no id and must reach the watermark of both sides, so no filter on the ids stands here, nor a
+    plain equality, which would bring one: drop rows without question_id from what comes out.
     """
     q = questions.withWatermark("asked_at", late)
     a = answers.withWatermark("answered_at", late)
-    in_time = F.expr(f"answer_id = question_id AND answered_at >= asked_at AND answered_at < asked_at + interval {limit}")
+    in_time = F.expr(f"answer_id <=> question_id AND answered_at >= asked_at AND answered_at < asked_at + interval {limit}")
     return q.join(a, in_time, "left_outer").select(
         "question_id", "asked_at", "answered_at", F.coalesce("correct", F.lit(False)).alias("correct"),
         F.when(F.col("answer_id").isNull(), "wallclock:unanswered").otherwise("answered").alias("status"),
     )
 
 
-def finished_answers(emitted: DataFrame, questions: DataFrame, answers: DataFrame, *, limit: str = "1 hour") -> DataFrame:
-    """What ``answers_in_time_stream`` has emitted, made whole once the input has ended.
+def with_beats(stream: DataFrame, folder: str, time_col: str) -> DataFrame:
+    """``stream`` and the beats written to ``folder``: rows of nulls but for ``time_col``, which tell how late it is."""
+    beats = file_stream(stream.sparkSession, folder, "*.parquet", "beat timestamp")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema if f.name != time_col]
+    return stream.unionByName(beats.select(F.col("beat").alias(time_col), *nothing))
 
-    Answers the stream has matched stay. Questions still waiting at the end, and rows that came behind
-    the watermark because files were read in another order, are matched here from the same tables
-    read whole, so the result depends neither on the number of files nor on their order.
-    """
-    in_time = F.expr(f"answer_id = question_id AND answered_at >= asked_at AND answered_at < asked_at + interval {limit}")
-    matched = emitted.where("status = 'answered'").select("question_id", "asked_at", "answered_at", "correct", "status")
-    whole = questions.join(answers, in_time, "left").select(
-        "question_id", "asked_at", "answered_at", F.coalesce("correct", F.lit(False)).alias("correct"),
-        F.when(F.col("answer_id").isNull(), "wallclock:unanswered").otherwise("answered").alias("status"),
-    )
-    return matched.unionByName(whole.join(matched.select("question_id", "answered_at"), ["question_id", "answered_at"], "left_anti"))
+
+def beat(spark: SparkSession, folder: str, at: str) -> None:
+    """Tell the streams that read ``folder`` that it is ``at``: no row from before then is still to come."""
+    spark.sql(f"SELECT TIMESTAMP '{at}' AS beat").coalesce(1).write.mode("append").parquet(folder)
 
 
-def run_to_table(stream: DataFrame, mode: str = "update") -> DataFrame:
-    """Process what is available and return all emitted rows with their batch number."""
+def beat_folder(spark: SparkSession) -> str:
+    """A new shared folder for beats, with no beat in it."""
+    folder = shared_dir(spark, "stream-beats")
+    spark.createDataFrame([], "beat timestamp").coalesce(1).write.parquet(folder)
+    return folder
+
+
+def run_to_table(stream: DataFrame, mode: str = "update", at_end: Callable[[], None] | None = None) -> DataFrame:
+    """Process what is available and return all emitted rows with their batch number.
+
+    ``at_end`` is called when the input is used up and may write more, such as a last beat; the
+    same query then goes on from its checkpoint.
+    """
     spark = stream.sparkSession
     out, checkpoint = shared_dir(spark, "stream-out"), shared_dir(spark, "stream-checkpoint")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-        .foreachBatch(sink).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    def run() -> None:
+        query = (
+            stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+            .foreachBatch(sink).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+
+    run()
+    if at_end is not None:
+        at_end()
+        run()
     schema = stream.schema.add("batch_id", "long")
     return spark.read.schema(schema).parquet(out)
 

@@ -53,3 +53,20 @@ def test_answers_in_time(spark, tmp_path):
     in_time = {i for i in range(60) if i % 3 and i % 2}
     assert all((s == "answered") == (i in in_time) for i, s in rows.items())
     assert in_time <= set(rows) and any(s != "answered" for s in rows.values())
+
+
+def test_beats_complete_the_answers_whatever_the_order_of_files(spark, tmp_path):
+    def ts(minute):
+        return f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00"
+
+    q = [(i, ts(i * 10)) for i in range(60)]
+    a = [(i, ts(i * 10 + (5 if i % 2 else 75)), True) for i in range(60) if i % 3]
+    in_time = {i for i in range(60) if i % 3 and i % 2}
+    random.Random(2).shuffle(q)
+    a.reverse()
+    qs = as_files(spark, q, "question_id int, t string", tmp_path / "q").select("question_id", F.to_timestamp("t").alias("asked_at"))
+    an = as_files(spark, a, "answer_id int, t string, correct boolean", tmp_path / "a", 2).select("answer_id", F.to_timestamp("t").alias("answered_at"), "correct")
+    folder = S.beat_folder(spark)
+    stream = S.answers_in_time_stream(S.with_beats(qs, folder, "asked_at"), S.with_beats(an, folder, "answered_at"), late="3650 days")
+    rows = S.run_to_table(stream, "append", at_end=lambda: S.beat(spark, folder, "2100-01-01 00:00:00")).where("question_id is not null").collect()
+    assert sorted((r.question_id, r.status == "answered", r.correct) for r in rows) == [(i, i in in_time, i in in_time) for i in range(60)]
