@@ -81,14 +81,21 @@ def pick_targets(eligible: DataFrame, by: Sequence[str], n: int, seed: int) -> D
     return top_k(eligible, by, [hash_order(seed, "entity"), F.col("entity")], n, "__rn").drop("__rn")
 
 
+def _unit(salt: int, purpose: str, *parts: Column) -> Column:
+    text = F.concat_ws(":", F.lit(f"{salt}:{purpose}"), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+
+
 def unit_interval(salt: int, purpose: str, *cols: str) -> Column:
-    """Repeatable uniform number in [0, 1) per row and purpose."""
-    h = F.xxhash64(F.lit(salt), F.lit(purpose), *[F.col(c) for c in cols])
-    return F.pmod(h, F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """Repeatable uniform number in [0, 1) per row and purpose.
+
+    The first 52 bits of the md5 of ``salt:purpose:value:...`` (null as empty), so that any engine can draw it again.
+    """
+    return _unit(salt, purpose, *[F.col(c) for c in cols])
 
 
-def _sign(salt: int, *cols: str) -> Column:
-    return F.when(unit_interval(salt, "sign", *cols) < 0.5, -1.0).otherwise(1.0)
+def _sign(salt: int, *parts: Column) -> Column:
+    return F.when(_unit(salt, "sign", *parts) < 0.5, -1.0).otherwise(1.0)
 
 
 def salted_perturb(long: DataFrame, attr_def: DataFrame, salt: int, keys: Sequence[str] = ("world_id", "entity")) -> DataFrame:
@@ -99,12 +106,13 @@ def salted_perturb(long: DataFrame, attr_def: DataFrame, salt: int, keys: Sequen
     """
     keys = list(keys)
     id_cols = [*keys, "attr"]
+    sign = _sign(salt, *[F.col(k) for k in id_cols])
     d = long.drop("dtype").join(
         attr_def.select("attr", "dtype", "min_val", "max_val", "choices"), "attr"
     )
     lo, hi, v, c = F.col("min_val"), F.col("max_val"), F.col("num"), F.col("choices")
     u = unit_interval(salt, "size", *id_cols)
-    moved = F.greatest(lo, F.least(hi, v + _sign(salt, *id_cols) * (0.05 + 0.10 * u) * (hi - lo)))
+    moved = F.greatest(lo, F.least(hi, v + sign * (0.05 + 0.10 * u) * (hi - lo)))
     whole = F.rint(moved)
     number = F.when(
         F.col("dtype") == "int", F.when(whole == v, v + F.when(v < hi, 1.0).otherwise(-1.0)).otherwise(whole)
@@ -119,20 +127,22 @@ def salted_perturb(long: DataFrame, attr_def: DataFrame, salt: int, keys: Sequen
     dtype = F.col("dtype")
     return d.select(
         *long.columns,
-        F.when(dtype.isin(*NUMERIC), number).alias("new_num"),
+        F.when(dtype.isin(*NUMERIC) & v.isNotNull(), number).alias("new_num"),
         F.when(dtype == "enum", enum).otherwise(F.col("str")).alias("new_str"),
         F.when(dtype == "date", F.make_date(year, month, day)).alias("new_dt"),
     )
 
 
 def perturb_series(df: DataFrame, series: str, lo: float, hi: float, salt: int, keys: Sequence[str]) -> DataFrame:
-    """Element-wise shift of an ARRAY<DOUBLE> by 5-15 % of the range, clipped and rounded to cents."""
+    """Element-wise shift of an ARRAY<DOUBLE> by 5-15 % of the range, clipped and rounded to cents.
+
+    Each point is drawn by its position and the keys. A null point stays null.
+    """
 
     def move(x: Column, i: Column) -> Column:
-        h = F.xxhash64(F.lit(salt), i, *[F.col(k) for k in keys])
-        u = F.pmod(h, F.lit(1 << 52)) / F.lit(float(1 << 52))
-        sign = F.when(h < 0, -1.0).otherwise(1.0)
-        return F.round(F.greatest(F.lit(lo), F.least(F.lit(hi), x + sign * (0.05 + 0.10 * u) * (hi - lo))), 2)
+        at = [i, *[F.col(k) for k in keys]]
+        step = _sign(salt, *at) * (0.05 + 0.10 * _unit(salt, "size", *at)) * (hi - lo)
+        return F.when(x.isNotNull(), F.round(F.greatest(F.lit(lo), F.least(F.lit(hi), x + step)), 2))
 
     return df.withColumn(f"new_{series}", F.transform(series, move))
 
@@ -141,10 +151,10 @@ def correction_perturb(long: DataFrame, attr_def: DataFrame, salt: int, keys: Se
     """New values for corrections: numbers move 10-50 % of themselves, enums switch, dates move 30-365 days."""
     keys = list(keys)
     id_cols = [*keys, "attr"]
+    sign = _sign(salt, *[F.col(k) for k in id_cols])
     d = long.drop("dtype").join(attr_def.select("attr", "dtype", "min_val", "max_val", "choices"), "attr")
     lo, hi, v, c = F.col("min_val"), F.col("max_val"), F.col("num"), F.col("choices")
     share = 0.1 + 0.4 * unit_interval(salt, "share", *id_cols)
-    sign = _sign(salt, *id_cols)
     as_int = F.greatest(lo, F.least(hi, v + sign * F.greatest(F.lit(1.0), F.floor(F.abs(v) * share))))
     as_float = F.greatest(lo, F.least(hi, F.round(v + v * share * sign, 2)))
     number = F.when(
@@ -159,17 +169,19 @@ def correction_perturb(long: DataFrame, attr_def: DataFrame, salt: int, keys: Se
     dtype = F.col("dtype")
     return d.select(
         *long.columns,
-        F.when(dtype.isin(*NUMERIC), number).alias("new_num"),
+        F.when(dtype.isin(*NUMERIC) & v.isNotNull(), number).alias("new_num"),
         F.when(dtype == "enum", F.coalesce(pick, F.col("str"))).otherwise(F.col("str")).alias("new_str"),
         F.when(dtype == "date", clamped).alias("new_dt"),
     )
 
 
 def perturb_last_point(df: DataFrame, series: str, lo: float, hi: float, salt: int, keys: Sequence[str]) -> DataFrame:
-    """Correct only the last point of a series by 10-50 % of itself."""
+    """Correct only the last point of a series by 10-50 % of itself; a last point that is null stays null."""
     u = unit_interval(salt, "last", *keys)
+    sign = _sign(salt, *[F.col(k) for k in keys])
     last = F.try_element_at(F.col(series), F.lit(-1))
-    new = F.greatest(F.lit(lo), F.least(F.lit(hi), F.round(last + last * (0.1 + 0.4 * u) * _sign(salt, *keys), 2)))
+    moved = F.round(last + last * (0.1 + 0.4 * u) * sign, 2)
+    new = F.when(last.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), moved)))
     n = F.size(series)
     return df.withColumn(
         f"new_{series}", F.transform(series, lambda x, i: F.when(i == n - 1, new).otherwise(x))

@@ -264,14 +264,100 @@ def _(t: Tables) -> DataFrame:
     return E.eligible_targets(t.entity_attr, taken)
 
 
-@query("salted_perturb")
+SALT = 1
+
+
+def drawn(purpose: str, *cols: str) -> str:
+    """The uniform number of ``unit_interval`` in SQL."""
+    text = " || ':' || ".join([f"'{SALT}:{purpose}'", *[f"COALESCE(CAST({c} AS VARCHAR), '')" for c in cols]])
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / {1 << 52}::DOUBLE)"
+
+
+def _literal(x: float | None) -> str:
+    return "NULL::DOUBLE" if x is None else f"{x!r}::DOUBLE"
+
+
+SQL["attr_range"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{r[0]}', {_literal(r[2])}, {_literal(r[3])}, {r[7]!r}::VARCHAR[])" for r in catalogue.ATTR_DEFS
+) + ") v(attr, lo, hi, choices)"
+
+_ID = ("a.world_id", "a.entity", "a.attr")
+SQL["attr_draw"] = f"""
+SELECT a.*, r.lo, r.hi, r.choices, len(r.choices) AS n_choices, COALESCE(list_position(r.choices, a.str), 0) AS at_choice,
+       CASE WHEN {drawn('sign', *_ID)} < 5e-1 THEN -1e0 ELSE 1e0 END AS sgn,
+       {", ".join(f"{drawn(p, *_ID)} AS u_{p}" for p in ('size', 'step', 'year', 'month', 'day', 'share', 'pick', 'days'))}
+FROM entity_attr a JOIN attr_range r ON r.attr = a.attr
+"""
+_LONG = "world_id, entity, arrival, category, attr, dtype, num, str, dt"
+
+
+@query("salted_perturb", f"""
+SELECT {_LONG},
+       CASE dtype WHEN 'int' THEN CASE WHEN whole = num THEN num + CASE WHEN num < hi THEN 1 ELSE -1 END ELSE whole END
+                  WHEN 'float' THEN ROUND(moved, 2) END AS new_num,
+       CASE WHEN dtype = 'enum' AND n_choices >= 2
+            THEN choices[CAST((GREATEST(at_choice - 1, 0) + 1 + FLOOR(u_step * (n_choices - 1))) % n_choices + 1 AS BIGINT)]
+            ELSE str END AS new_str,
+       CASE WHEN dtype = 'date' THEN make_date(CAST(lo + FLOOR(u_year * (hi - lo + 1)) AS BIGINT),
+            CAST(1 + FLOOR(u_month * 12) AS BIGINT), CAST(1 + FLOOR(u_day * 28) AS BIGINT)) END AS new_dt
+FROM (SELECT *, round_even(moved, 0) AS whole FROM (
+  SELECT *, GREATEST(lo, LEAST(hi, num + sgn * (5e-2 + 1e-1 * u_size) * (hi - lo))) AS moved FROM attr_draw) m) w""")
+def _(t: Tables) -> DataFrame:
+    return E.salted_perturb(t.entity_attr, t.attr_def, salt=SALT)
+
+
+@query("correction_perturb", f"""
+SELECT {_LONG},
+       CASE dtype WHEN 'int' THEN CASE WHEN as_int = num THEN num + CASE WHEN num < hi THEN 1 ELSE -1 END ELSE as_int END
+                  WHEN 'float' THEN CASE WHEN as_float = num THEN ROUND(num + 1e-1, 2) ELSE as_float END END AS new_num,
+       CASE WHEN dtype = 'enum' THEN COALESCE(choices[pick + CASE WHEN at_choice > 0 AND pick >= at_choice THEN 1 ELSE 0 END], str)
+            ELSE str END AS new_str,
+       CASE WHEN dtype = 'date' THEN CAST(day + to_months(CAST((GREATEST(lo, LEAST(hi, year(day))) - year(day)) * 12 AS INTEGER)) AS DATE)
+       END AS new_dt
+FROM (SELECT *, GREATEST(lo, LEAST(hi, num + sgn * GREATEST(1e0, FLOOR(ABS(num) * share)))) AS as_int,
+        GREATEST(lo, LEAST(hi, ROUND(num + num * share * sgn, 2))) AS as_float
+      FROM (SELECT *, 1e-1 + 4e-1 * u_share AS share, dt + CAST((30 + FLOOR(u_days * 336)) * sgn AS INTEGER) AS day,
+              CAST(1 + FLOOR(u_pick * (n_choices - CASE WHEN at_choice > 0 THEN 1 ELSE 0 END)) AS BIGINT) AS pick
+            FROM attr_draw) s) w""")
+def _(t: Tables) -> DataFrame:
+    return E.correction_perturb(t.entity_attr, t.attr_def, salt=SALT)
+
+
+SERIES_LO, SERIES_HI = 0.0, 2000.0
+
+
+def series_rows(t: Tables, perturb) -> DataFrame:
+    """Each entity's series as an array, moved by ``perturb``, and back to a row for each point."""
+    points = F.array_sort(F.collect_list(F.struct("period", "v")))
+    d = t.series.groupBy("entity").agg(F.transform(points, lambda p: p["v"]).alias("series"))
+    d = perturb(d, "series", SERIES_LO, SERIES_HI, SALT, ["entity"])
+    return d.select("entity", F.posexplode(F.arrays_zip("series", "new_series")).alias("pos", "p")).select(
+        "entity", "pos", F.col("p.series").alias("v"), F.col("p.new_series").alias("new_v")
+    )
+
+
+SQL["series_point"] = """
+SELECT entity, CAST(ROW_NUMBER() OVER (PARTITION BY entity ORDER BY period) - 1 AS INT) AS pos, v,
+       COUNT(*) OVER (PARTITION BY entity) AS n FROM series
+"""
+
+
+@query("salted_perturb_series", f"""
+SELECT entity, pos, v, ROUND(GREATEST({SERIES_LO}::DOUBLE, LEAST({SERIES_HI}::DOUBLE, v
+         + CASE WHEN {drawn('sign', 'pos', 'entity')} < 5e-1 THEN -1e0 ELSE 1e0 END
+           * (5e-2 + 1e-1 * {drawn('size', 'pos', 'entity')}) * {SERIES_HI - SERIES_LO}::DOUBLE)), 2) AS new_v
+FROM series_point""")
 def _(t: Tables) -> DataFrame:
-    return E.salted_perturb(t.entity_attr, t.attr_def, salt=1)
+    return series_rows(t, E.perturb_series)
 
 
-@query("correction_perturb")
+@query("correction_perturb_series", f"""
+SELECT entity, pos, v, CASE WHEN pos < n - 1 THEN v ELSE GREATEST({SERIES_LO}::DOUBLE, LEAST({SERIES_HI}::DOUBLE,
+         ROUND(v + v * (1e-1 + 4e-1 * {drawn('last', 'entity')})
+           * CASE WHEN {drawn('sign', 'entity')} < 5e-1 THEN -1e0 ELSE 1e0 END, 2))) END AS new_v
+FROM series_point""")
 def _(t: Tables) -> DataFrame:
-    return E.correction_perturb(t.entity_attr, t.attr_def, salt=1)
+    return series_rows(t, E.perturb_last_point)
 
 
 def correction_turns(t: Tables) -> tuple[DataFrame, DataFrame]:
