@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from engramlake.session import materialise
 
 CHUNK_ROWS = 1_000_000
-BUCKETS = 128
 
 
 def _with_chunk(df: DataFrame, seq: str, chunk_rows: int) -> DataFrame:
@@ -120,13 +119,24 @@ def islands(
     return d.drop("__one", "__seen", "__before")
 
 
+def ranges(df: DataFrame, order: Sequence[str | Column], pieces: int | None = None, purpose: str = "ranges") -> DataFrame:
+    """Write the rows cut into ranges of ``order`` and read them back with the number of their range, ``__range``.
+
+    Spark samples the rows and cuts at quantiles, so ranges hold about equal numbers of rows however the keys
+    are spread. Their number is the session's shuffle partitions, fewer where adaptive execution merges small
+    ones, or ``pieces``. As the numbers are written, all later branches agree on them.
+    """
+    cut = df.repartitionByRange(*order) if pieces is None else df.repartitionByRange(pieces, *order)
+    return materialise(cut.withColumn("__range", F.spark_partition_id()), purpose)
+
+
 def order_statistics(
-    df: DataFrame, keys: Sequence[str], value: str, positions: Mapping[str, Column], *, buckets: int = BUCKETS
+    df: DataFrame, keys: Sequence[str], value: str, positions: Mapping[str, Column], *, buckets: int | None = None
 ) -> DataFrame:
     """Exact elements of each key's sorted values at 1-based positions given in terms of ``n``.
 
-    Equal values are counted first, then cut into value ranges that each hold about
-    ``1/buckets`` of *all* rows, so no task gets more than that even if one key dominates.
+    Equal values are counted first, once, and cut into ranges of (key, value). Counts by range tell which
+    range holds a position; only those ranges are sorted. A key that holds most rows is many ranges.
     """
     keys = list(keys)
     counted = (
@@ -134,23 +144,19 @@ def order_statistics(
         .groupBy(*keys, F.col(value).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    cuts = counted.agg(
-        F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("cuts")
-    ).scalar()
-    d = counted.withColumn("__cuts", cuts)
-    d = d.withColumn("__b", F.size(F.filter("__cuts", lambda x: x < F.col("__v")))).drop("__cuts")
+    d = ranges(materialise(counted, "values"), [*keys, "__v"], buckets)
     w = Window.partitionBy(*keys)
-    hist = d.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bc"))
+    before = w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    hist = d.groupBy(*keys, "__range").agg(F.sum("__c").alias("__bc"))
     hist = hist.select(
-        *keys, "__b",
-        F.coalesce(
-            F.sum("__bc").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("__off"),
-        F.sum("__bc").over(w).alias("n"),
+        *keys, "__range", "__bc", F.coalesce(F.sum("__bc").over(before), F.lit(0)).alias("__off"), F.sum("__bc").over(w).alias("n")
     )
-    upto = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    local = d.withColumn("__cum", F.sum("__c").over(upto))
-    j = local.join(hist, [*keys, "__b"])
+    wanted = F.col("__off") == 0  # every key keeps a range, also if none of its positions exists
+    for p in positions.values():
+        wanted = wanted | F.coalesce((F.col("__off") < p) & (p <= F.col("__off") + F.col("__bc")), F.lit(False))
+    j = d.join(hist.where(wanted).drop("__bc"), [*keys, "__range"])
+    upto = Window.partitionBy(*keys, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumn("__cum", F.sum("__c").over(upto))
     hi = F.col("__off") + F.col("__cum")
     lo = hi - F.col("__c")
     return j.groupBy(*keys).agg(
@@ -159,53 +165,26 @@ def order_statistics(
     )
 
 
+def _rank_in_ranges(df: DataFrame, keys: list[str], order: list[Column], out: str, buckets: int | None) -> DataFrame:
+    d = ranges(df, [*keys, *order], buckets)
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    hist = d.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    hist = hist.select(*keys, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    local = d.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order)))
+    return local.join(hist, [*keys, "__range"]).select(
+        *df.columns, (F.col("__off") + F.col("__rn")).cast("bigint").alias(out)
+    )
+
+
 def distributed_rank(
-    df: DataFrame,
-    keys: Sequence[str],
-    score: str,
-    tie: str,
-    out: str = "rank",
-    *,
-    buckets: int = BUCKETS,
-    tie_chunk: int = CHUNK_ROWS,
+    df: DataFrame, keys: Sequence[str], score: str, tie: str, out: str = "rank", *, buckets: int | None = None
 ) -> DataFrame:
-    """Add the 1-based position within the key by (score descending, integer ``tie`` ascending).
+    """Add the 1-based position within the key by (score descending, ``tie`` ascending); null scores come last.
 
-    Rows are cut at approximate quantiles of the score. A score that fills a whole range by itself
-    is one of the cut points; its rows are cut further by ranges of ``tie``.
+    Ranges are cut by key, score and tie together, so neither a key nor a score that many rows share is one task.
     """
-    keys = list(keys)
-    df = materialise(df, "rank")  # feeds three branches that must see the same scores
-    # One subquery run per query: both branches below reuse its single result.
-    cuts = df.agg(
-        F.array_distinct(
-            F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 10 * buckets)
-        ).alias("cuts")
-    ).scalar()
-    at_cut = F.array_contains(F.col("__cuts"), F.col(score))
-    d = (
-        df.withColumn("__cuts", cuts)
-        .withColumn(
-            "__major",
-            2 * F.size(F.filter(F.col("__cuts"), lambda x: x > F.col(score))) + F.when(at_cut, 1).otherwise(0),
-        )
-        .withColumn(
-            "__minor", F.when(at_cut, F.floor(F.col(tie) / F.lit(tie_chunk))).otherwise(0).cast("bigint")
-        )
-        .drop("__cuts")
-    )
-    hist = d.groupBy(*keys, "__major", "__minor").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__major", "__minor").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.select(*keys, "__major", "__minor", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    local = d.withColumn(
-        "__rn",
-        F.row_number().over(
-            Window.partitionBy(*keys, "__major", "__minor").orderBy(F.col(score).desc(), F.col(tie).asc())
-        ),
-    )
-    return local.join(hist, [*keys, "__major", "__minor"]).select(
-        *df.columns, (F.col("__off") + F.col("__rn")).cast("bigint").alias(out)
-    )
+    written = materialise(df, "rank")  # scores are computed once
+    return _rank_in_ranges(written, list(keys), [F.col(score).desc(), F.col(tie).asc()], out, buckets)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rn") -> DataFrame:
@@ -235,10 +214,7 @@ def pieced_rank(
     )
 
 
-def hashed_rank(df: DataFrame, keys: Sequence[str], ident: str, out: str = "rank") -> DataFrame:
-    """Position within the key in pseudo-random but repeatable order.
-
-    The order is (first two hex digits of the id's md5, id): 256 pieces per key.
-    """
+def hashed_rank(df: DataFrame, keys: Sequence[str], ident: str, out: str = "rank", *, buckets: int | None = None) -> DataFrame:
+    """Position within the key in pseudo-random but repeatable order: (first two hex digits of the id's md5, id)."""
     d = df.withColumn("__piece", F.substring(F.md5(F.col(ident).cast("string")), 1, 2))
-    return pieced_rank(d, keys, ["__piece"], [ident], out).drop("__piece")
+    return _rank_in_ranges(d, list(keys), [F.col("__piece"), F.col(ident)], out, buckets).drop("__piece")

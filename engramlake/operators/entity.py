@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramlake.functions.scale import distributed_rank, order_statistics, top_k
+from engramlake.functions.scale import distributed_rank, order_statistics, ranges, running_sum, top_k
+from engramlake.session import materialise
 
 NUMERIC = ("int", "float")
 
@@ -195,35 +196,49 @@ def select_budgeted(scored: DataFrame, keys: Sequence[str], score: str, tie: str
     return kept.unionByName(scored.where(must)) if forced else kept
 
 
-def weighted_choice(weighted: DataFrame, draws: DataFrame, keys: Sequence[str], weight: str, seq: str, item: str,
-                    chunk_rows: int = 1_000_000) -> DataFrame:
+def weighted_choice(weighted: DataFrame, draws: DataFrame, keys: Sequence[str], weight: str, seq: str, item: str, *,
+                    fresh: str | None = None, chunk_rows: int = 1_000_000, buckets: int | None = None) -> DataFrame:
     """For each draw ``r`` in [0, 1] of a group pick the first item whose cumulative weight >= r x total.
 
-    ``weighted`` lists items in ``seq`` order; ``draws`` has the keys, draw_id and r. Draws are matched to
-    chunk totals first and to rows of that one chunk second, so no group's rows meet in one task.
+    ``weighted`` lists items in integer ``seq`` order; ``draws`` has the keys, draw_id and r. A group that has rows
+    with a true ``fresh`` column is drawn from those only. If all weights of a group are zero or null, each counts
+    one. Groups without items and draws whose r is null give no row.
+
+    Items at their cumulative weight and draws at r x total lie on one axis, which is cut into ranges; a draw takes
+    the item that follows it, in its range or the next that has one. No draw meets more than that one item.
     """
     keys = list(keys)
-    w = weighted.select(*keys, seq, F.col(item).alias("chosen"), F.col(weight).alias("__w"))
-    w = w.withColumn("__chunk", F.floor(F.col(seq) / F.lit(chunk_rows)).cast("bigint"))
-    per = Window.partitionBy(*keys)
-    upto = per.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, 0)
-    chunks = w.groupBy(*keys, "__chunk").agg(F.sum("__w").alias("__cw"))
-    chunks = chunks.select(
-        *keys, "__chunk", "__cw", F.sum("__cw").over(upto).alias("__hi"), F.sum("__cw").over(per).alias("__total")
+    new = F.coalesce(F.col(fresh), F.lit(False)) if fresh else F.lit(True)
+    w = weighted.select(
+        *keys, F.col(seq).alias("__seq"), F.col(item).alias("chosen"), F.coalesce(F.col(weight), F.lit(0)).alias("__w"), new.alias("__new")
+    )
+    size = w.groupBy(*keys).agg(
+        F.bool_or("__new").alias("__any"), F.sum("__w").alias("__all"), F.sum(F.when(F.col("__new"), F.col("__w"))).alias("__some")
+    ).select(*keys, "__any", F.when(F.col("__any"), F.col("__some")).otherwise(F.col("__all")).alias("__sum"))
+    w = w.join(size, keys).where(F.col("__new") | ~F.col("__any"))
+    step = F.when(F.col("__sum") > 0, F.col("__w")).otherwise(F.lit(1))
+    w = running_sum(w.select(*keys, "__seq", "chosen", step.alias("__w")), keys, "__seq", {"__cum": F.col("__w")}, chunk_rows=chunk_rows)
+    w = materialise(w, "weights")
+    total = w.groupBy(*keys).agg(F.max("__cum").alias("__total"))
+    aims = draws.where(F.col("r").isNotNull()).join(total, keys).select(
+        *keys, "draw_id", "r", (F.col("r") * F.col("__total")).cast("double").alias("__at"), F.lit(1).alias("__kind")
     )
-    aimed = (
-        draws.join(chunks, keys)
-        .where(F.col("__hi") >= F.col("r") * F.col("__total"))
-        .groupBy(*keys, "draw_id", "r")
-        .agg(F.min_by(F.struct("__chunk", "__hi", "__cw", "__total"), "__chunk").alias("c"))
-        .select(*keys, "draw_id", "r", "c.*")
+    marks = w.select(*keys, "__seq", "chosen", F.col("__cum").cast("double").alias("__at"), F.lit(0).alias("__kind"))
+    # from the far end: an item before the draws it serves, of equal places the first item last
+    order = [F.col("__at").desc(), F.col("__kind").asc(), F.col("__seq").desc()]
+    d = ranges(marks.unionByName(aims, allowMissingColumns=True), [*keys, *order], buckets, "draws")
+    mark = F.col("__kind") == 0
+    upto = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    near = F.last(F.when(mark, F.struct("chosen")), ignorenulls=True).over(upto)
+    ends = d.where(mark).groupBy(*keys, "__range").agg(
+        F.min_by(F.struct("chosen"), F.struct("__at", "__seq")).alias("__end")
     )
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    local = w.withColumn("__cum", F.sum("__w").over(inside))
-    hit = local.join(aimed, [*keys, "__chunk"]).where(
-        F.col("__hi") - F.col("__cw") + F.col("__cum") >= F.col("r") * F.col("__total")
+    held = d.select(*keys, "__range").distinct().join(ends, [*keys, "__range"], "left")
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(*keys, "__range", F.last("__end", ignorenulls=True).over(before).alias("__end"))
+    return d.withColumn("__near", near).where(~mark).join(held, [*keys, "__range"]).select(
+        *keys, "draw_id", "r", F.coalesce("__near", "__end")["chosen"].alias("chosen")
     )
-    return hit.groupBy(*keys, "draw_id", "r").agg(F.min_by("chosen", seq).alias("chosen"))
 
 
 CURRICULUM = {"lite": 0.6, "standard": 0.3, "hard": 0.1}

@@ -81,14 +81,42 @@ def break_positions(n_events: Column, n_sessions: int) -> Column:
     return F.array_distinct(F.array(*at)) if at else F.array().cast("array<bigint>")
 
 
-def split_sessions(events: DataFrame, keys: Sequence[str], n_sessions: int, idx: str = "event_idx") -> DataFrame:
-    """Session number of every event; streams shorter than the number of breaks stay whole."""
+def split_sessions(events: DataFrame, keys: Sequence[str], n_sessions: int, idx: str = "event_idx", *,
+                   entity: str | None = None) -> DataFrame:
+    """Session number of every event; streams shorter than the number of breaks stay whole.
+
+    With ``entity`` (events then also have a ``type``), a stream in which no break lies between a correction and
+    the first ingest of its entity gets its first break moved there: half-way between the two for the earliest
+    correction that follows its ingest. Without such a correction the even breaks stay.
+    """
     keys = list(keys)
     n = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    breaks = F.filter(break_positions(F.col("__n"), n_sessions), lambda b: b <= F.col(idx))
-    return events.join(n, keys).withColumn(
-        "session", F.when(F.col("__n") - 1 < n_sessions - 1, 0).otherwise(F.size(breaks)).cast("bigint")
-    ).drop("__n")
+    none = F.array().cast("array<bigint>")
+    plan = n.select(
+        *keys, F.when(F.col("__n") < n_sessions, none).otherwise(break_positions(F.col("__n"), n_sessions)).alias("__breaks")
+    )
+    if entity:
+        plan = _crossing_breaks(events, plan, keys, idx, entity)
+    passed = F.filter("__breaks", lambda b: b <= F.col(idx))
+    return events.join(plan, keys).withColumn("session", F.size(passed).cast("bigint")).drop("__breaks")
+
+
+def _crossing_breaks(events: DataFrame, plan: DataFrame, keys: list[str], idx: str, entity: str) -> DataFrame:
+    first = events.where(F.col("type") == "ingest").groupBy(*keys, entity).agg(F.min(idx).alias("__from"))
+    fixes = events.where(F.col("type") == "correction").select(*keys, entity, F.col(idx).alias("__to"))
+    start, end = F.col("__from"), F.col("__to")
+    parted = F.exists("__breaks", lambda b: (F.least(start, end) < b) & (b <= F.greatest(start, end)))
+    found = fixes.join(first, [*keys, entity]).join(plan, keys).groupBy(*keys).agg(
+        F.bool_or(parted).alias("__parted"), F.min(F.when(start < end, F.struct("__to", "__from"))).alias("__pair")
+    )
+    between = (F.floor((F.col("__pair.__from") + F.col("__pair.__to")) / 2) + 1).cast("bigint")
+    rest = F.slice("__breaks", 2, F.size("__breaks"))
+    move = ~F.col("__parted") & F.col("__pair").isNotNull() & (F.size("__breaks") > 0)
+    return plan.join(found, keys, "left").select(
+        *keys,
+        F.when(F.coalesce(move, F.lit(False)), F.array_distinct(F.concat(F.array(between), rest)))
+        .otherwise(F.col("__breaks")).alias("__breaks"),
+    )
 
 
 def cross_session_updates(events: DataFrame, keys: Sequence[str], entity: str = "entity") -> DataFrame:

@@ -163,22 +163,36 @@ def _(t: Tables) -> DataFrame:
     return B.select_budgeted(scored_entities(t), ["world_id"], "importance", "arrival", ratio=0.7).select("world_id", "entity")
 
 
-@query("weighted_choice", """
+def choice_sql(pool: str) -> str:
+    """Five draws a world, one for each region key, from the rows of ``pool``."""
+    return f"""
 SELECT world_id, draw_id, r, chosen FROM (
   SELECT s.world_id, d.draw_id, d.r, s.entity AS chosen, ROW_NUMBER() OVER (PARTITION BY s.world_id, d.draw_id ORDER BY s.arrival) AS rn
   FROM (SELECT *, CAST(ROUND(importance * 10) AS BIGINT) AS w,
           SUM(CAST(ROUND(importance * 10) AS BIGINT)) OVER (PARTITION BY world_id ORDER BY arrival) AS cum,
-          SUM(CAST(ROUND(importance * 10) AS BIGINT)) OVER (PARTITION BY world_id) AS total FROM scored_entity) s
+          SUM(CAST(ROUND(importance * 10) AS BIGINT)) OVER (PARTITION BY world_id) AS total FROM ({pool}) p) s
   JOIN (SELECT n.n_nationkey AS world_id, r.r_regionkey AS draw_id, (r.r_regionkey * 2 + 1) / 11.0::DOUBLE AS r
         FROM nation n CROSS JOIN region r) d ON d.world_id = s.world_id
-  WHERE s.cum >= d.r * s.total) x WHERE rn = 1""")
-def _(t: Tables) -> DataFrame:
+  WHERE s.cum >= d.r * s.total) x WHERE rn = 1"""
+
+
+def choice(t: Tables, **options) -> DataFrame:
     w = scored_entities(t).withColumn("w", F.round(F.col("importance") * 10).cast("bigint"))
-    # five draws per world: one for each region key 0..4
     draws = t.raw("nation").select(
         F.col("n_nationkey").alias("world_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("draw_id")
     ).withColumn("r", (F.col("draw_id") * 2 + 1) / 11.0)
-    return B.weighted_choice(w, draws, ["world_id"], "w", "arrival", "entity")
+    return B.weighted_choice(w, draws, ["world_id"], "w", "arrival", "entity", **options)
+
+
+@query("weighted_choice", choice_sql("SELECT * FROM scored_entity"))
+def _(t: Tables) -> DataFrame:
+    return choice(t)
+
+
+@query("weighted_choice_fresh", choice_sql(
+    "SELECT * FROM (SELECT *, BOOL_OR(forced) OVER (PARTITION BY world_id) AS any_fresh FROM scored_entity) q WHERE forced OR NOT any_fresh"))
+def _(t: Tables) -> DataFrame:
+    return choice(t, fresh="forced")
 
 
 @query("curriculum_mix", """

@@ -134,6 +134,35 @@ def _(t: Tables) -> DataFrame:
     return d.groupBy("step", "reason").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("n_correct"))
 
 
+# few corrections and few ingests, so that many streams have no break between the two
+_RARE = "CASE WHEN event_type = 'purchase' AND k >= 90 THEN 'correction' WHEN event_type = 'signup' THEN 'ingest' ELSE 'noise' END"
+
+
+@query("split_sessions_crossing", f"""
+WITH a AS (SELECT *, {_RARE} AS type FROM (
+  SELECT user_id AS run_id, event_id AS seq, event_type, {_ENT} AS k, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i,
+         COUNT(*) OVER (PARTITION BY user_id) AS n FROM events) e),
+b AS (SELECT DISTINCT run_id, GREATEST(1, CAST(FLOOR(1 * (n / 3.0::DOUBLE)) AS BIGINT)) AS b1,
+        GREATEST(1, CAST(FLOOR(2 * (n / 3.0::DOUBLE)) AS BIGINT)) AS b2 FROM a WHERE n >= 3),
+p AS (SELECT c.run_id, c.i AS fix, f.start FROM a c
+      JOIN (SELECT run_id, k % 50 AS entity, MIN(i) AS start FROM a WHERE type = 'ingest' GROUP BY 1, 2) f
+        ON f.run_id = c.run_id AND f.entity = c.k % 50 WHERE c.type = 'correction'),
+m AS (SELECT b.run_id, BOOL_OR((start < b1 AND b1 <= fix) OR (start < b2 AND b2 <= fix) OR (fix < b1 AND b1 <= start) OR (fix < b2 AND b2 <= start)) AS parted,
+        MIN(fix) FILTER (WHERE start < fix) AS fix, arg_min(start, fix) FILTER (WHERE start < fix) AS start
+      FROM b JOIN p ON p.run_id = b.run_id GROUP BY b.run_id),
+s AS (SELECT b.run_id, CASE WHEN NOT m.parted AND m.fix IS NOT NULL THEN (m.start + m.fix) // 2 + 1 ELSE b1 END AS b1, b2
+      FROM b LEFT JOIN m ON m.run_id = b.run_id)
+SELECT a.run_id, a.seq, a.i AS event_idx, COALESCE(CAST(a.i >= s.b1 AS BIGINT) + CAST(a.i >= s.b2 AS BIGINT), 0) AS session
+FROM a LEFT JOIN s ON s.run_id = a.run_id""")
+def _(t: Tables) -> DataFrame:
+    e = t.raw("events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "event_type", F.expr(_ENT).alias("k"))
+    e = e.select("run_id", "seq", F.expr(_RARE).alias("type"), (F.col("k") % 50).alias("entity"))
+    e = K.running_sum(e, ["run_id"], "seq", {"event_idx": F.lit(1)}, inclusive=False)
+    return K.split_sessions(e, ["run_id"], 3, entity="entity").select(
+        "run_id", "seq", F.col("event_idx").cast("bigint").alias("event_idx"), "session"
+    )
+
+
 _TYPES = ["ingest", "noise", "correction", "contradiction", "question"]
 
 

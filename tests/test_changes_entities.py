@@ -1,4 +1,6 @@
 import datetime as dt
+import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +138,28 @@ def test_weighted_choice_across_chunks(spark):
         assert {r.draw_id: r.chosen for r in got} == want
 
 
+@pytest.mark.parametrize("buckets", [None, 1, 3, 50])
+def test_weighted_choice_beside_plain_loop(spark, buckets):
+    rng = random.Random(3)
+    items = [(k, i, f"{k}{i}", rng.choice([0, 0, 1, 2, 9]), rng.random() < 0.3) for k, n in (("hot", 120), ("a", 5), ("b", 1)) for i in range(n)]
+    items += [("zero", i, f"zero{i}", 0, False) for i in range(4)] + [("none", 0, None, None, None)]
+    draws = [(k, j, r) for k in ("hot", "a", "b", "zero", "none", "absent") for j, r in enumerate([0.0, 0.1, 0.1, 0.25, 0.5, 0.77, 1.0, None])]
+    w = spark.createDataFrame(items, "k string, seq int, item string, w int, fresh boolean")
+    d = spark.createDataFrame(draws, "k string, draw_id int, r double")
+    for fresh in (None, "fresh"):
+        want = {}
+        for k, j, r in draws:
+            pool = [x for x in items if x[0] == k]
+            pool = ([x for x in pool if x[4]] if fresh else []) or pool
+            if r is None or not pool:
+                continue
+            weights = [x[3] or 0 for x in pool] if any(x[3] for x in pool) else [1] * len(pool)
+            reach = list(itertools.accumulate(weights))
+            want[(k, j)] = next(x[2] for x, c in zip(pool, reach) if c >= r * reach[-1])
+        got = B.weighted_choice(w, d, ["k"], "w", "seq", "item", fresh=fresh, chunk_rows=7, buckets=buckets).collect()
+        assert len(got) == len(want) and {(x.k, x.draw_id): x.chosen for x in got} == want
+
+
 def test_sampling_is_repeatable(spark):
     d = spark.range(1000).withColumn("g", F.col("id") % 3)
     one = {tuple(r) for r in B.sample_k_per_group(d, ["g"], 7, ["id"]).collect()}

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,31 @@ def test_sessions(spark):
     d = spark.createDataFrame([(1, i) for i in range(10)] + [(2, 0)], "run int, event_idx int")
     rows = K.split_sessions(d, ["run"], 3).collect()
     assert sorted((r.run, r.event_idx, r.session) for r in rows) == [(1, i, (i >= 3) + (i >= 6)) for i in range(10)] + [(2, 0, 0)]
+
+
+def test_break_moves_so_that_a_correction_crosses_it(spark):
+    rng = random.Random(11)
+    streams, want = [], {}
+    for run in range(60):
+        n = rng.randint(1, 30)
+        kinds = [(rng.choice(["ingest", "noise", "noise", "correction"]), rng.choice("abcdefgh")) for _ in range(n)]
+        if run % 3 == 0:  # a first session that holds ingest and correction, nothing after it
+            kinds = [("ingest", "z"), ("correction", "z")] + [("noise", "z")] * n
+        streams += [(run, i, kind, who) for i, (kind, who) in enumerate(kinds)]
+        n = len(kinds)
+        breaks = [] if n < 4 else list(dict.fromkeys(max(1, int(b * (n / 4))) for b in (1, 2, 3)))
+        start = {}
+        for i, (kind, who) in enumerate(kinds):
+            if kind == "ingest":
+                start.setdefault(who, i)
+        pairs = [(i, start[who]) for i, (kind, who) in enumerate(kinds) if kind == "correction" and who in start]
+        if breaks and not any(min(p) < b <= max(p) for p in pairs for b in breaks):
+            later = [(to, at) for to, at in pairs if at < to]
+            if later:
+                to, at = min(later)
+                breaks = sorted({(to + at) // 2 + 1, *breaks[1:]})
+        want.update({(run, i): sum(b <= i for b in breaks) for i in range(n)})
+    d = spark.createDataFrame(streams, "run int, event_idx int, type string, who string").repartition(3)
+    got = {(r.run, r.event_idx): r.session for r in K.split_sessions(d, ["run"], 4, entity="who").collect()}
+    even = {(r.run, r.event_idx): r.session for r in K.split_sessions(d, ["run"], 4).collect()}
+    assert got == want and even != want

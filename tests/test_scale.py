@@ -71,7 +71,7 @@ def test_islands(df, rows, chunk):
     assert got == want
 
 
-@pytest.mark.parametrize("buckets", [2, 8, 128])
+@pytest.mark.parametrize("buckets", [None, 1, 2, 8, 128])
 def test_order_statistics(df, rows, buckets):
     n = F.col("n")
     out = S.order_statistics(df, ["k"], "v", {"mid": F.floor(n / 2) + 1, "third": F.floor(n / 3) + 1, "last": n}, buckets=buckets)
@@ -80,9 +80,9 @@ def test_order_statistics(df, rows, buckets):
         assert (r.n, r.mid, r.third, r.last) == (len(vals), vals[len(vals) // 2], vals[len(vals) // 3], vals[-1])
 
 
-@pytest.mark.parametrize("buckets,chunk", [(4, 10), (128, 50), (128, 1_000_000)])
-def test_distributed_rank(df, rows, buckets, chunk):
-    got = {(r.k, r.seq): r["rank"] for r in S.distributed_rank(df, ["k"], "v", "seq", buckets=buckets, tie_chunk=chunk).collect()}
+@pytest.mark.parametrize("buckets", [None, 1, 4, 128])
+def test_distributed_rank(df, rows, buckets):
+    got = {(r.k, r.seq): r["rank"] for r in S.distributed_rank(df, ["k"], "v", "seq", buckets=buckets).collect()}
     want = {}
     for k, rs in by_key(rows).items():
         for i, r in enumerate(sorted(rs, key=lambda r: (-r[2], r[1]))):
@@ -90,6 +90,24 @@ def test_distributed_rank(df, rows, buckets, chunk):
     assert got == want
 
 
+def test_one_key_with_all_rows_is_many_ranges(spark):
+    d = spark.range(4000).select(F.lit("hot").alias("k"), (F.col("id") * 7 % 4000).cast("double").alias("v"), F.col("id").alias("seq"))
+    sizes = [r["count"] for r in S.ranges(d, ["k", "v"], 20).groupBy("__range").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 600
+    n = F.col("n")
+    got = S.order_statistics(d, ["k"], "v", {"low": F.floor(n / 5) + 1, "past": n + 1, "none": F.lit(None).cast("long")}, buckets=20).first()
+    assert (got.n, got.low, got.past, got.none) == (4000, 800.0, None, None)
+    same = d.withColumn("v", F.lit(1.0))  # one score for all: cut by the tie
+    ranked = S.distributed_rank(same, ["k"], "v", "seq", buckets=20)
+    assert ranked.where(F.col("rank") != F.col("seq") + 1).count() == 0
+    assert S.order_statistics(d.where("false"), ["k"], "v", {"low": n}).count() == 0
+
+
+def test_null_scores_rank_last(spark):
+    d = spark.createDataFrame([("a", 1, None), ("a", 2, 5.0), ("a", 3, 7.0), ("a", 4, None)], "k string, seq bigint, v double")
+    assert {r.seq: r["rank"] for r in S.distributed_rank(d, ["k"], "v", "seq", buckets=3).collect()} == {3: 1, 2: 2, 1: 3, 4: 4}
+
+
 def test_hashed_rank_is_a_permutation(df, rows):
     got = S.hashed_rank(df, ["k"], "seq").collect()
     for k, rs in by_key(rows).items():
