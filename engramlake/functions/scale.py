@@ -144,7 +144,7 @@ def order_statistics(
         .groupBy(*keys, F.col(value).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    d = ranges(materialise(counted, "values"), [*keys, "__v"], buckets)
+    d = ranges(counted, [*keys, "__v"], buckets)
     w = Window.partitionBy(*keys)
     before = w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     hist = d.groupBy(*keys, "__range").agg(F.sum("__c").alias("__bc"))

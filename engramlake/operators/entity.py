@@ -212,6 +212,7 @@ def weighted_choice(weighted: DataFrame, draws: DataFrame, keys: Sequence[str],
     w = weighted.select(
         *keys, F.col(seq).alias("__seq"), F.col(item).alias("chosen"), F.coalesce(F.col(weight), F.lit(0)).alias("__w"), new.alias("__new")
     )
+    w = materialise(w, "items")
     size = w.groupBy(*keys).agg(
         F.bool_or("__new").alias("__any"), F.sum("__w").alias("__all"), F.sum(F.when(F.col("__new"), F.col("__w"))).alias("__some")
     ).select(*keys, "__any", F.when(F.col("__any"), F.col("__some")).otherwise(F.col("__all")).alias("__sum"))
