@@ -326,66 +326,101 @@ def enforce_write_budget(ops: DataFrame, keys: Sequence[str], seq: str, budget:
 REPLAY_SCHEMA = "agent_id bigint, position bigint, topic string, content string, writes_used bigint"
 
 
-def _clean(value: object) -> str:
+def _text(value: object) -> str:
     return value.strip() if isinstance(value, str) else ""
 
 
-def _apply(entries: list[tuple[str, str]], row) -> bool:
-    """Apply one operation to the entry list; true if it changed something."""
-    topic, content, old = row.topic, _clean(row.content), _clean(row.old_text)
-    if row.action == "add":
-        if not content or (topic, content) in entries:
-            return False
-        entries.append((topic, content))
+class Store:
+    """One agent's entries: for each topic the contents by slot, slots numbered in order of arrival."""
+
+    def __init__(self, entries: Sequence[tuple[str, str]] = (), used: int = 0) -> None:
+        self.by_topic: dict[str, dict[int, str]] = {}
+        self.arrived, self.used = 0, used
+        for topic, content in entries:
+            self.put(topic, content)
+
+    def put(self, topic: str, content: str) -> None:
+        self.by_topic.setdefault(topic, {})[self.arrived] = content
+        self.arrived += 1
+
+    def entries(self) -> list[tuple[str, str]]:
+        rows = sorted((slot, topic, c) for topic, held in self.by_topic.items() for slot, c in held.items())
+        return [(topic, c) for _, topic, c in rows]
+
+    def step(self, row, budget: int, free_replace: bool) -> None:
+        """One operation; what would change nothing costs nothing, and nothing that costs happens without budget."""
+        costs = row.action == "add" or not free_replace
+        if not (costs and self.used >= budget) and self._change(row.action, row.topic, _text(row.content), _text(row.old_text)):
+            self.used += costs
+
+    def _change(self, action: str, topic: str, content: str, old: str) -> bool:
+        held = self.by_topic.get(topic, {})
+        if action == "add":
+            fits = bool(content) and content not in held.values()
+            if fits:
+                self.put(topic, content)
+            return fits
+        named = {slot: c for slot, c in held.items() if old in c}
+        if len(set(named.values())) != 1 or (action == "replace" and not content):
+            return False  # nothing is meant, or several different entries are
+        slot = min(named)
+        if action == "replace":
+            held[slot] = content
+        else:
+            del held[slot]
         return True
-    hits = [i for i, (t, c) in enumerate(entries) if t == topic and old in c]
-    if not hits or (len(hits) > 1 and len({entries[i][1] for i in hits}) > 1):
-        return False
-    if row.action == "replace":
-        if not content:
-            return False
-        entries[hits[0]] = (topic, content)
-    else:
-        del entries[hits[0]]
-    return True
-
-
-def replay_memory(ops: DataFrame, budget: int, *, free_replace: bool = False) -> DataFrame:
-    """Replay add / replace / remove per agent under the budget and return the final entries.
 
-    Each step depends on all before it, so an agent is one ordered stream: rows are partitioned by agent,
-    sorted by (agent, seq) and folded batch by batch. A task holds one agent's entries (at most the budget)
-    and one Arrow batch, whatever the length of the stream. ``ops``: agent_id, seq, action, topic, content,
-    old_text, ok.
-    """
-    acts = ops.where(F.col("ok") & F.col("action").isin("add", "replace", "remove")).select(
+
+ACTIONS = ("add", "replace", "remove")
+
+
+def memory_actions(ops: DataFrame) -> DataFrame:
+    """Operations that succeeded and mean the agent's memory: a ``target`` that is given must be ``memory``."""
+    meant = F.coalesce(F.col("target"), F.lit("memory")) == "memory" if "target" in ops.columns else F.lit(True)
+    return ops.where(F.col("ok") & F.col("action").isin(*ACTIONS) & meant).select(
         "agent_id", "seq", "action", normal_topic(F.col("topic")).alias("topic"), "content", "old_text"
     )
 
+
+def replay_memory(ops: DataFrame, budget: int, *, initial: DataFrame | None = None, free_replace: bool = False) -> DataFrame:
+    """Replay add / replace / remove per agent under the budget and return the final entries.
+
+    ``ops``: agent_id, seq, action, topic, content, old_text, ok and, if wanted, target. ``initial``: agent_id, seq,
+    topic, content of the entries that stand before the first operation, in ``seq`` order; they cost nothing, and
+    agents that have only these keep them. Agents left without entries give no row.
+
+    Each step depends on all before it, so an agent is one ordered stream: rows are partitioned by agent, sorted by
+    (agent, initial first, seq) and folded batch by batch. A task holds one agent's entries (the initial ones and at
+    most the budget) and one Arrow batch, whatever the length of the stream.
+    """
+    acts = memory_actions(ops).withColumn("stage", F.lit(1))
+    if initial is not None:
+        given = initial.select("agent_id", "seq", F.lit("given").alias("action"), "topic", "content", F.lit(0).alias("stage"))
+        acts = acts.unionByName(given, allowMissingColumns=True)
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        agent, entries, used = None, [], 0
+        agent, store = None, Store()
 
-        def flush() -> pd.DataFrame:
-            return pd.DataFrame({
-                "agent_id": [agent] * len(entries), "position": range(len(entries)),
-                "topic": [t for t, _ in entries], "content": [c for _, c in entries], "writes_used": [used] * len(entries),
-            })
+        def flush() -> Iterator[pd.DataFrame]:
+            entries = store.entries()
+            if entries:
+                yield pd.DataFrame({
+                    "agent_id": [agent] * len(entries), "position": range(len(entries)), "topic": [t for t, _ in entries],
+                    "content": [c for _, c in entries], "writes_used": [store.used] * len(entries),
+                })
 
         for batch in batches:
             for row in batch.itertuples(index=False):
                 if row.agent_id != agent:
-                    if entries:
-                        yield flush()
-                    agent, entries, used = row.agent_id, [], 0
-                costs = not (free_replace and row.action != "add")
-                if costs and used >= budget:
-                    continue
-                if _apply(entries, row) and costs:
-                    used += 1
-        if entries:
-            yield flush()
-
-    return acts.repartition("agent_id").sortWithinPartitions("agent_id", "seq").mapInPandas(fold, REPLAY_SCHEMA)
+                    yield from flush()
+                    agent, store = row.agent_id, Store()
+                if row.action == "given":
+                    store.put(row.topic, row.content)
+                else:
+                    store.step(row, budget, free_replace)
+        yield from flush()
+
+    return acts.repartition("agent_id").sortWithinPartitions("agent_id", "stage", "seq").mapInPandas(fold, REPLAY_SCHEMA)
 
 
 def upsert_entries(ops: DataFrame, keys: Sequence[str] = ("agent_id", "entry_id")) -> DataFrame:

@@ -361,11 +361,54 @@ def memory_ops(t: Tables) -> DataFrame:
     )
 
 
-@query("replay_memory")
+SQL["memory_op"] = """
+SELECT user_id AS agent_id, event_id AS seq, k, value,
+       CASE WHEN event_type IN ('signup', 'error') THEN 'add' WHEN event_type = 'purchase' THEN 'replace' WHEN event_type = 'click' THEN 'remove' ELSE 'search' END AS action,
+       't' || (k % 3) AS topic, CASE WHEN event_type = 'purchase' THEN 'changed ' ELSE '' END || 'item ' || k AS content,
+       'item ' || k AS old_text, event_type <> 'error' AS ok
+FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) e
+"""
+
+
+def replay_sql(acts: str, given: str) -> str:
+    """The fold as a recursive query: each step takes every agent's entry list through its next operation."""
+    return f"""
+WITH RECURSIVE act AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY agent_id ORDER BY seq) AS i FROM memory_op WHERE ok AND action <> 'search' AND {acts}),
+start AS (
+  SELECT agent_id, list({{'t': topic, 'c': content}} ORDER BY seq) AS entries FROM memory_op WHERE {given} GROUP BY agent_id),
+fold AS (
+  SELECT a.agent_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, COALESCE(s.entries, CAST([] AS STRUCT(t VARCHAR, c VARCHAR)[])) AS entries
+  FROM (SELECT agent_id FROM act UNION SELECT agent_id FROM start) a LEFT JOIN start s ON s.agent_id = a.agent_id
+  UNION ALL
+  SELECT agent_id, i, used + CAST(go AS BIGINT),
+         CASE WHEN NOT go THEN entries WHEN action = 'add' THEN list_append(entries, {{'t': topic, 'c': content}})
+              WHEN action = 'replace' THEN list_concat(list_concat(entries[1:spot - 1], [{{'t': topic, 'c': content}}]), entries[spot + 1:])
+              ELSE list_concat(entries[1:spot - 1], entries[spot + 1:]) END
+  FROM (SELECT *, used < {BUDGET} AND CASE WHEN action = 'add' THEN NOT list_contains(entries, {{'t': topic, 'c': content}}) ELSE kinds = 1 END AS go
+        FROM (SELECT f.agent_id, a.i, f.used, f.entries, a.action, a.topic, a.content,
+                list_position([x.t = a.topic AND contains(x.c, a.old_text) for x in f.entries], TRUE) AS spot,
+                len(list_distinct([x.c for x in f.entries if x.t = a.topic AND contains(x.c, a.old_text)])) AS kinds
+              FROM fold f JOIN act a ON a.agent_id = f.agent_id AND a.i = f.i + 1) m) g)
+SELECT agent_id, CAST(position - 1 AS BIGINT) AS position, entries[position].t AS topic, entries[position].c AS content, used AS writes_used
+FROM (SELECT agent_id, used, entries, unnest(range(1, len(entries) + 1)) AS position
+      FROM (SELECT agent_id, arg_max(used, i) AS used, arg_max(entries, i) AS entries FROM fold GROUP BY agent_id) z) y"""
+
+
+@query("replay_memory", replay_sql("TRUE", "FALSE"))
 def _(t: Tables) -> DataFrame:
     return M.replay_memory(memory_ops(t), BUDGET)
 
 
+@query("replay_memory_resumed", replay_sql("value <= 80", "action = 'search' AND k < 30"))
+def _(t: Tables) -> DataFrame:
+    """Searches stand for entries held from before, and some operations mean another store."""
+    value = t.raw("events").select(F.col("event_id").alias("seq"), F.when(F.col("value") > 80, "user").alias("target"))
+    ops = memory_ops(t)
+    held = ops.where((F.col("action") == "search") & (F.regexp_extract("content", "([0-9]+)", 1).cast("int") < 30))
+    return M.replay_memory(ops.join(value, "seq"), BUDGET, initial=held)
+
+
 @query("upsert_entries", """
 SELECT agent_id, entry_id, seq, content FROM (
   SELECT user_id AS agent_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS entry_id, event_id AS seq, event_type || ' ' || props AS content, event_type,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.plans.fixtures import Tables, number_in
-from engramlake.plans.memory import BUDGET
+from engramlake.plans.memory import BUDGET, replay_sql
 from engramlake.plans.registry import query
 from engramlake.streaming import jobs as S
 
@@ -42,7 +42,7 @@ def _(t: Tables) -> DataFrame:
     return S.latest(S.run_to_table(S.running_scores_stream(steps, ["run_id"])), ["run_id"])
 
 
-@query("stream_budgeted_memory")
+@query("stream_budgeted_memory", replay_sql("TRUE", "FALSE"))
 def _(t: Tables) -> DataFrame:
     kind, k = F.col("event_type"), number_in(F.col("props"))
     item = F.concat(F.lit("item "), k)

@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from engramlake.functions.text import normal_topic
-from engramlake.operators.memory import _apply
+from engramlake.operators.memory import Store, memory_actions
 from engramlake.session import shared_dir
 
 MEMORY_ROW = "agent_id bigint, position bigint, topic string, content string, writes_used bigint"
@@ -52,20 +51,14 @@ def budgeted_memory_stream(ops: DataFrame, budget: int, *, free_replace: bool =
     batches; within a batch it is sorted here. Emits, per agent and batch, a marker row (position -1) and
     all current entries.
     """
-    acts = ops.where(F.col("ok") & F.col("action").isin("add", "replace", "remove")).select(
-        "agent_id", "seq", "action", normal_topic(F.col("topic")).alias("topic"), "content", "old_text"
-    )
+    acts = memory_actions(ops)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used, topics, contents = state.get if state.exists else (0, [], [])
-        entries = list(zip(topics, contents))
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for row in rows.itertuples(index=False):
-            costs = not (free_replace and row.action != "add")
-            if costs and used >= budget:
-                continue
-            if _apply(entries, row) and costs:
-                used += 1
+        store = Store(list(zip(topics, contents)), used)
+        for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+            store.step(row, budget, free_replace)
+        entries, used = store.entries(), store.used
         state.update((used, [t for t, _ in entries], [c for _, c in entries]))
         shown = [("", "")] + entries
         yield pd.DataFrame({

@@ -71,6 +71,21 @@ def test_replay_over_many_small_batches(spark):
         assert [(t, c) for _, t, c in mine] == entries
 
 
+def test_replay_goes_on_from_held_entries(spark):
+    held = [(1, 2, "t1", "b"), (1, 1, "t1", "a"), (7, 1, "t2", "only held")]
+    ops = [
+        (1, 1, "add", "t1", "a", "", True, None), (1, 2, "replace", "t1", "c", "b", True, "memory"),
+        (1, 3, "add", "t1", "not mine", "", True, "user"), (1, 4, "add", "t1", None, "", True, None),
+        (1, 5, "add", "t1", "d", "", True, "memory"), (1, 6, "add", "t1", "over budget", "", True, None),
+        (2, 1, "remove", "t1", "", "a", True, None),
+    ]
+    d = spark.createDataFrame(ops, SCHEMA + ", target string")
+    initial = spark.createDataFrame(held, "agent_id bigint, seq bigint, topic string, content string")
+    rows = M.replay_memory(d, 2, initial=initial).orderBy("agent_id", "position").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, "t1", "a", 2), (1, 1, "t1", "c", 2), (1, 2, "t1", "d", 2), (7, 0, "t2", "only held", 0)]
+    assert M.replay_memory(d.limit(0), 2).count() == 0
+
+
 def test_topics_are_normalised(spark):
     ops = [(1, 1, "add", " My Topic! ", "x", "", True), (1, 2, "add", "mytopic", "x", "", True), (1, 3, "add", "", "y", "", True)]
     rows = M.replay_memory(spark.createDataFrame(ops, SCHEMA), 10).collect()
