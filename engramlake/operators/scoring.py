@@ -223,24 +223,39 @@ def strategy_compare(results: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def check_invariants(stats: DataFrame, rules: Mapping[str, str], keys: Sequence[str]) -> DataFrame:
-    """Evaluate named SQL predicates on each row of an aggregate: (keys, check_name, passed)."""
+def check_invariants(stats: DataFrame, rules: Mapping[str, str], keys: Sequence[str], *, optional: Sequence[str] = ()) -> DataFrame:
+    """Evaluate named SQL predicates on each row of an aggregate: (keys, check_name, passed).
+
+    A predicate that comes out null fails; one listed in ``optional`` then gives no row, as what it tests was not run.
+    """
     checks = F.array(*[
-        F.struct(F.lit(name).alias("check_name"), F.coalesce(F.expr(pred), F.lit(False)).alias("passed"))
+        F.struct(
+            F.lit(name).alias("check_name"),
+            (F.expr(pred) if name in optional else F.coalesce(F.expr(pred), F.lit(False))).alias("passed"),
+        )
         for name, pred in rules.items()
     ])
-    return stats.select(*keys, F.inline(checks))
+    return stats.select(*keys, F.inline(checks)).where(F.col("passed").isNotNull())
 
 
+# The bounds. Columns are a strategy's mean accuracy, its mean composite, or its right answers to tricks.
 STRATEGY_RULES = {
-    "perfect = 100%": "perfect >= 0.999",
-    "guesser = 0%": "guesser < 0.01",
-    "strategic > naive": "strategic > naive",
-    "strategic > naive + 10%": "strategic > naive + 0.10",
-    "naive > guesser": "naive > guesser",
-    "guesser < 5%": "guesser < 0.05",
-    "abstainer < 20%": "abstainer < 0.20",
-    "smart_guesser <= 5%": "smart_guesser <= 0.05",
+    "whole_store_answers_all": "perfect >= 0.999",
+    "guessing_scores_nothing": "guesser < 0.01",
+    "chosen_store_beats_first_come": "strategic > naive",
+    "chosen_store_leads_by_a_tenth": "strategic > naive + 0.10",
+    "first_come_beats_guessing": "naive > guesser",
+    "guessing_under_a_twentieth": "guesser < 0.05",
+    "abstaining_under_a_fifth": "abstainer < 0.20",
+    "midpoints_within_a_twentieth": "smart_guesser <= 0.05",
+    "guessing_falls_for_tricks": "guesser_tricks_right = 0",
+    "chosen_store_leads_in_composite": "strategic_composite > naive_composite",
+}
+OPTIONAL_RULES = ("guessing_falls_for_tricks",)
+OVERALL_RULES = {
+    "whole_store_composite_high": "perfect_composite > 0.90",
+    "guessing_composite_nothing": "guesser_composite < 0.01",
+    "abstaining_composite_low": "abstainer_composite < 0.15",
 }
 
 

@@ -410,16 +410,71 @@ def _(t: Tables) -> DataFrame:
 _NAMES = ["perfect", "strategic", "naive", "guesser", "abstainer", "smart_guesser"]
 
 
-@query("check_invariants", " UNION ALL ".join(
-    f"SELECT template, '{name}' AS check_name, COALESCE({pred}, FALSE) AS passed FROM strat"
-    for name, pred in H.STRATEGY_RULES.items()
-).join(["WITH strat AS (SELECT template, " + ", ".join(
-    f"AVG(CASE WHEN strategy = '{n}' THEN accuracy END) AS {n}" for n in _NAMES) + " FROM strategy_run GROUP BY template) ", ""]))
+# what an answer of a strategy's run is about; each tenth order asks a trick
+_ASKED = "CASE l_orderkey % 5 WHEN 0 THEN 'retrieval' WHEN 1 THEN 'update' WHEN 2 THEN 'synthesis' WHEN 3 THEN 'aggregation' ELSE 'abstention' END"
+RUN_ENTITIES, RUN_STORED, RUN_WRITES = 60, 40, 30
+SQL["strategy_composite"] = f"""
+SELECT strategy, template, seed, tricks_right, {H.WEIGHTS['breadth']} * breadth + {H.WEIGHTS['maintenance']} * maintenance
+       + {H.WEIGHTS['reasoning']} * reasoning + {H.WEIGHTS['efficiency']} * LEAST(n_right / {RUN_WRITES}::DOUBLE, 1) AS composite
+FROM (SELECT strategy, template, seed, COUNT(*) FILTER (WHERE correct AND asked <> 'abstention') AS n_right,
+        COALESCE(AVG(CASE WHEN asked = 'retrieval' THEN CAST(correct AS INT) END), 0) AS breadth,
+        COALESCE(AVG(CASE WHEN asked = 'update' THEN CAST(correct AS INT) END), 0)
+          * LEAST({RUN_STORED / RUN_ENTITIES}::DOUBLE / {H.COVERAGE_GATE}, 1) AS maintenance,
+        COALESCE(AVG(CASE WHEN asked IN ('synthesis', 'aggregation') THEN CAST(correct AS INT) END), 0) AS reasoning,
+        SUM(CASE WHEN trick THEN CAST(correct AS INT) END) AS tricks_right
+      FROM (SELECT {_STRATEGY} AS strategy, l_returnflag AS template, l_suppkey AS seed, {_WIN} AS correct, {_ASKED} AS asked,
+              l_orderkey % 10 = 0 AS trick FROM lineitem) a GROUP BY strategy, template, seed) r
+"""
+
+
+def strategy_composites(t: Tables) -> DataFrame:
+    """Composite and right answers to tricks of every run of a strategy."""
+    keys = ["strategy", "template", "seed"]
+    a = t.raw("lineitem").select(
+        F.expr(_STRATEGY).alias("strategy"), F.col("l_returnflag").alias("template"), F.col("l_suppkey").alias("seed"),
+        F.expr(_WIN).alias("correct"), F.expr(_ASKED).alias("competency"), (F.col("l_orderkey") % 10 == 0).alias("trick"),
+    )
+    runs = a.groupBy(*keys).agg(F.sum(F.when(F.col("trick"), F.col("correct").cast("int"))).alias("tricks_right")).select(
+        "*", F.lit(RUN_ENTITIES).alias("n_entities"), F.lit(RUN_STORED).alias("stored_count"), F.lit(RUN_WRITES).alias("write_budget")
+    )
+    scored = H.composite(H.axis_scores(a, runs, keys))
+    return scored.select(*keys, "composite").join(runs.select(*keys, "tricks_right"), keys)
+
+
+def _by_strategy(column: str, names: list[str], how: str = "AVG") -> str:
+    end = "" if column == "accuracy" else f"_{column}"
+    return ", ".join(f"{how}(CASE WHEN strategy = '{n}' THEN {column} END) AS {n}{end}" for n in names)
+
+
+_COMPOSED = ["perfect", "strategic", "naive", "guesser", "abstainer"]
+
+
+@query("check_invariants", "WITH strat AS (SELECT a.*, c.* EXCLUDE (template) FROM (SELECT template, "
+       + _by_strategy("accuracy", _NAMES) + " FROM strategy_run GROUP BY template) a JOIN (SELECT template, "
+       + _by_strategy("composite", _COMPOSED) + ", " + _by_strategy("tricks_right", ["guesser"], "SUM")
+       + " FROM strategy_composite GROUP BY template) c ON c.template = a.template) SELECT * FROM ("
+       + " UNION ALL ".join(
+           f"SELECT template, '{name}' AS check_name, " + (pred if name in H.OPTIONAL_RULES else f"COALESCE({pred}, FALSE)") + " AS passed FROM strat"
+           for name, pred in H.STRATEGY_RULES.items()) + ") u WHERE passed IS NOT NULL")
 def _(t: Tables) -> DataFrame:
     s = strategy_runs(t).groupBy("template").agg(
         *[F.avg(F.when(F.col("strategy") == n, F.col("accuracy"))).alias(n) for n in _NAMES]
     )
-    return H.check_invariants(s, H.STRATEGY_RULES, ["template"])
+    c = strategy_composites(t).groupBy("template").agg(
+        *[F.avg(F.when(F.col("strategy") == n, F.col("composite"))).alias(f"{n}_composite") for n in _COMPOSED],
+        F.sum(F.when(F.col("strategy") == "guesser", F.col("tricks_right"))).alias("guesser_tricks_right"),
+    )
+    return H.check_invariants(s.join(c, "template"), H.STRATEGY_RULES, ["template"], optional=H.OPTIONAL_RULES)
+
+
+@query("check_invariants_overall", "WITH strat AS (SELECT " + _by_strategy("composite", _COMPOSED) + " FROM strategy_composite) "
+       + " UNION ALL ".join(
+           f"SELECT '{name}' AS check_name, COALESCE({pred}, FALSE) AS passed FROM strat" for name, pred in H.OVERALL_RULES.items()))
+def _(t: Tables) -> DataFrame:
+    c = strategy_composites(t).agg(
+        *[F.avg(F.when(F.col("strategy") == n, F.col("composite"))).alias(f"{n}_composite") for n in _COMPOSED]
+    )
+    return H.check_invariants(c, H.OVERALL_RULES, [])
 
 
 _ERR = """CASE event_type WHEN 'error' THEN 'llm_request failed: 503 upstream' WHEN 'signup' THEN 'max_turns reached'

@@ -171,3 +171,10 @@ def test_break_moves_so_that_a_correction_crosses_it(spark):
     got = {(r.run, r.event_idx): r.session for r in K.split_sessions(d, ["run"], 4, entity="who").collect()}
     even = {(r.run, r.event_idx): r.session for r in K.split_sessions(d, ["run"], 4).collect()}
     assert got == want and even != want
+
+
+def test_rules_on_what_was_not_run(spark):
+    d = spark.createDataFrame([("t", 0.99, None), ("u", None, 0)], "template string, perfect double, tricks int")
+    rules = {"high": "perfect > 0.9", "tricked": "tricks = 0"}
+    got = {(r.template, r.check_name): r.passed for r in H.check_invariants(d, rules, ["template"], optional=["tricked"]).collect()}
+    assert got == {("t", "high"): True, ("u", "high"): False, ("u", "tricked"): True}
