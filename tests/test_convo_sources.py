@@ -144,3 +144,26 @@ def test_domain_rules(spark):
     got = constraint_violations(h, domain_rules("hospital", h.columns), [])
     assert {r.rule: r.n_violations for r in got.collect()} == {"icu_within_beds": 1, "staff_per_bed": 1}
     assert domain_rules("hospital", ["beds"]) == {}
+
+
+def test_many_traces_in_one_file(spark, tmp_path):
+    lines = ['7\t{"type": "usage"}', '8\t{"type": "message.done", "data": {"text": "a"}}', '\t{"type": "usage"}', '8\t{"type": "message.done", "data": {"text": "b\\tc"}}', "9\tnot json"]
+    (tmp_path / "all.txt").write_text("\n".join(lines))
+    trace = A.read_agent_trace(spark, str(tmp_path), ["trace"], sep="\t")
+    got = {r.trace: (r.api_calls, r.final_text) for r in A.rollup_trace(trace, ["trace"]).collect()}
+    assert got == {"7": (1, ""), "8": (1, "b\tc"), None: (1, "")}
+
+
+def test_trace_files_do_not_grow_with_users(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from engramlake.plans import sources_domains
+    from engramlake.plans.catalog import QUERIES
+
+    monkeypatch.setattr(sources_domains, "shared_dir", lambda *_: str(tmp_path / "out"))
+    rows = [(i, datetime(2024, 1, 1), i % 40, "click", 1.0, '{"k": %d}' % (i % 100)) for i in range(200)]
+    d = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
+    d.write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["read_agent_trace"](spark, str(tmp_path))
+    assert got.count() == 40 and dict(got.dtypes)["trace"] == "bigint"
+    assert len(list((tmp_path / "out").rglob("part-*"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
