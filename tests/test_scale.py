@@ -119,3 +119,10 @@ def test_hashed_rank_is_a_permutation(df, rows):
 def test_top_k_limits_before_the_shuffle(df):
     plan = S.top_k(df, ["k"], [F.col("v").desc(), F.col("seq")], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_a_rank_moves_its_rows_once(spark):
+    df = spark.createDataFrame([("a", i, float(i % 3)) for i in range(50)], "k string, seq int, v double")
+    for ranked in (S.distributed_rank(df, ["k"], "v", "seq", buckets=4), S.hashed_rank(df, ["k"], "seq", buckets=4)):
+        assert "row_number" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 51))
