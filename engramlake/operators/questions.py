@@ -516,10 +516,14 @@ def _fill(slots: DataFrame, pool: DataFrame, keys: Sequence[str], slot_id: str,
     keys = list(keys)
     have = pool.groupBy(*keys, "competency").agg(F.count(F.lit(1)).alias("__n"))
     rank = _preferred(F.col("competency"), F.col("__primary"), types)
+    asked = slots.withColumn("__primary", F.coalesce(primary, F.lit("")))
+    best = asked.select(*keys, "__primary").distinct().join(have, keys).groupBy(*keys, "__primary").agg(
+        F.min_by(F.struct(rank.alias("__pref"), "competency", "__n"), rank).alias("c")
+    )
     chosen = (
-        slots.withColumn("__primary", primary).join(have, keys)
+        asked.join(best, [*keys, "__primary"])
         .groupBy(*keys, slot_id)
-        .agg(F.min_by(F.struct("competency", "__n"), rank).alias("c"))
+        .agg(F.min_by("c", F.col("c.__pref")).alias("c"))
         .select(*keys, slot_id, F.col("c.competency").alias("competency"), F.col("c.__n").alias("__n"))
     )
     chosen = hashed_rank(chosen, [*keys, "competency"], slot_id, "__nth")
@@ -549,6 +553,8 @@ def replace_unanswerable(questions: DataFrame, pool: DataFrame, stored_counts: D
     ``stored_counts``: keys, n_stored; fewer than two stored entities leave the question as it is.
     """
     keys = list(keys)
+    questions = materialise(questions, "questions")  # read by three branches
+    pool = materialise(pool, "pool")
     open_rows = questions.where(~F.col("answerable") & ~F.col("competency").isin(*EXEMPT)).join(
         stored_counts.where(F.col("n_stored") >= 2).select(*keys), keys, "left_semi"
     )

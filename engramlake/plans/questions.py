@@ -459,4 +459,5 @@ FROM answerable a LEFT JOIN ({_fill_sql('''SELECT q.* FROM (SELECT world_id, que
   JOIN coverage c ON c.world_id = q.world_id AND c.n_stored >= 2''', 'question_id', 'x.asked')}) f
 ON f.world_id = a.world_id AND f.question_id = a.question_id""")
 def _(t: Tables) -> DataFrame:
+    t.keep("entity")
     return C.replace_unanswerable(answerable(t), candidates(t), coverage(t), ["world_id"])

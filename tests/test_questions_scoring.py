@@ -178,3 +178,12 @@ def test_rules_on_what_was_not_run(spark):
     rules = {"high": "perfect > 0.9", "tricked": "tricks = 0"}
     got = {(r.template, r.check_name): r.passed for r in H.check_invariants(d, rules, ["template"], optional=["tricked"]).collect()}
     assert got == {("t", "high"): True, ("u", "high"): False, ("u", "tricked"): True}
+
+
+def test_replaced_questions_are_computed_once(spark):
+    pool = spark.createDataFrame([(1, "ratio", "a"), (1, "ratio", "b"), (1, "enum_filter", "c")], "world_id int, competency string, candidate_id string")
+    asked = spark.createDataFrame([(1, i, c, False) for i, c in enumerate(["ratio", "outlier", "enum_filter", None])], "world_id int, question_id int, competency string, answerable boolean")
+    counts = spark.createDataFrame([(1, 2)], "world_id int, n_stored int")
+    out = C.replace_unanswerable(asked, pool, counts, ["world_id"])
+    assert "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()  # the questions are read as written
+    assert {r.question_id: r.competency for r in out.collect()} == {0: "ratio", 1: "ratio", 2: "enum_filter", 3: None}
