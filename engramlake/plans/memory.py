@@ -12,6 +12,7 @@ from engramlake.plans.entities_changes import documents
 from engramlake.plans.fixtures import SQL, Tables
 from engramlake.plans.grading_scoring import sql_numeric
 from engramlake.plans.registry import query
+from engramlake.session import materialise
 
 DIMS = 64
 BUDGET = 30
@@ -70,8 +71,15 @@ def variants(t: Tables) -> DataFrame:
     return M.value_variants(t.entity_attr, t.attr_def)
 
 
+def held_entries(t: Tables) -> DataFrame:
+    """The entries written once, and the entities, which several branches read, with them."""
+    t.keep("entity")
+    return materialise(entries(t), "entries")
+
+
 def stored(t: Tables) -> DataFrame:
-    return M.detect_stored_entities(t.entity, variants(t), entries(t))
+    held = held_entries(t)
+    return M.detect_stored_entities(t.entity, variants(t), held)
 
 
 @query("detect_stored_entities", "SELECT world_id, entity, stored FROM stored_flag")
@@ -94,7 +102,8 @@ def _(t: Tables) -> DataFrame:
 @query("noise_documents", """
 SELECT world_id, entry_id, COUNT(*) AS n_mentioned FROM name_hit GROUP BY world_id, entry_id HAVING NOT BOOL_OR(has_value)""")
 def _(t: Tables) -> DataFrame:
-    return M.noise_documents(t.entity, variants(t), entries(t))
+    held = held_entries(t)
+    return M.noise_documents(t.entity, variants(t), held)
 
 
 # Each benchmark item asks the memory of the agent that owns the document with the same number.
@@ -311,7 +320,8 @@ LEFT JOIN (SELECT world_id, AVG(CAST(hit AS INT)) AS preservation FROM (
   ON p.world_id = e.world_id
 JOIN (SELECT world_id, COUNT(*) AS n_questions, AVG(CAST(ok AS INT)) AS accuracy FROM verdict GROUP BY world_id) a ON a.world_id = e.world_id""")
 def _(t: Tables) -> DataFrame:
-    e, v = entries(t), variants(t)
+    e = held_entries(t)
+    v = variants(t)
     hits = M.name_value_hits(t.entity, v, e).join(e.select("world_id", "entry_id", "content"), ["world_id", "entry_id"])
     results = M.top_k(hits, ["world_id", "entity"], [F.col("entry_id").desc()], 3, "rank")
     d = t.entity_attr.drop("dtype").join(t.attr_def.select("attr", "dtype", "label"), "attr")

@@ -59,3 +59,11 @@ def test_also(spark):
     d = spark.createDataFrame([("s", 1, "ann has 1,200"), ("s", 2, "ANN and Bob")], "s string, d int, t string")
     out = contains_pairs(n, d, scope=["s"], needle_id="n", needle="x", doc_id="d", text="t", also="v")
     assert sorted(tuple(r) for r in out.collect()) == [("s", 1, 1, True), ("s", 1, 2, False), ("s", 2, 2, False), ("s", 3, 1, False), ("s", 3, 2, False)]
+
+
+def test_few_candidates_are_searched_without_python(spark):
+    n = spark.createDataFrame([("s", 1, "Ann#07"), ("s", 2, "n#0"), ("s", 3, "--"), ("t", 4, "Ann")], "s string, n int, x string")
+    d = spark.createDataFrame([("s", 1, "saw xANN#07y, 1,5"), ("s", 2, "a -- b"), ("s", 2, "ann#07"), ("t", 3, "an n")], "s string, d int, t string")
+    out = contains_pairs(n, d, scope=["s"], needle_id="n", needle="x", doc_id="d", text="t")
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.n, r.d) for r in out.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 2)]
