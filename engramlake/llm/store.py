@@ -2,40 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.session import shared_dir
-
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def brief_shuffles(spark: SparkSession) -> Iterator[None]:
-    """The shuffle files of a job inside go as soon as the job ends."""
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(CLEAN)
-        else:
-            spark.conf.set(CLEAN, before)
-
+from engramlake.session import brief_shuffles, materialise, shared_dir
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back, so that a lost executor costs a re-read.
-
-    The shuffle files of the job go as soon as the table stands in for them.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, purpose)
-    with brief_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write a frame to the shared folder and read it back, so that a lost executor costs a re-read."""
+    return materialise(df, purpose)
 
 
 def bucketed(df: DataFrame, purpose: str, key: str) -> DataFrame:

@@ -336,7 +336,9 @@ def q_text_match(texts: DataFrame, scope: Sequence[str], entity: str, text: str)
     rows = long_texts.select(*scope, F.col(entity).alias("lo"), F.col(entity).alias("hi"), parts.alias("parts"))
     tokens = _holders(exploded(rows, [*scope, "lo", "hi"], F.filter("parts", lambda t: F.length(t) >= PREFIX), "token"), [*scope, "token"])
     words = tried.where(~F.contains("phrase", F.lit(" "))).select(*scope, "phrase")
-    inside = _substring_holders(tokens, words, scope)
+    # each search is written by itself, so that its shuffle files go before the next one begins
+    alone = F.col("lo") == F.col("hi")
+    inside = materialise(_substring_holders(tokens, words, scope).where(alone), "phrases-of-one")
     after = F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))
     before = F.slice("parts", F.lit(1), F.greatest(F.size("parts") - 1, F.lit(0)))
     both = F.filter(F.zip_with(before, after, lambda a, b: F.struct(a.alias("one"), b.alias("two"))), lambda p: (F.length(p["one"]) >= SHORT) & (F.length(p["two"]) >= SHORT))
@@ -346,7 +348,7 @@ def q_text_match(texts: DataFrame, scope: Sequence[str], entity: str, text: str)
         *scope, F.substring_index("phrase", " ", 1).alias("a"), F.substring_index("phrase", " ", -1).alias("b")
     )
     spanning = _spanning_holders(pairs, wanted, scope).select(*scope, F.concat("a", F.lit(" "), "b").alias("phrase"), "lo", "hi")
-    found = inside.unionByName(spanning).where(F.col("lo") == F.col("hi"))
+    found = inside.unionByName(materialise(spanning.where(alone), "pairs-of-one"))
     return tried.join(found, [*scope, "phrase"]).where(F.col("lo") == F.col(entity)).select(*scope, "phrase", F.col(entity).alias("answer"))
 
 

@@ -22,3 +22,20 @@ def test_shared_folder_comes_from_the_session(tmp_path):
     done = subprocess.run([sys.executable, "-c", CODE.format(root=root)], env=env, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr[-2000:]
     assert list(Path(root).glob("numbers-*"))
+
+
+def test_shuffle_files_go_with_a_written_table(spark):
+    from engramlake import session
+
+    seen = []
+
+    class Writer:
+        option = lambda self, *_: self
+        parquet = lambda self, path: (seen.append(spark.conf.get(session.CLEAN)), spark.range(1).write.parquet(path))
+
+    class Frame:
+        sparkSession, write, schema = spark, Writer(), spark.range(1).schema
+
+    before = spark.conf.get(session.CLEAN, None)
+    assert session.materialise(Frame(), "x").count() == 1
+    assert seen == ["true"] and spark.conf.get(session.CLEAN, None) == before
