@@ -13,12 +13,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.llm.rowwise import add_column
@@ -64,6 +65,14 @@ class Model:
     n_clean: float
     gumbel: tuple[float, float, float] = (1.0, 0.0, 1.0)  # slope on log length, location, scale
     weights: np.ndarray | None = None
+    sent: Broadcast | None = None
+
+    def shared(self, spark: SparkSession) -> Callable[[], Model]:
+        """What makes the model in a task. The counts are sent once, however often the calibration changes."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast((self.seen, self.toxic, self.clean, self.n_toxic, self.n_clean))
+        sent, gumbel, weights = self.sent, self.gumbel, self.weights
+        return lambda: Model(*sent.value, gumbel, weights)
 
     def log_odds(self, slots: list[np.ndarray]) -> np.ndarray:
         a = b = np.ones(len(slots[0]))
@@ -203,11 +212,12 @@ def calibrate(model: Model, texts: DataFrame) -> None:
     """
 
     def each(row) -> list:
-        shared = texts.sparkSession.sparkContext.broadcast(model)
+        shared = model.shared(texts.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared()
             for b in batches:
-                found = [row(n, s, shared.value) for n, s in _scan(b.column(0), shared.value)]
+                found = [row(n, s, own) for n, s in _scan(b.column(0), own)]
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.float64()))], ["toxic", "x"])
 
         return texts.mapInArrow(run, "toxic int, x array<double>").collect()
@@ -253,10 +263,10 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str =
     Null and empty texts have no segments and get the score of such a text. Rows repeated come out
     repeated. Columns of ``docs`` are kept; one called ``name`` is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs.sparkSession)
 
     def values(texts: pa.Array) -> pa.Array:
-        m = shared.value
+        m = shared()
         out, segments = [], []
         slope, location, scale = m.gumbel
         for n, found in _scan(texts, m):

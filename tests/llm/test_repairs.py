@@ -123,3 +123,17 @@ def test_a_dense_shard_needs_little_memory():
     linked = {int(x) for x in b}
     assert set(np.flatnonzero((near.sum(axis=0) - (np.arange(len(points)) < 512)) > 0).tolist()) <= linked | {int(x) for x in a}
     assert (np.bitwise_count(points[a] ^ points[b]) <= 6).all()
+
+
+def test_toxicity_sends_its_counts_once(spark, monkeypatch):
+    from pyspark import SparkContext
+
+    from engramlake.llm import toxicity
+
+    sent, whole = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(1) or whole(self, value))
+    docs = spark.createDataFrame([(i, f"word{i % 7} " + ("vile " if i % 2 else "fine ") * (i % 5 + 1) + str(i)) for i in range(60)], "doc_id int, text string")
+    labels = docs.selectExpr("doc_id", "doc_id % 2 as toxic")
+    model = toxicity.fit(docs, labels)
+    assert model.weights is not None and toxicity.score(docs, model).count() == 60
+    assert len(sent) == 1
