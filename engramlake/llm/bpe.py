@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,21 +82,20 @@ class _Block:
     """The distinct words of some texts, and the texts as numbers of words; frequent words have small numbers."""
 
     def __init__(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
         self.ids: list = []
         self.places: list[np.ndarray] = []
 
     def add(self, own: object, words: Iterator) -> None:
-        places, known = array("I"), self.number.setdefault
-        for m in words:
-            places.append(known(m[0].encode(), len(self.number)))
+        places = array("I", map(self.number.__getitem__, words))
         self.ids.append(own)
         self.places.append(np.frombuffer(places, np.uint32))
 
     def rows(self, block: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         """The words (block, k, word), then the texts (block, id, places), some at a time."""
         names = ["block", "k", "word", "id", "places"]
-        words = list(self.number)
+        words = [w.encode() for w in self.number]
         times = np.bincount(np.concatenate(self.places), minlength=len(words)).tolist()
         order = sorted(range(len(words)), key=lambda i: (-times[i], words[i]))
         number = np.empty(len(words), np.uint32)
@@ -161,7 +161,8 @@ def encode(
                 if held and held + grows > block_bytes:
                     yield from block.rows(_block_id(n), kind)
                     block, held, n = _Block(), 0, n + 1
-                block.add(own, words.finditer(item.as_py().decode("utf-8", "replace")))
+                text = item.as_py().decode("utf-8", "replace")
+                block.add(own, (m[0] for m in words.finditer(text)) if words.groups else words.findall(text))
                 held += grows
         if block.ids:
             yield from block.rows(_block_id(n), kind)
