@@ -12,6 +12,7 @@ from engramlake.functions import answers as A
 from engramlake.functions.scale import distributed_rank, running_sum, top_k
 from engramlake.functions.text import contains_pairs, exploded, normal_topic, words
 from engramlake.operators.entity import format_value
+from engramlake.session import materialise, sized
 
 # Okapi parameters, fusion weights and constant, decay per write, limits.
 K1, B = 1.5, 0.75
@@ -34,7 +35,7 @@ def value_variants(long: DataFrame, attr_def: DataFrame, keys: Sequence[str] = (
 
     Formatted, raw, rounded to an int, to one decimal, to none. At most a handful per attribute.
     """
-    d = long.drop("dtype").join(attr_def.select("attr", "dtype", "unit", "label"), "attr")
+    d = long.drop("dtype").join(F.broadcast(attr_def.select("attr", "dtype", "unit", "label")), "attr")
     num, dtype = F.col("num"), F.col("dtype")
     shown = F.replace(F.lower(format_value(num, F.col("str"), F.col("dt"), dtype, F.col("unit"))), F.lit(","), F.lit(""))
     whole = F.rint(num).cast("bigint").cast("string")
@@ -64,8 +65,14 @@ def name_value_hits(entities: DataFrame, variants: DataFrame, entries: DataFrame
     ``entries``: scope, entry_id, content.
     """
     scope = list(scope)
-    known = variants.groupBy(*scope, "entity").agg(F.flatten(F.collect_list("variants")).alias("__known"))
-    names = entities.select(*scope, "entity", F.col("entity").alias("__name")).distinct().join(known, [*scope, "entity"], "left")
+    # names and values meet by grouping: no side of a join could be sent to the driver
+    none = F.lit(None).cast(variants.schema["variants"].dataType)
+    both = entities.select(*scope, "entity", F.lit(True).alias("__asked"), none.alias("variants")).unionByName(
+        variants.select(*scope, "entity", F.lit(False).alias("__asked"), "variants")
+    )
+    names = both.groupBy(*scope, "entity").agg(F.flatten(F.collect_list("variants")).alias("__known"), F.bool_or("__asked").alias("__asked"))
+    names = names.where("__asked").select(*scope, "entity", F.col("entity").alias("__name"), "__known")
+    names = sized(materialise(names, "names"))  # read by several branches
     hits = contains_pairs(
         names, entries, scope=scope, needle_id="entity", needle="__name", doc_id="entry_id", text="content", also="__known"
     )

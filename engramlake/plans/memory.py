@@ -12,7 +12,7 @@ from engramlake.plans.entities_changes import documents
 from engramlake.plans.fixtures import SQL, Tables
 from engramlake.plans.grading_scoring import sql_numeric
 from engramlake.plans.registry import query
-from engramlake.session import materialise
+from engramlake.session import materialise, sized
 
 DIMS = 64
 BUDGET = 30
@@ -74,6 +74,7 @@ def variants(t: Tables) -> DataFrame:
 def held_entries(t: Tables) -> DataFrame:
     """The entries written once, and the entities, which several branches read, with them."""
     t.keep("entity")
+    t.entity = sized(t.entity)
     return materialise(entries(t), "entries")
 
 
