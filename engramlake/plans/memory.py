@@ -325,7 +325,7 @@ def _(t: Tables) -> DataFrame:
     v = variants(t)
     hits = M.name_value_hits(t.entity, v, e).join(e.select("world_id", "entry_id", "content"), ["world_id", "entry_id"])
     results = M.top_k(hits, ["world_id", "entity"], [F.col("entry_id").desc()], 3, "rank")
-    d = t.entity_attr.drop("dtype").join(t.attr_def.select("attr", "dtype", "label"), "attr")
+    d = t.entity_attr.drop("dtype").join(F.broadcast(t.attr_def.select("attr", "dtype", "label")), "attr")
     truth = (
         F.when(F.col("dtype") == "int", F.col("num").cast("bigint").cast("string"))
         .when(F.col("dtype") == "float", F.format_string("%.2f", "num"))
