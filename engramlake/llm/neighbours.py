@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.llm.store import written
+from engramlake.session import MOST_BROADCAST, sized
 
 TABLES = 4
 WIDTH = 1.5
@@ -203,10 +204,10 @@ def nearest(
     own = Window.partitionBy("vec").orderBy("id")
     low = rows.select("id", "vec").withColumn("n", F.dense_rank().over(own)).where(F.col("n") <= k + 1).distinct()
     low = low.withColumn("cls", F.min("id").over(Window.partitionBy("vec")))
-    low = written(low, "vector-members")
+    low = sized(written(low, "vector-members"))
     classes = low.where("n = 1").select("cls", "vec")
     asked = rows.where("asks").select("id", "vec").join(classes, "vec").select("id", "cls").distinct()
-    asked = written(asked, "vector-queries")
+    asked = sized(written(asked, "vector-queries"))
     queries = written(classes.join(asked.select("cls").distinct(), "cls"), "query-classes")
     n = classes.count()
     known = _sampled(classes, queries, dims, k, sample) if n else []
@@ -223,7 +224,9 @@ def nearest(
 
     kinds = "t int, bucket long, cls long, vec array<double>"
     dealt = written(classes.mapInArrow(deal, kinds), "vector-buckets")
-    sizes = dealt.groupBy("t", "bucket").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
+    sizes = written(dealt.groupBy("t", "bucket").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces")), "bucket-sizes")
+    # each query has many rows in what visits the buckets, and Spark would take them for as few as the queries and broadcast them
+    sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes.hint("merge")
     dealt = dealt.join(sizes, ["t", "bucket"]).withColumn("piece", F.pmod(F.xxhash64("cls"), F.col("pieces")).cast("int"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cols = ["t", "bucket", "piece", "asks", "cls", "vec"]
@@ -295,7 +298,7 @@ def nearest(
     size = F.aggregate("best", F.lit(0), lambda a, b: a + F.size(b["ids"]))
     done, left, blocked = [], queries, probes is None
     while True:
-        best = written(named(by_blocks(left) if blocked else probed(left, probes)), "nearest-classes")
+        best = sized(written(named(by_blocks(left) if blocked else probed(left, probes)), "nearest-classes"))
         full = best if blocked else best.where(size >= enough)
         done.append(full)
         if blocked:
