@@ -8,10 +8,12 @@ whole groups they stay a relation, see ``group_members``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from engramlake.functions.scale import hashed_rank, order_statistics, top_k
 from engramlake.functions.text import exploded
@@ -259,98 +261,144 @@ PUNCTUATION = ".,;:!?()\"'"
 PREFIX, SHORT = 5, 3  # a phrase of one word has more than four letters, each of two words more than two
 
 
-def text_phrases(texts: DataFrame, scope: Sequence[str], entity: str, text: str) -> DataFrame:
-    """Candidate phrases, lower-cased: words over 4 letters, neighbouring pairs of words over 2 letters."""
-    raw = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    clean = F.transform(raw, lambda w: F.trim(w, F.lit(PUNCTUATION)))
-    d = texts.where(F.length(text) > 20).select(*scope, entity, clean.alias("__w"))
-    nxt = F.slice(F.col("__w"), F.lit(2), F.greatest(F.size("__w") - 1, F.lit(0)))
-    pairs = F.zip_with(
-        F.slice(F.col("__w"), F.lit(1), F.greatest(F.size("__w") - 1, F.lit(0))), nxt,
-        lambda a, b: F.when((F.length(a) > 2) & (F.length(b) > 2), F.concat(a, F.lit(" "), b)),
-    )
-    singles = F.filter("__w", lambda w: F.length(w) > 4)
-    phrases = F.array_distinct(F.concat(F.array_compact(pairs), singles))
-    return exploded(d, [*scope, entity], phrases, "phrase")
-
-
-def _holders(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The smallest and the largest entity of each key: all that tells whether one entity only has it."""
-    return rows.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+def _neighbours(texts: DataFrame, scope: list[str], entity: str, text: str) -> DataFrame:
+    """Distinct words with the next one (null behind the last): scope, a, b, direct, lo, hi.
 
+    Words are the tokens between white space, lower-cased and trimmed of punctuation; ``direct`` says that nothing but one
+    blank parts them. ``lo`` and ``hi`` are the smallest and the largest entity: all that tells whether one only has them.
+    """
+    white, signs = F.lit(" \t\n\x0b\f\r"), F.lit(PUNCTUATION)
+    spaced = F.regexp_extract_all(F.lower(text), F.lit(r"\S+\s*"), F.lit(0))
+    d = texts.where(F.length(text) > 20).select(*scope, F.col(entity).alias("__e"), spaced.alias("one"))
+    d = d.where(" and ".join(f"`{c}` is not null" for c in [*scope, "__e"]))
+    d = d.withColumn("two", F.slice("one", F.lit(2), F.greatest(F.size("one") - 1, F.lit(0))))
+    rows = exploded(d, [*scope, "__e"], F.arrays_zip("one", "two"), "p")
+    one, two = F.col("p.one"), F.rtrim(F.col("p.two"), white)
+    a, b = F.trim(F.rtrim(one, white), signs), F.trim(two, signs)
+    direct = F.endswith(one, F.concat(a, F.lit(" "))) & F.startswith(two, b)
+    return rows.select(*scope, "__e", a.alias("a"), b.alias("b"), direct.alias("direct")).groupBy(*scope, "a", "b", "direct").agg(
+        F.min("__e").alias("lo"), F.max("__e").alias("hi")
+    )
 
-def _substring_holders(tokens: DataFrame, needles: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, phrase, lo, hi) of the needles (scope, phrase) that occur inside some token (scope, token, lo, hi).
 
-    A needle begins at some place of the token, so its first ``PREFIX`` characters stand there. Each
-    place asks which lengths needles of that beginning have, and looks up exactly those substrings.
+def _merge(into: dict, key: object, lo: object, hi: object) -> None:
+    old = into.get(key)
+    if old is None:
+        into[key] = (lo, hi)
+    elif lo < old[0] or hi > old[1]:
+        into[key] = (min(lo, old[0]), max(hi, old[1]))
+
+
+def _held_in_words(gram: str, single: dict, tokens: dict) -> dict:
+    """Holders of the words ``single``, which all begin with ``gram``, as parts of the words ``tokens``."""
+    lengths, found = sorted({len(w) for w, _ in single}), {}
+    for (token, _), (lo, hi) in tokens.items():
+        at = token.find(gram)
+        while at >= 0:
+            for n in lengths:
+                if at + n > len(token):
+                    break
+                if (key := (token[at : at + n], None)) in single:
+                    _merge(found, key, lo, hi)
+            at = token.find(gram, at + 1)
+    return found
+
+
+def _held_across(gram: str, single: dict, pairs: dict) -> dict:
+    """Holders of the word pairs ``single`` as the end of a word and the beginning of the next one."""
+    heads: dict[str, set[int]] = {}
+    for a, b in single:
+        heads.setdefault(a, set()).add(len(b))
+    lengths, found = sorted({len(a) for a in heads}), {}
+    for (one, two), (lo, hi) in pairs.items():
+        for n in lengths:
+            if n > len(one):
+                break
+            for m in heads.get(one[-n:], ()):
+                if (key := (one[-n:], two[:m])) in single:
+                    _merge(found, key, lo, hi)
+    return found
+
+
+def _values(column: pa.Array) -> list:
+    """As ``to_pylist``, which makes an object of Arrow for each value first; numbers and strings go by numpy."""
+    t = column.type
+    if pa.types.is_string(t) or pa.types.is_large_string(t) or (pa.types.is_integer(t) and not column.null_count):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
+def _unique(rows: DataFrame, scope: list[str], held: Callable[[str, dict, dict], dict]) -> DataFrame:
+    """(scope, x, y, answer) of the phrases that one entity only has, in its own words and in what holds it.
+
+    ``rows``: scope, gram, kind (1 a phrase, 2 words that may hold one, 3 both), x, y, lo, hi. A phrase and all
+    that can hold it share a gram, and one task has all rows of a gram.
     """
-    needles = needles.where(F.length("phrase") >= PREFIX)
-    lengths = needles.groupBy(*scope, F.substr("phrase", F.lit(1), F.lit(PREFIX)).alias("gram")).agg(F.collect_set(F.length("phrase")).alias("lengths"))
-    last = F.length("token") - PREFIX + 1
-    places = tokens.where(last >= 1).select(*scope, "token", "lo", "hi", F.explode(F.sequence(F.lit(1), last)).alias("at"))
-    places = places.withColumn("gram", F.substr("token", F.col("at"), F.lit(PREFIX))).join(lengths, [*scope, "gram"])
-    fits = F.filter("lengths", lambda n: n <= F.length("token") - F.col("at") + 1)
-    each = exploded(places, [*scope, "token", "lo", "hi", "at"], fits, "n")
-    return _holders(each.select(*scope, F.substr("token", F.col("at"), F.col("n")).alias("phrase"), "lo", "hi"), [*scope, "phrase"])
-
-
-def _endings(pairs: DataFrame, wanted: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, one, a): the first words of ``wanted`` that the first token of some pair ends with."""
-    tail = lambda c: F.right(F.col(c), F.lit(SHORT))
-    words = wanted.select(*scope, "a").distinct()
-    lengths = words.groupBy(*scope, tail("a").alias("gram")).agg(F.collect_set(F.length("a")).alias("lengths"))
-    tokens = pairs.select(*scope, "one").distinct().withColumn("gram", tail("one")).join(lengths, [*scope, "gram"])
-    each = exploded(tokens, [*scope, "one"], F.filter("lengths", lambda n: n <= F.length("one")), "n")
-    return each.select(*scope, "one", F.right(F.col("one"), F.col("n")).alias("a")).join(words, [*scope, "a"], "left_semi")
-
-
-def _spanning_holders(pairs: DataFrame, wanted: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, a, b, lo, hi) of the ``wanted`` word pairs (scope, a, b): some token ends with a, and the next begins with b."""
-    head = lambda c: F.substr(F.col(c), F.lit(1), F.lit(SHORT))
-    lengths = wanted.groupBy(*scope, "a", head("b").alias("gram")).agg(F.collect_set(F.length("b")).alias("lengths"))
-    each = pairs.join(_endings(pairs, wanted, scope), [*scope, "one"]).withColumn("gram", head("two")).join(lengths, [*scope, "a", "gram"])
-    each = exploded(each, [*scope, "a", "two", "lo", "hi"], F.filter("lengths", lambda n: n <= F.length("two")), "n")
-    return _holders(each.select(*scope, "a", F.substr(F.col("two"), F.lit(1), F.col("n")).alias("b"), "lo", "hi"), [*scope, "a", "b"])
+    n = len(scope)
+    cols = [*scope, "gram", "kind", "x", "y", "lo", "hi"]
+    fields = {f.name: f for f in rows.schema}
+    schema = StructType([*[fields[c] for c in scope], StructField("x", StringType()), StructField("y", StringType()), StructField("answer", fields["lo"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, phrases, tokens, out, form = None, {}, {}, [], None
+
+        def done() -> None:
+            single = {key: lo for key, (lo, hi) in phrases.items() if lo == hi}
+            if single:
+                out.extend((*now[:n], *key, lo) for key, (lo, hi) in held(now[n], single, tokens).items() if lo == hi == single[key])
+            phrases.clear()
+            tokens.clear()
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * (n + 3)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, form, strict=True)], schema=form)
+
+        for b in batches:
+            if form is None:
+                form = pa.schema([*[b.schema.field(i) for i in range(n)], b.schema.field(n + 2).with_name("x"), b.schema.field(n + 3).with_name("y"), b.schema.field(n + 4).with_name("answer")])
+            parts = [_values(b.column(i)) for i in range(n + 6)]
+            for key, kind, x, y, lo, hi in zip(zip(*parts[: n + 1], strict=True), *parts[n + 1 :], strict=True):
+                if key != now:
+                    done()
+                    now = key
+                if kind & 1:
+                    _merge(phrases, (x, y), lo, hi)
+                if kind & 2:
+                    _merge(tokens, (x, y), lo, hi)
+            yield batch()
+        if now is not None:
+            done()
+            yield batch()
+
+    return rows.select(*cols).repartition(*scope, "gram").sortWithinPartitions(*scope, "gram").mapInArrow(run, schema)
 
 
 def q_text_match(texts: DataFrame, scope: Sequence[str], entity: str, text: str) -> DataFrame:
     """All phrases that occur, as a substring and ignoring case, in exactly one entity's text.
 
-    Phrases used by one entity only survive a plain count; those are then looked for inside every
-    word, and every pair of neighbouring words, of the world. A phrase of one word lies within one
-    token between white space; one of two words is the end of a token and the beginning of the next,
-    one blank apart. So no text moves: distinct tokens and token pairs carry their first and last
-    holder, and a phrase is unique if both are its own entity.
+    Phrases, trimmed of punctuation, are words over 4 letters and neighbouring pairs of words over 2 letters. As a phrase
+    begins and ends with another character, one of a word lies within one word; one of two is the end of a word and
+    the beginning of the next, with nothing but a blank between them. So no text moves, and texts are read once: distinct
+    words with their next ones carry their first and last holder. A phrase of a word meets the words that have its first
+    ``PREFIX`` characters somewhere, one of two meets the pairs with its ``SHORT`` characters on either side of the blank.
     """
     scope = list(scope)
-    grams = text_phrases(texts, scope, entity, text)
-    single = grams.groupBy(*scope, "phrase").agg(F.min(entity).alias(entity), F.max(entity).alias("__max")).where(
-        F.col(entity) == F.col("__max")
-    ).drop("__max")
-    tried = materialise(single, "phrases")  # read by several branches
-    # segments of tokens that stand exactly one blank apart
-    segments = F.filter(F.split(F.lower(text), r"\s{2,}|[^\S ]"), lambda s: s != "")
-    long_texts = exploded(texts.where(F.length(text) > 20), [*scope, entity], segments, "segment")
-    parts = F.split("segment", " ")
-    rows = long_texts.select(*scope, F.col(entity).alias("lo"), F.col(entity).alias("hi"), parts.alias("parts"))
-    tokens = _holders(exploded(rows, [*scope, "lo", "hi"], F.filter("parts", lambda t: F.length(t) >= PREFIX), "token"), [*scope, "token"])
-    words = tried.where(~F.contains("phrase", F.lit(" "))).select(*scope, "phrase")
-    # each search is written by itself, so that its shuffle files go before the next one begins
-    alone = F.col("lo") == F.col("hi")
-    inside = materialise(_substring_holders(tokens, words, scope).where(alone), "phrases-of-one")
-    after = F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))
-    before = F.slice("parts", F.lit(1), F.greatest(F.size("parts") - 1, F.lit(0)))
-    both = F.filter(F.zip_with(before, after, lambda a, b: F.struct(a.alias("one"), b.alias("two"))), lambda p: (F.length(p["one"]) >= SHORT) & (F.length(p["two"]) >= SHORT))
-    pairs = exploded(rows, [*scope, "lo", "hi"], both, "pair").select(*scope, "lo", "hi", "pair.one", "pair.two")
-    pairs = materialise(_holders(pairs, [*scope, "one", "two"]), "token-pairs")  # read by three branches
-    wanted = tried.where(F.contains("phrase", F.lit(" "))).select(
-        *scope, F.substring_index("phrase", " ", 1).alias("a"), F.substring_index("phrase", " ", -1).alias("b")
+    seen = materialise(_neighbours(texts, scope, entity, text), "word-pairs")  # read by both searches
+    words = seen.where(F.length("a") >= PREFIX).groupBy(*scope, "a").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    places = F.transform(F.sequence(F.lit(1), F.length("a") - PREFIX + 1), lambda i: F.substr(F.col("a"), i, F.lit(PREFIX)))
+    kind = F.when(F.startswith("a", F.col("gram")), 3).otherwise(2).alias("kind")
+    rows = exploded(words, [*scope, "a", "lo", "hi"], F.array_distinct(places), "gram").select(
+        *scope, "gram", kind, F.col("a").alias("x"), F.lit(None).cast("string").alias("y"), "lo", "hi"
     )
-    spanning = _spanning_holders(pairs, wanted, scope).select(*scope, F.concat("a", F.lit(" "), "b").alias("phrase"), "lo", "hi")
-    found = inside.unionByName(materialise(spanning.where(alone), "pairs-of-one"))
-    return tried.join(found, [*scope, "phrase"]).where(F.col("lo") == F.col(entity)).select(*scope, "phrase", F.col(entity).alias("answer"))
-
+    # written by itself, so that its shuffle files go before the next search begins
+    found = materialise(_unique(rows, scope, _held_in_words), "words-of-one")
+    gram = F.concat(F.right("a", F.lit(SHORT)), F.substr("b", F.lit(1), F.lit(SHORT)))
+    rows = seen.where((F.length("a") >= SHORT) & (F.length("b") >= SHORT)).select(
+        *scope, gram.alias("gram"), F.when(F.col("direct"), 3).otherwise(1).alias("kind"), F.col("a").alias("x"), F.col("b").alias("y"), "lo", "hi"
+    )
+    found = found.unionByName(_unique(rows, scope, _held_across))
+    return found.select(*scope, F.concat_ws(" ", "x", "y").alias("phrase"), F.col("answer"))
 
 
 def q_enum_filter(wide: DataFrame, enum_attr: str, numeric_attrs: Sequence[str]) -> DataFrame:
